@@ -26,9 +26,13 @@ from tidelog.llm import common
 
 BUCKETS = 1 << 18
 #: Bound of the training sample.
-TRAIN_ROWS = 12_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.0, 0.1
+TRAIN_ROWS = 24_000
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
+#: Weight of a toxic text in training, as toxic texts are the rarer ones.
+TOXIC_WEIGHT = 2.0
+#: Features of fewer texts of the sample are left out: they would only let it be learned by heart.
+MIN_TEXTS = 5
 #: Words whose hashes a worker keeps.
 CACHE = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -86,7 +90,7 @@ class Ftrl:
     def learn(self, buckets: np.ndarray, label: int) -> None:
         at = np.append(buckets, BUCKETS)
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (TOXIC_WEIGHT if label else 1.0)
         sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
         self.z[at] += g - sigma * w
         self.n[at] += g * g
@@ -94,6 +98,10 @@ class Ftrl:
 
 def train(rows: list[tuple[int, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Weights other than zero of (id, buckets, label) rows, taken in an order drawn from the ids."""
+    texts = np.zeros(BUCKETS, np.int64)
+    for _, buckets, _ in rows:
+        texts[buckets] += 1
+    rows = [(i, buckets[texts[buckets] >= MIN_TEXTS], label) for i, buckets, label in rows]
     model = Ftrl()
     for epoch in range(EPOCHS):
         for _, buckets, label in sorted(rows, key=lambda r: zlib.crc32(b"%d %d" % (epoch, r[0]))):
