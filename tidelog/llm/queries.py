@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidelog.llm import quality_rules, toxicity
+from tidelog.llm import langid, quality_rules, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op3_simhash": simhash.query,
+    "op5_token_store": token_store.query,
+    "op7_language_id": langid.query,
     "op10_toxicity": toxicity.query,
 }
 
