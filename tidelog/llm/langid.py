@@ -200,7 +200,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """A model (pickled counts) from at most ``rows`` rows with text and language."""
     have = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     have = have.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    chosen = have.select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(rows).select("id")
+    chosen = have.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)  # bounded, so broadcast
 
     def count(batches):
         grams, scripts = {}, {}
@@ -216,7 +216,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             yield pa.RecordBatch.from_arrays([pa.array([lang] * N_SCRIPTS, pa.string()), pa.array(np.arange(N_SCRIPTS) - N_SCRIPTS), pa.array(scripts[lang])], names=["lang", "bucket", "n"])
 
     # At most MAX_LANGS rows of two packed arrays come to the driver.
-    counted = have.join(chosen, "id", "left_semi").mapInArrow(count, "lang string, bucket long, n long")
+    counted = have.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(count, "lang string, bucket long, n long")
     summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = summed.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).orderBy("lang").limit(MAX_LANGS + 1)
     found = found.select("lang", F.transform("x", lambda s: s["bucket"].cast("int")).alias("b"), F.transform("x", lambda s: s["n"].cast("int")).alias("n")).toArrow()

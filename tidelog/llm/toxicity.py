@@ -111,15 +111,17 @@ def train(rows: list[tuple[int, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarr
     return at, w[at]
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", rows: int = TRAIN_ROWS) -> tuple[bytes, bytes]:
-    """Sparse weights from at most ``rows`` labelled rows (smallest hashed ids first).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", rows: int = TRAIN_ROWS) -> tuple[bytes, bytes]:
+    """Sparse weights from at most ``rows`` labelled documents (smallest hashed ids first).
 
+    The chosen ids, bounded by ``rows``, are broadcast, so texts are filtered where they are read.
     Features are made in parallel; one task runs the sequential learner on the bounded sample.
     """
-    ids = labelled.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    ids = ids.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    chosen = ids.select("id", F.xxhash64("id").alias("h")).distinct().orderBy("h", "id").limit(rows).select("id")
-    sample = ids.join(chosen, "id", "left_semi")
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "id").select("id", "text", "label")
 
     def extract(batches):
         for batch in batches:
@@ -133,7 +135,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         at, w = train(got)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["at", "w"])
 
-    found = sample.mapInArrow(extract, "id long, label int, buckets binary").coalesce(1).mapInArrow(learn, "at binary, w binary").collect()
+    found = sample.mapInArrow(extract, "id long, label int, buckets binary").repartition(1).mapInArrow(learn, "at binary, w binary").collect()
     return (bytes(found[0]["at"]), bytes(found[0]["w"])) if found else (b"", b"")
 
 
@@ -158,9 +160,9 @@ def score(docs: DataFrame, model: tuple[bytes, bytes], text_col: str = "text", s
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with the columns of ``docs``."""
-    labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(labels.select(F.col("doc_id"), F.col("toxic").alias("label")), "doc_id")
+    model = fit(docs, labels.select(F.col("doc_id").alias(id_col), F.col("toxic").alias("label")), id_col, text_col)
     name = common.free_name(docs, "toxic_score")
-    return score(docs, fit(labelled), text_col, name).where(F.col(name) < threshold).select(*docs.columns)
+    return score(docs, model, text_col, name).where(F.col(name) < threshold).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -169,5 +171,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     held_out = common.crc32_of_id("doc_id") % 5 == 0
-    model = fit(docs.join(labels.where(~held_out), "doc_id"))
+    model = fit(docs, labels.where(~held_out))
     return score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
