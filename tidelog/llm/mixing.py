@@ -4,8 +4,8 @@ A classifier learned from the labelled rows (hashed word presence, naive Bayes o
 tell domains apart) gives each document a posterior for each domain. Non-negative document rates are
 then fitted by projected gradient descent on the least squares between expected domain tokens
 ``sum(rate * tokens * posterior)`` and the targets, with a small pull towards rate 1 that makes the
-solution unique. A step needs only one aggregate of a row: the rates are a closed expression of the
-posteriors and of the steps so far, so no state is written and nothing but domain sums is collected.
+solution unique. A step needs only one aggregate: the rates are an expression of the posteriors and
+of the steps since they were last written, and nothing but domain sums is collected.
 
 All is DataFrame functions. Bounds: TRAIN_ROWS labelled rows (smallest hashed ids), BUCKETS x
 MAX_DOMAINS weights as literals, MAX_STEPS steps. Edge cases: null and empty texts have no tokens
@@ -28,6 +28,8 @@ BUCKETS = 1 << 14
 #: A bucket counts if its chi-square over the domains is above this and it has so many documents.
 MIN_CHI, MIN_DOCS, SMOOTH = 25.0, 8, 0.5
 MAX_STEPS, RIDGE, TOLERANCE = 40, 1e-3, 1e-5
+#: Steps after which the rates (numbers only, no texts) are written to the shared folder.
+WRITE_STEPS = 8
 #: A rate this near a whole number gives that many copies; between, a hash of the id decides.
 DEAD_BAND = 0.05
 #: Target shares of the query.
@@ -106,10 +108,10 @@ def with_posteriors(docs: DataFrame, model: dict, text_col: str = "text", prefix
     return out.withColumns({prefix + d: p / total for d, p in zip(model["domains"], parts, strict=True)}).drop(hits, *names)
 
 
-def rate_expression(p: list[F.Column], steps: list[list[float]]) -> F.Column:
+def rate_expression(p: list[F.Column], steps: list[list[float]], rate: F.Column | None = None) -> F.Column:
     """The rate after ``steps`` (scaled residuals by domain), each projected on rates of at least 0."""
     eta = 1.0 / (1.0 + RIDGE)
-    rate = F.lit(1.0)
+    rate = F.lit(1.0) if rate is None else rate
     for g in steps:
         slope = sum((p[k] * g[k] for k in range(1, len(p))), p[0] * g[0])
         rate = F.greatest(F.lit(0.0), rate * (1 - eta * RIDGE) + eta * RIDGE - slope * eta)
@@ -127,11 +129,15 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], p
     target = [targets.get(d, 0.0) / wanted for d in domains]
     scale = [1 / s if s > 1e-9 else 0.0 for s in share]
     steps: list[list[float]] = []
-    now = share
+    now, table, since = share, table.select(n_col, *(prefix + d for d in domains), F.lit(1.0).alias("rate")), []
     for _ in range(MAX_STEPS):
         g = [scale[k] * (now[k] - target[k]) for k in range(len(p))]
         steps.append(g)
-        rate = rate_expression(p, steps)
+        since.append(g)
+        rate = rate_expression(p, since, F.col("rate"))
+        if len(since) == WRITE_STEPS:  # keeps expressions short
+            table = common.materialize(table.withColumn("rate", rate), "rates")
+            since, rate = [], F.col("rate")
         row = table.agg(*(F.sum(n * rate * x).alias(f"m{k}") for k, x in enumerate(p))).first()
         was, now = now, [row[f"m{k}"] / first["n"] for k in range(len(p))]
         if max(abs(a - b) for a, b in zip(was, now, strict=True)) < TOLERANCE:
