@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.plans import transaction_queries
 
-def _modules() -> list:
-    return []
+MODULES = [transaction_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: build for module in _modules() for name, build in module.QUERIES.items()}
+    return {name: build for module in MODULES for name, build in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in _modules() for name, sql in module.ORACLE.items()}
+    return {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
