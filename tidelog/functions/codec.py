@@ -10,6 +10,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def let(value: Column, body) -> Column:
@@ -65,7 +66,7 @@ def number(data: Column) -> Column:
     return F.when((size == 1) & (first == 0x80), "0").otherwise(let(kept, text))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _double(data: pd.Series) -> pd.Series:
     """Order-preserving doubles: the sign bit is turned, or all bits where it was clear."""
 
@@ -171,7 +172,7 @@ CHARSETS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode(data: pd.Series, name: pd.Series) -> pd.Series:
     special = {"CESU-8": None, "x-windows-949": "cp949", "x-EUC-TW": "big5"}
 

@@ -35,11 +35,12 @@ def fmt_interval_ytm_modes(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", *(formats.interval_ym(e % 3 == 1, e % 500, e % 12, m).alias(f"m{m}") for m in range(5)))
 
 
-_XID = (F.col("event_id") % 9 + 1, F.col("event_id") % 34, F.col("event_id") * 37 + 5)
+def _xid() -> tuple:
+    return F.col("event_id") % 9 + 1, F.col("event_id") % 34, F.col("event_id") * 37 + 5
 
 
 def fmt_xid_modes(spark, sf_dir):
-    return _events(spark, sf_dir).select("event_id", *(ids.xid_text(*_XID, m).alias(f"m{m}") for m in range(4)))
+    return _events(spark, sf_dir).select("event_id", *(ids.xid_text(*_xid(), m).alias(f"m{m}") for m in range(4)))
 
 
 def fmt_scn_modes(spark, sf_dir):
@@ -49,7 +50,7 @@ def fmt_scn_modes(spark, sf_dir):
 
 def xid_parse_roundtrip(spark, sf_dir):
     rows = _events(spark, sf_dir)
-    text = F.when(F.col("event_id") % 3 == 0, F.upper(ids.xid_text(*_XID, 0))).otherwise(ids.xid_text(*_XID, 0))
+    text = F.when(F.col("event_id") % 3 == 0, F.upper(ids.xid_text(*_xid(), 0))).otherwise(ids.xid_text(*_xid(), 0))
     text = F.when(F.col("event_id") % 3 == 0, F.substring(text, 3, 17)).otherwise(text)
     got = ids.xid_parse(F.when(F.col("event_id") % 11 == 0, F.lit("bad")).otherwise(text))
     return rows.select("event_id", got["usn"].alias("usn"), got["slt"].alias("slt"), got["sqn"].alias("sqn"))
