@@ -19,6 +19,7 @@ no file and gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -38,7 +39,7 @@ BLOCK = 4096
 TRAILER = struct.Struct("<IIQQQ8s")
 NO_ID = -(1 << 63)
 #: Words and pre-tokens whose ids a worker keeps.
-CACHE, PIECES = 400_000, 50_000
+CACHE, PIECES = 400_000, 250_000
 #: Letters of Latin-1 (each a letter by itself, unchanged by NFC) and marks of ASCII behind them.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 #: Documents of a file that one reading task takes.
@@ -158,48 +159,47 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.pieces: dict[str, np.ndarray] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.known: dict[bytes, int] = {}
         self.pool, self.used = np.zeros(1 << 20, np.uint16), 0
         self.start, self.size = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64)
 
-    def _piece(self, text: str) -> np.ndarray:
+    def _piece(self, text: str) -> list[int]:
         """Ids of one pre-token: its UTF-8 bytes in the byte-level alphabet go straight to the BPE model."""
         got = self.pieces.get(text)
         if got is None:
             alphabet = text if text.isascii() else "".join(map(_BYTES.__getitem__, text.encode()))
-            got = np.array([t.id for t in self.tok.model.tokenize(alphabet)], np.uint16)
+            got = [t.id for t in self.tok.model.tokenize(alphabet)]
             if len(self.pieces) < PIECES:
                 self.pieces[text] = got
         return got
 
-    def _learn(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word. Western letters with marks after them are two pre-tokens at most, known
-        without the normalizer and its patterns; all other words take the whole tokenizer."""
-        out: list = [None] * len(words)
-        rest = []
+    def _learn(self, words: list[bytes]) -> None:
+        """Keep the ids of each word. Western letters with marks after them are two pre-tokens at most,
+        known without the normalizer and its patterns; all other words take the whole tokenizer."""
+        out, rest = [], []
         for i, w in enumerate(words):
             found = _PLAIN.fullmatch(w.decode("utf-8", "replace"))
             if found:
                 letters, marks = found.groups()
-                ids = self._piece(letters.lower())
-                out[i] = np.concatenate([ids, self._piece(marks)]) if marks else ids
+                out.append(self._piece(letters.lower()) + self._piece(marks) if marks else self._piece(letters.lower()))
             else:
                 rest.append(i)
+                out.append([])
         if rest:
             for i, got in zip(rest, self.tok.encode_batch([words[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False), strict=True):
-                out[i] = np.array(got.ids, np.uint16)
-        return out
-
-    def _keep(self, word: bytes, ids: np.ndarray) -> None:
-        k = len(self.known)
-        while self.used + len(ids) > len(self.pool):
+                out[i] = got.ids
+        k, size = len(self.known), np.fromiter(map(len, out), np.int64, len(out))
+        flat = np.fromiter(itertools.chain.from_iterable(out), np.uint16, int(size.sum()))
+        while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        if k >= len(self.start):
+        while k + len(out) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.known[word], self.start[k], self.size[k] = k, self.used, len(ids)
-        self.used += len(ids)
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.start[k : k + len(out)] = self.used + np.cumsum(size) - size
+        self.size[k : k + len(out)] = size
+        self.known.update(zip(words, range(k, k + len(out)), strict=True))
+        self.used += len(flat)
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of each text's."""
@@ -218,8 +218,7 @@ class WordEncoder:
             words += found
         missing = list(set(words).difference(self.known))
         full, used = len(self.known) >= CACHE, self.used
-        for word, ids in zip(missing, self._learn(missing), strict=True):
-            self._keep(word, ids)
+        self._learn(missing)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         size = self.size[at]
         ends = np.cumsum(size)
