@@ -7,8 +7,9 @@ each switch labels runs of words, so mixed texts give several spans. The languag
 is the text's.
 
 The best path is found exactly and in two steps: a constant path is best if no other language gains
-more than the penalty on any run of words (largest run by prefix sums, for a whole batch at once);
-only texts where one does are labelled step by step.
+more than half the penalty on any run of words (m runs of other languages cost m - 1 switches at least,
+and m where the constant language comes in at all). The largest gain is found by prefix sums, for a whole
+batch at once; only texts with a larger one are labelled step by step.
 
 Training takes a bounded sample (TRAIN_ROWS rows with the smallest hashed ids) of rows with text and
 language. Edge cases: null, empty and letterless texts are ``und`` with score 0; a null language is
@@ -168,7 +169,7 @@ def paths(score: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> np.n
         before = np.concatenate([[0.0], gain[:-1]])
         gain, before = gain - before[starts][text], before - before[starts][text]
         low = np.minimum.accumulate(before - lift * text) + lift * text  # lowest prefix of the text so far
-        mixed |= np.maximum.reduceat(gain - low, starts) > penalty
+        mixed |= np.maximum.reduceat(gain - low, starts) > penalty / 2
     for i in np.flatnonzero(mixed):
         path[starts[i] : ends[i]] = viterbi(score[starts[i] : ends[i]], penalty)
     return path
@@ -176,16 +177,18 @@ def paths(score: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH) -> np.n
 
 def label(model: Model, texts: list) -> tuple[list, list, list]:
     """(language, share of letters, spans) of each text; a span is [first word, end word, language]."""
+    if not model.langs:
+        return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
     words = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     score, letters = model.scores([w for ws in words for w in ws])
-    path = paths(score, sizes) if model.langs else np.zeros(len(score), np.int64)
+    path = paths(score, sizes)
     langs, shares, spans, at = [], [], [], 0
     for n in sizes.tolist():
         p, heavy = path[at : at + n], letters[at : at + n]
         at += n
-        weight = np.bincount(p, heavy, minlength=max(1, len(model.langs))) if n else np.zeros(1)
-        if not model.langs or not weight.sum():
+        weight = np.bincount(p, heavy, minlength=len(model.langs))
+        if not weight.sum():
             langs.append("und"), shares.append(0.0), spans.append([])
             continue
         top = int(weight.argmax())
