@@ -125,7 +125,9 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], p
     if not first["n"]:
         return []
     share = [first[f"m{k}"] / first["n"] for k in range(len(p))]
-    wanted = sum(targets.get(d, 0.0) for d in domains) or 1.0
+    wanted = sum(targets.get(d, 0.0) for d in domains)
+    if not wanted:  # no domain has a target: nothing to fit
+        return []
     target = [targets.get(d, 0.0) / wanted for d in domains]
     scale = [1 / s if s > 1e-9 else 0.0 for s in share]
     steps: list[list[float]] = []
