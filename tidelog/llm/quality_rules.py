@@ -125,7 +125,7 @@ def rules(prefix: str = "") -> list[tuple[str, F.Column]]:
 
 def fit(patterns: np.ndarray, counts: np.ndarray) -> dict:
     """EM on distinct vote patterns (rows of BAD, ABSTAIN, GOOD) and how often each occurs."""
-    n_rules = patterns.shape[1] if patterns.size else 0
+    n_rules = patterns.shape[1]
     if not len(counts) or not counts.sum():
         return {"prior": START_GOOD, "votes": np.full((2, n_rules, 3), 1 / 3)}
     hot = np.stack([patterns == v for v in (BAD, ABSTAIN, GOOD)], axis=2).astype(float)
