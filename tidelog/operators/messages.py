@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,8 +60,10 @@ class JsonObject:
     def __init__(self):
         self.parts: list[Column] = []
 
-    def add(self, name: str, value: Column, text: bool = True, when: Column | None = None) -> JsonObject:
-        body = F.concat(F.lit(f'"{name}":'), _quote(value) if text else value.cast("string"))
+    def add(self, name: str, value: Column, text: bool = True, when: Column | None = None, plain: bool = False) -> JsonObject:
+        """``plain`` texts hold nothing that JSON escapes, so quotes around them are enough."""
+        quoted = F.concat(F.lit('"'), value, F.lit('"')) if plain else _quote(value)
+        body = F.concat(F.lit(f'"{name}":'), quoted if text else value.cast("string"))
         self.parts.append(F.when(when, body) if when is not None else body)
         return self
 
@@ -85,18 +88,18 @@ def header(options: FormatOptions, kind: str) -> JsonObject:
     names = {"scn": scn, "b_scn": F.col("begin_scn"), "e_scn": F.col("commit_scn")}
     for name, value, show in (("scn", names["scn"], first or options.scn_type & 4), ("b_scn", names["b_scn"], options.scn_type & 2 and kind != "chkpt"), ("e_scn", names["e_scn"], options.scn_type & 8 and kind != "chkpt")):
         if show:
-            out.add(name + "s" if hexed else name, ids.scn_text(value, 1 if hexed else 0), text=hexed)
+            out.add(name + "s" if hexed else name, ids.scn_text(value, 1 if hexed else 0), text=hexed, plain=True)
     mode = options.timestamp_metadata
     text = formats.is_text(mode)
     ts = F.col("commit_s") if options.timestamp_type & 1 and kind != "chkpt" else F.col("ts_s")
     for name, value, show in (("tm", ts, first or options.timestamp_type & 4), ("b_tm", F.col("begin_s"), options.timestamp_type & 2 and kind != "chkpt"), ("e_tm", F.col("commit_s"), options.timestamp_type & 8 and kind != "chkpt")):
         if show:
-            out.add(name + "s" if text else name, formats.timestamp(value, F.lit(0).cast("long"), mode), text=text)
+            out.add(name + "s" if text else name, formats.timestamp(value, F.lit(0).cast("long"), mode), text=text, plain=True)
     out.add("c_scn", F.col("c_scn"), text=False).add("c_idx", F.col("c_idx"), text=False)
     if kind != "chkpt":
-        out.add("xidn" if options.xid == 2 else "xid", ids.xid_text(F.col("usn"), F.col("slt"), F.col("sqn"), options.xid), text=options.xid != 2)
+        out.add("xidn" if options.xid == 2 else "xid", ids.xid_text(F.col("usn"), F.col("slt"), F.col("sqn"), options.xid), text=options.xid != 2, plain=True)
     if options.db & (2 if kind == "ddl" else 1):
-        out.add("db", F.lit(options.database))
+        out.add("db", F.lit(json.dumps(options.database)), text=False)
     if options.user_type & {"begin": 1, "dml": 2, "commit": 4, "ddl": 8, "chkpt": 0}[kind]:
         out.add("usr", F.coalesce("user", F.lit("")))
     if options.redo_thread:
@@ -125,14 +128,14 @@ def first_of_obj(changes: DataFrame, order: list[str]) -> DataFrame:
 
 def dml(changes: DataFrame, options: FormatOptions) -> DataFrame:
     """``body`` of row changes: op, schema, num, row id, before and after (JSON text columns or null)."""
-    payload = JsonObject().add("op", F.col("op"))
+    payload = JsonObject().add("op", F.col("op"), plain=True)
     if options.message & 16:
         payload.add("offset", F.col("offset"), text=False)
     payload.add("schema", schema_block(options), text=False)
     if options.message & 2:
         payload.add("num", F.col("num"), text=False)
     if options.rid:
-        payload.add("rid", F.col("rid"))
+        payload.add("rid", F.col("rid"), plain=True)
     payload.add("before", F.col("before_json"), text=False, when=F.col("before_json").isNotNull() & (F.col("op") != "c"))
     payload.add("after", F.col("after_json"), text=False, when=F.col("after_json").isNotNull() & (F.col("op") != "d"))
     if options.attributes & 2:

@@ -80,25 +80,30 @@ def survivors_checked(redo: DataFrame) -> DataFrame:
     rows = rows.repartition(*XID).sortWithinPartitions(*XID, *ORDER)
 
     def run(batches):
-        key, stack, missed = None, [], 0
+        key, stack, missed, out = None, [], 0, []
+        names = [*XID, *ORDER, "kind", "obj", "n_mismatch"]
 
         def done():
-            return pd.DataFrame([(*key, *x, missed) for x in stack], columns=[*XID, *ORDER, "kind", "obj", "n_mismatch"])
+            return [(*key, *x, missed) for x in stack]
 
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row[:3] != key:
+            columns = [batch[c].tolist() for c in (*XID, *ORDER, "kind", "obj", "undo_kind")]
+            for usn, slt, sqn, scn, sub_scn, kind, obj, undo_kind in zip(*columns, strict=True):
+                if (usn, slt, sqn) != key:
                     if stack:
-                        yield done()
-                    key, stack, missed = row[:3], [], 0
-                if row.kind != "UNDO_LAST":
-                    stack.append((row.scn, row.sub_scn, row.kind, row.obj))
-                elif stack and INVERSE[stack[-1][2]] == row.undo_kind and stack[-1][3] == row.obj:
+                        out.append(done())
+                    key, stack, missed = (usn, slt, sqn), [], 0
+                if kind != "UNDO_LAST":
+                    stack.append((scn, sub_scn, kind, obj))
+                elif stack and INVERSE[stack[-1][2]] == undo_kind and stack[-1][3] == obj:
                     stack.pop()
                 else:
                     missed += 1
+            if out:
+                yield pd.DataFrame([x for rows_ in out for x in rows_], columns=names)
+                out = []
         if stack:
-            yield done()
+            yield pd.DataFrame(done(), columns=names)
 
     return rows.mapInPandas(run, "usn long, slt long, sqn long, scn long, sub_scn int, kind string, obj long, n_mismatch long")
 
