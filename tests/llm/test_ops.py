@@ -235,6 +235,18 @@ def test_rates_equal_numpy(spark):
     assert np.allclose((n * r) @ p / n.sum(), tau, atol=0.01)
 
 
+def test_growing_rates_keep_every_document(spark):
+    rng = np.random.default_rng(3)
+    p = np.eye(4)[rng.choice(4, 300, p=[0.6, 0.2, 0.1, 0.1])]
+    n = rng.integers(1, 300, 300)
+    table = spark.createDataFrame([(int(k), *map(float, x)) for k, x in zip(n, p)], "n_tokens long, p_a double, p_b double, p_c double, p_free double")
+    steps = mixing.fit_rates(table, ["a", "b", "c", "free"], {"a": 0.4, "b": 0.3, "c": 0.3}, grow=True)
+    rate = np.array([r[0] for r in table.select(mixing.rate_expression([F.col(f"p_{d}") for d in ("a", "b", "c", "free")], steps)).collect()])
+    total = (n * rate) @ p
+    assert rate.min() > 0.99 and np.allclose(rate[p[:, 3] == 1], 1)
+    assert np.allclose(total[:3] / total[:3].sum(), [0.4, 0.3, 0.3], atol=0.01)
+
+
 def test_mixing_query_and_plan(spark, sf_dir):
     df = mixing.query(spark, sf_dir)
     rows = df.collect()
@@ -550,6 +562,9 @@ def test_pipeline_stages(spark, sf_dir):
         if k == 0:
             ok = {r.doc_id for r in quality_rules.query(spark, sf_dir).where("kept").collect()}
             assert {r.doc_id for r in new.collect()} == ok
+        if k == 3:  # none is lost, scarce languages are repeated
+            copies = collections.Counter(r.doc_id for r in new.collect())
+            assert set(copies) == {r.doc_id for r in docs.collect()} and max(copies.values()) >= 2
         if k == 2:
             fps = [(r.doc_id, brute_fingerprint(r.text)) for r in docs.collect()]
             assert sorted(r.doc_id for r in new.collect()) == sorted(set(brute_components(fps).values()))

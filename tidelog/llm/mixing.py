@@ -10,7 +10,7 @@ of the steps since they were last written, and nothing but domain sums is collec
 All is DataFrame functions. Bounds: TRAIN_ROWS labelled rows (smallest hashed ids), BUCKETS x
 MAX_DOMAINS weights as literals, MAX_STEPS steps. Edge cases: null and empty texts have no tokens
 and the prior as posterior; null ids are kept but not learned from; repeated rows get equal rates; a domain without
-any posterior mass is left out of the fit; without labels every document is of the one domain
+posterior mass or target is left out of the fit; without labels every document is of the one domain
 ``unlabelled`` at rate 1; an empty table gives an empty result; other columns pass through.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common
 
-TRAIN_ROWS, MAX_DOMAINS = 20_000, 16
+TRAIN_ROWS, MAX_DOMAINS = 20_000, 64
 BUCKETS = 1 << 14
 #: A bucket counts if its chi-square over the domains is above this and it has so many documents.
 MIN_CHI, MIN_DOCS, SMOOTH = 25.0, 8, 0.5
@@ -118,8 +118,12 @@ def rate_expression(p: list[F.Column], steps: list[list[float]], rate: F.Column
     return rate
 
 
-def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], prefix: str = "p_", n_col: str = "n_tokens") -> list[list[float]]:
-    """Steps of the projected gradient; ``table`` has tokens and posteriors of every document."""
+def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], prefix: str = "p_", n_col: str = "n_tokens", grow: bool = False) -> list[list[float]]:
+    """Steps of the projected gradient; ``table`` has tokens and posteriors of every document.
+
+    Targets are shares of the tokens of the domains that have one; other domains are left as they are. With
+    ``grow`` the total rises until the domain most above its target stays whole and only others gain.
+    """
     p, n = [F.col(prefix + d) for d in domains], F.col(n_col)
     first = table.agg(F.sum(n).alias("n"), *(F.sum(n * x).alias(f"m{k}") for k, x in enumerate(p))).first()
     if not first["n"]:
@@ -128,8 +132,12 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], p
     wanted = sum(targets.get(d, 0.0) for d in domains)
     if not wanted:  # no domain has a target: nothing to fit
         return []
-    target = [targets.get(d, 0.0) / wanted for d in domains]
-    scale = [1 / s if s > 1e-9 else 0.0 for s in share]
+    base = sum(s for s, d in zip(share, domains, strict=True) if d in targets)
+    target = [targets[d] / wanted * base if d in targets else s for s, d in zip(share, domains, strict=True)]
+    if grow:
+        most = max(s / t for s, t, d in zip(share, target, domains, strict=True) if d in targets and t > 0)
+        target = [t * most if d in targets else t for t, d in zip(target, domains, strict=True)]
+    scale = [1 / s if s > 1e-9 and d in targets else 0.0 for s, d in zip(share, domains, strict=True)]
     steps: list[list[float]] = []
     now, table, since = share, table.select(n_col, *(prefix + d for d in domains), F.lit(1.0).alias("rate")), []
     for _ in range(MAX_STEPS):
@@ -154,19 +162,19 @@ def copies_of(rate: F.Column, id_col: str) -> F.Column:
     return F.when(rest < DEAD_BAND, F.floor(rate)).when(rest > 1 - DEAD_BAND, F.ceil(rate)).otherwise(F.floor(rate) + (drawn < rest).cast("long")).cast("long")
 
 
-def rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, grow: bool = False) -> DataFrame:
     """The columns ``keep`` of ``docs`` with n_tokens, posteriors ``p_*``, ``rate`` and ``copies``."""
     model = fit_classifier(docs, domains, id_col, text_col)
     table = common.materialize(with_posteriors(docs, model, text_col).select(*(keep or [id_col]), "n_tokens", *(f"p_{d}" for d in model["domains"])), "posteriors")
-    steps = fit_rates(table, model["domains"], targets)
+    steps = fit_rates(table, model["domains"], targets, grow=grow)
     rate = rate_expression([F.col(f"p_{d}") for d in model["domains"]], steps)
     return table.withColumn("rate", F.round(rate, 6)).withColumn("copies", copies_of(F.col("rate"), id_col))
 
 
-def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", grow: bool = False) -> DataFrame:
     """``docs`` with each row as often as its copies say."""
     packed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*docs.columns).alias("_row"))
-    out = rates(packed, domains, targets, "_id", "_text", keep=["_id", "_row"]).where("copies > 0")
+    out = rates(packed, domains, targets, "_id", "_text", keep=["_id", "_row"], grow=grow).where("copies > 0")
     once = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return once.select("_row.*")
 
