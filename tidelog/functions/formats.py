@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 NANO = 1_000_000_000
 
 
+def seconds_of(clock: Column) -> Column:
+    """Whole seconds of a clock time without zone since 1970, whatever the session's zone is."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), clock.cast("timestamp_ntz"))
+
+
 def _civil(seconds: Column, separator: str) -> Column:
     """``YYYY-MM-DD?HH:MI:SS`` without the session's time zone."""
     day, rest = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400))

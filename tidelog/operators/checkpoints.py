@@ -9,8 +9,8 @@ from tidelog.operators.transactions import XID
 
 
 def low_watermark(open_tx: DataFrame) -> DataFrame:
-    """The oldest begin of all open transactions: where reading must start again."""
-    return open_tx.agg(F.min(F.struct("seq", "offset", *XID)).alias("m")).select("m.*")
+    """The oldest begin of all open transactions: where reading must start again (no row: none is open)."""
+    return open_tx.agg(F.min(F.struct("seq", "offset", *XID)).alias("m")).where("m IS NOT NULL").select("m.*")
 
 
 def lwn_positions(records: DataFrame) -> DataFrame:

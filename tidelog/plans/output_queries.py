@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidelog.functions import formats
 from tidelog.operators import checkpoints, dictionary, lob, messages, metrics
 from tidelog.operators import transactions as tx
 from tidelog.plans import fixtures
@@ -46,7 +47,7 @@ def _shown(spark, sf_dir):
     letter = F.when(F.col("kind") == "INSERT", "c").when(F.col("kind") == "DELETE", "d").otherwise("u")
     image = F.create_map(F.lit("ID"), F.col("scn").cast("string"), F.lit("SIZE"), F.when(F.col("scn") % 4 != 0, F.col("size").cast("string")))
     return named.withColumns({
-        "op": letter, "ts_s": F.unix_timestamp("ts"), "begin_s": F.unix_timestamp("begin_ts"), "commit_s": F.unix_timestamp("end_ts"), "c_scn": F.col("begin_scn"), "c_idx": F.col("num") + 1,
+        "op": letter, "ts_s": formats.seconds_of(F.col("ts")), "begin_s": formats.seconds_of(F.col("begin_ts")), "commit_s": formats.seconds_of(F.col("end_ts")), "c_scn": F.col("begin_scn"), "c_idx": F.col("num") + 1,
         "user": F.concat(F.lit("U"), F.col("usn").cast("string")), "thread": F.lit(1), "owner": F.coalesce("owner", F.lit("?")), "rid": F.lit("AAAAAAAAAAAAAAAAAA"),
         "before_json": messages.image_json(image), "after_json": messages.image_json(image), "attrs_json": F.lit(None).cast("string"), "columns_json": F.lit('["ID","SIZE"]'),
     })
@@ -73,13 +74,13 @@ def tx_one_message(spark, sf_dir):
 
 def begin_commit_messages(spark, sf_dir):
     done = tx.emitted(tx.transactions(fixtures.redo(spark, sf_dir)))
-    rows = done.withColumns({"scn": F.col("begin_scn"), "ts_s": F.unix_timestamp("begin_ts"), "begin_s": F.unix_timestamp("begin_ts"), "commit_s": F.unix_timestamp("end_ts"), "c_scn": F.col("begin_scn"), "c_idx": F.lit(0), "user": F.lit("U"), "thread": F.lit(1)})
+    rows = done.withColumns({"scn": F.col("begin_scn"), "ts_s": formats.seconds_of(F.col("begin_ts")), "begin_s": formats.seconds_of(F.col("begin_ts")), "commit_s": formats.seconds_of(F.col("end_ts")), "c_scn": F.col("begin_scn"), "c_idx": F.lit(0), "user": F.lit("U"), "thread": F.lit(1)})
     both = messages.around(rows, messages.FormatOptions(), "begin").withColumn("place", F.lit("begin")).unionByName(messages.around(rows.withColumn("scn", F.col("commit_scn")), messages.FormatOptions(), "commit").withColumn("place", F.lit("commit")))
     return both.select(*tx.XID, "place", "body")
 
 
 def checkpoint_messages(spark, sf_dir):
-    lwns = _lwns(spark, sf_dir).withColumns({"ts_s": F.unix_timestamp("ts"), "c_scn": F.col("scn"), "c_idx": F.lit(0), "redo": F.col("scn") % 2 == 0})
+    lwns = _lwns(spark, sf_dir).withColumns({"ts_s": formats.seconds_of(F.col("ts")), "c_scn": F.col("scn"), "c_idx": F.lit(0), "redo": F.col("scn") % 2 == 0})
     return messages.checkpoints(lwns, messages.FormatOptions(scn=1)).select("lwn_id", "body")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions import formats
 from tidelog.operators import condition, dictionary, diff, messages
 from tidelog.operators import transactions as tx
 
@@ -44,7 +45,7 @@ def replay(redo: DataFrame, versions: DataFrame, options: messages.FormatOptions
     keys = ["ID"] if "key_text" not in placed.columns else []
     b, a = diff.side(diff.changed(both, keys, options.column), "b"), diff.side(diff.changed(both, keys, options.column), "a")
     placed = placed.withColumns({
-        "op": letter, "ts_s": F.unix_timestamp("ts"), "begin_s": F.unix_timestamp("begin_ts"), "commit_s": F.unix_timestamp("end_ts"), "c_scn": F.col("begin_scn"), "c_idx": F.col("num") + 1,
+        "op": letter, "ts_s": formats.seconds_of(F.col("ts")), "begin_s": formats.seconds_of(F.col("begin_ts")), "commit_s": formats.seconds_of(F.col("end_ts")), "c_scn": F.col("begin_scn"), "c_idx": F.col("num") + 1,
         "user": F.element_at(attrs, "login username"), "thread": F.lit(1), "rid": F.lit(""), "attrs_json": F.to_json(attrs),
         "before_json": messages.image_json(F.when(letter == "d", before).otherwise(b)), "after_json": messages.image_json(F.when(letter == "c", after).otherwise(a)),
         "columns_json": F.to_json(F.split("columns_text", ",")), "offset": F.col("scn"),
