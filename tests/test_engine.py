@@ -138,6 +138,13 @@ def test_survivors_equal_a_stack(spark, sf_dir, checked):
     assert sorted((r.usn, r.slt, r.sqn, r.scn) for r in got.collect()) == want
 
 
+def test_one_pass_equals_join(spark, sf_dir):
+    redo = fixtures.redo(spark, sf_dir)
+    cols = [*tx.XID, "scn", "kind", "begin_scn", "commit_scn", "num"]
+    joined = tx.commit_order(tx.survivors(redo), tx.transactions(redo)).select(*cols)
+    assert sorted(map(tuple, tx.committed_changes(redo).select(*cols).collect())) == sorted(map(tuple, joined.collect()))
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     redo = fixtures.redo(spark, sf_dir)
     for seq in range(3):

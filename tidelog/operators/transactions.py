@@ -116,6 +116,32 @@ def commit_order(changes: DataFrame, tx: DataFrame) -> DataFrame:
     return joined.withColumn("num", F.row_number().over(order) - 1)
 
 
+def committed_changes(redo: DataFrame, after_scn: int | None = None) -> DataFrame:
+    """Surviving changes of emitted transactions with begin, commit and ``num``, in one pass over the log.
+
+    The same as ``commit_order(survivors(redo), transactions(redo))``, but the transaction's own columns
+    come from frames over the sorted partition, so one shuffle and one sort serve all of it.
+    """
+    order = Window.partitionBy(*XID).orderBy(*ORDER)
+    so_far, rest, whole = (order.rowsBetween(a, b) for a, b in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing), (Window.unboundedPreceding, Window.unboundedFollowing)))
+    step = F.when(F.col("kind").isin(*CHANGES), 1).when(F.col("kind") == "UNDO_LAST", -1).otherwise(0)
+    rows = redo.withColumns({
+        "begin_scn": F.min(_at(["BEGIN"], "scn")).over(whole),
+        "commit_scn": F.max(_at(["COMMIT"], "scn")).over(whole),
+        "_undone": F.max(F.when(F.col("kind") == "ROLLBACK", 1)).over(whole),
+        "begin_ts": F.min(_at(["BEGIN"], "ts")).over(whole),
+        "end_ts": F.max(_at(["COMMIT", "ROLLBACK"], "ts")).over(whole),
+        "_sum": F.sum(step).over(so_far),
+    })
+    rows = rows.where("begin_scn IS NOT NULL AND commit_scn IS NOT NULL AND _undone IS NULL")
+    if after_scn is not None:
+        rows = rows.where(F.col("commit_scn") > after_scn)
+    rows = rows.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far)))
+    rows = rows.withColumn("_low", F.min("_depth").over(rest))
+    live = rows.where(F.col("kind").isin(*CHANGES) & (F.col("_low") >= F.col("_depth"))).drop("_sum", "_depth", "_low", "_undone")
+    return live.withColumn("num", F.row_number().over(order) - 1)
+
+
 def ordered(changes: DataFrame) -> DataFrame:
     """Global commit order, by range partitions."""
     return changes.orderBy("commit_scn", *XID, "num")

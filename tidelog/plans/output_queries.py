@@ -41,8 +41,7 @@ def lob_orphan_pages(spark, sf_dir):
 
 
 def _shown(spark, sf_dir):
-    redo = fixtures.redo(spark, sf_dir)
-    placed = tx.commit_order(tx.survivors(redo), tx.transactions(redo))
+    placed = tx.committed_changes(fixtures.redo(spark, sf_dir))
     named = dictionary.schemaless(dictionary.as_of(placed, fixtures.dictionary(spark, sf_dir)))
     letter = F.when(F.col("kind") == "INSERT", "c").when(F.col("kind") == "DELETE", "d").otherwise("u")
     image = F.create_map(F.lit("ID"), F.col("scn").cast("string"), F.lit("SIZE"), F.when(F.col("scn") % 4 != 0, F.col("size").cast("string")))

@@ -1,7 +1,8 @@
 """Batch replay: an ordered change log to messages, as one lazy plan.
 
-Two shuffles (by transaction, by commit order) and one broadcast (the dictionary, size checked). The rules'
-join comes before the first shuffle, so records of other tables never travel.
+One shuffle (by transaction; a second one where global commit order is asked for) and one broadcast (the
+dictionary, size checked). Records of all tables go through the stack, since an undo record takes back the last
+change whatever its table.
 """
 
 from __future__ import annotations
@@ -25,14 +26,11 @@ def replay(redo: DataFrame, versions: DataFrame, options: messages.FormatOptions
         redo = tx.skip(redo, skip_xid)
     if max_bytes:
         redo, _ = tx.within_limit(redo, max_bytes)
-    # A version's rule depends on the names at that time; an undo record follows its change's table.
+    # A version's rule depends on the names at that time, so the record is resolved before rules apply to it.
     named = dictionary.apply_rules(versions, rules)
-    changes = dictionary.as_of(redo.where(F.col("kind").isin(*tx.CHANGES)), named, columns=[c for c in named.columns if c not in ("obj", "valid_from", "valid_to")])
-    done = tx.transactions(redo).where(F.coalesce(F.col("commit_scn"), F.lit(0)) > after_scn)
-    live = tx.survivors(redo).select(*tx.XID, *tx.ORDER)
-    kept = changes.join(live, [*tx.XID, *tx.ORDER], "left_semi")
-    kept = dictionary.schemaless(kept).withColumn("owner", F.coalesce("owner", F.lit(""))) if schemaless else kept.where("name IS NOT NULL")
-    placed = tx.commit_order(kept, done)
+    placed = tx.committed_changes(redo, after_scn or None)
+    placed = dictionary.as_of(placed, named, columns=[c for c in named.columns if c not in ("obj", "valid_from", "valid_to")])
+    placed = dictionary.schemaless(placed).withColumn("owner", F.coalesce("owner", F.lit(""))) if schemaless else placed.where("name IS NOT NULL")
     letter = F.when(F.col("kind") == "INSERT", "c").when(F.col("kind") == "DELETE", "d").otherwise("u")
     attrs = F.coalesce("attrs", diff.empty()) if "attrs" in placed.columns else diff.empty()
     shown = F.lit(True)

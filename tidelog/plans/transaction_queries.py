@@ -26,8 +26,7 @@ out_tx AS (SELECT * FROM tx WHERE outcome = 'COMMIT' AND begin_scn IS NOT NULL)
 
 
 def tx_committed_order(spark, sf_dir):
-    redo = fixtures.redo(spark, sf_dir)
-    placed = tx.commit_order(tx.survivors(redo), tx.transactions(redo))
+    placed = tx.committed_changes(fixtures.redo(spark, sf_dir))
     kinds = [F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k.lower()}") for k in tx.CHANGES]
     return placed.groupBy(*tx.XID, "begin_scn", "commit_scn").agg(*kinds, F.count("*").alias("n_messages")).orderBy("commit_scn", *tx.XID)
 
