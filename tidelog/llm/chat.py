@@ -36,7 +36,8 @@ def turns_with_prefixes(turns: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
         F.floor(F.col("turn") / CHUNK).alias("chunk"),
     )
-    rows = rows.withColumn("rendered", F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE)))
+    # Only the parts travel; the rendered turn is put together at the end.
+    size = F.length("role") + F.length("text") + len(OPEN) + len(CLOSE) + 1
     part = Window.partitionBy("conv_id", "chunk")
     line = part.orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -45,7 +46,7 @@ def turns_with_prefixes(turns: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "x1": F.bit_xor("h1").over(so_far),
         "x2": F.bit_xor("h2").over(so_far),
-        "chars": F.sum(F.length("rendered")).over(so_far),
+        "chars": F.sum(size).over(so_far),
         "in_chunk": F.count("*").over(part),
     })
     # One row a chunk: its last.
@@ -68,8 +69,8 @@ def turns_with_prefixes(turns: DataFrame) -> DataFrame:
         "turn",
         (F.col("p_n") + F.col("rank")).alias("position"),
         "role",
-        "rendered",
-        (F.col("p_chars") + F.col("chars") - F.length("rendered")).alias("start_char"),
+        F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE)).alias("rendered"),
+        (F.col("p_chars") + F.col("chars") - size).alias("start_char"),
         "n_turns",
         F.col("p1").bitwiseXOR(F.col("x1")).alias("hash1"),
         F.col("p2").bitwiseXOR(F.col("x2")).alias("hash2"),
