@@ -215,6 +215,53 @@ def test_simhash_edges(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def brute_near(rows):
+    """(id, text) rows to the smallest id of each group linked by Jaccard >= 0.8 of five-word shingles."""
+    sets = {}
+    for i, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(sets, 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    return {root(i) for i in sets}
+
+
+@pytest.mark.parametrize("chunk", [8, 512])
+def test_near_copies_equal_brute_jaccard(spark, sf_dir, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(7)
+    rows = [(r.doc_id, r.text) for r in documents(spark, sf_dir).collect()]
+    for k in range(12):  # copies with one to eight words changed, on both sides of the threshold
+        words = [f"w{rng.randrange(900)}" for _ in range(120)]
+        rows.append((10_000 + 10 * k, " ".join(words)))
+        for n in range(1, 9):
+            copy = list(words)
+            for at in rng.sample(range(120), n):
+                copy[at] = "changed"
+            rows.append((10_000 + 10 * k + n, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near(rows)
+    assert {r.doc_id for r in simhash.keep_one_near(docs).collect()} == want
+    if chunk == 512:  # most of these copies are more than 4 bits apart
+        assert simhash.keep_one(docs).count() > len(want)
+
+
+def test_near_copies_edges(spark):
+    docs = edge_docs(spark)
+    kept = simhash.keep_one_near(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "7", "8", "9", "None"]
+    assert simhash.keep_one_near(docs.limit(0)).count() == 0
+
+
 # 2: mixing
 
 

@@ -13,8 +13,13 @@ Groups above CHUNK members are cut into chunks and each pair of chunks is a task
 link is lost and no group is held whole. The number of blocks follows the count of classes, which
 keeps mean groups small at any size and changes no result.
 
-Edge cases: null and wordless texts have fingerprint zero and link like any other; fewer than four
-words are one shingle; repeated rows each get their row; a null id is not a vertex (its
+``keep_one_near`` has a contract of its own: texts link if their sets of five-word shingles have a
+Jaccard similarity of at least 0.8. Such pairs differ in up to some 20 bits
+of a fingerprint, where no bit mask finds them, so candidates come from MinHash bands over the same
+shingle hashes; components of candidates are then compared shingle by shingle, which is exact.
+
+Edge cases: null and wordless texts have fingerprint zero and link like any other; fewer words than a
+shingle has are one shingle; repeated rows each get their row; a null id is not a vertex (its
 component_id is null); an empty table gives an empty result.
 """
 
@@ -24,6 +29,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,22 +45,32 @@ CHUNK = 512
 #: Mean members of a group that the number of blocks aims at.
 MEAN_GROUP = 64
 MAX_ROUNDS = 60
+#: ``keep_one_near``: words of a shingle, and the least Jaccard similarity of a link as a fraction.
+NEAR_SHINGLE, NEAR = 5, (4, 5)
+#: MinHash bands and hashes in each. A pair at the threshold shares no band with probability (1 - 0.8**4)**32 = 5e-8.
+BANDS, BAND_ROWS = 32, 4
 
 
-def fingerprint(text) -> int:
-    """The 64-bit SimHash of one text."""
+def shingle_hashes(text, width: int) -> list[int]:
+    """XXH64 of each run of ``width`` words (of all words if there are fewer), in order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate([[0], ends[: len(words) - SHINGLE]]).tolist()
-        stops = (ends[SHINGLE - 1 :] - 1).tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
+    if len(words) <= width:
+        return [digest(joined, SEED)]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[: len(words) - width]]).tolist()
+    stops = (ends[width - 1 :] - 1).tolist()
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
+
+
+def fingerprint(text) -> int:
+    """The 64-bit SimHash of one text."""
+    hashes = shingle_hashes(text, SHINGLE)
+    if not hashes:
+        return 0
     total = np.zeros(64, np.int64)
     h = np.array(hashes, dtype=">u8")
     for at in range(0, len(h), 65_536):  # bits of a very long text are summed piece by piece
@@ -197,6 +213,98 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return prints.join(named, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def shingle_set(text) -> np.ndarray:
+    """The distinct hashes of the five-word shingles of one text, in order."""
+    return np.unique(np.array(shingle_hashes(text, NEAR_SHINGLE), np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One signed key a band; sets that share a key are candidates."""
+    if not len(shingles):
+        return []
+    factors = np.array([xxhash.xxh64_intdigest(b"factor %d" % i, SEED) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
+    low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):  # bounds the product of a very long text
+        low = np.minimum(low, (shingles[at : at + 4096, None] * factors[None, :]).min(0))
+    rows = low.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+
+
+def near_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs that span the sets linked by an exact Jaccard similarity of at least ``NEAR``."""
+    size = np.array([len(x) for x in sets])
+    flat, place = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(size) - size
+    label, out = np.arange(len(sets)), []
+    held = np.zeros(len(flat), bool)
+    for i in range(len(sets) - 1):
+        if not (label[i + 1 :] != label[i]).any():  # one component already: nothing to add
+            continue
+        own = place[starts[i] : starts[i] + size[i]]
+        held[own] = True
+        common_ = np.add.reduceat(held[place[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
+        held[own] = False
+        union = size[i] + size[i + 1 :] - common_
+        for j in (np.flatnonzero(NEAR[1] * common_ >= NEAR[0] * union) + i + 1).tolist():
+            if label[i] != label[j]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def near_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) of ``classes(cls, id, t, bands)``, one for each shingle set; ``docs(id, t, text)`` has their texts."""
+    spark = classes.sparkSession
+    keyed = classes.select("cls", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    # Each member is tied to the smallest of its band, so pairs that share a band are in one component.
+    maybe = components(keyed.join(shared, "key").select("a", F.col("cls").alias("b")))
+    members = classes.select("cls", "id", "t").join(maybe, F.col("cls") == F.col("vertex")).select("cls", "id", "t", "component")
+    members = common.materialize(members, "members")
+
+    def sets(batches):
+        for batch in batches:
+            made = [shingle_set(t).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["cls", "component", "set"])
+
+    found = docs.join(members, ["id", "t"]).select("cls", "component", "text").mapInArrow(sets, "cls long, component long, set binary")
+    found = common.materialize(found.groupBy("cls", "component").agg(F.first("set").alias("set")), "sets")
+    # As in class_links: a member of a large component goes to every pair of chunks that its own chunk is in.
+    count = found.groupBy("component").count().select("component", F.when(F.col("count") > CHUNK, F.ceil(F.col("count") / (CHUNK // 2))).otherwise(1).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, own).alias("i"), F.greatest(c, own).alias("j")))
+    dealt = found.join(count, "component").withColumn("pair", F.explode(pairs)).select("component", "pair.i", "pair.j", "cls", "set")
+    n_groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // MEAN_GROUP)
+    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("component", "i", "j"), F.lit(n_groups)))
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = [], []
+        for _, part in rows.groupby(["component", "i", "j"], sort=False):
+            cls = part["cls"].to_numpy()
+            for a, b in near_pairs([np.frombuffer(x, np.uint64) for x in part["set"]]):
+                left.append(cls[a])
+                right.append(cls[b])
+        return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+
+    return dealt.groupBy("g").applyInPandas(link, "a long, b long")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """(cls, id, t, component) of each shingle set of ``docs(id, t, text)``: its smallest row, and the group that it is in."""
+
+    def prints(batches):
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
+            cls = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], names=["id", "t", "cls", "bands"])
+
+    made = docs.where("id is not null").select("id", "t", "text").mapInArrow(prints, "id long, t long, cls long, bands array<long>")
+    classes = made.groupBy("cls").agg(F.min(F.struct("id", "t")).alias("row"), F.first("bands").alias("bands"))
+    classes = common.materialize(classes.select("cls", "row.id", "row.t", "bands"), "classes")
+    comps = components(near_links(classes, docs))
+    return classes.join(comps, F.col("cls") == F.col("vertex"), "left").select("cls", "id", "t", F.coalesce("component", "cls").alias("component"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate group: that with the smallest id. Rows without id stay."""
     kept = group(docs, id_col, text_col).where("id = component_id").select(F.col("id").alias(id_col)).distinct()
@@ -206,6 +314,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 
+def keep_one_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of texts linked by ``NEAR``: that with the smallest id. Rows without id stay."""
+    key, t = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    found = near_classes(docs.select(key.alias("id"), t.alias("t"), F.col(text_col).alias("text")))
+    kept = found.groupBy("component").agg(F.min(F.struct("id", "t")).alias("row")).select("row.id", "row.t")
+    return _rows_of(docs, kept, id_col, text_col)
+
+
+def _rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each (id, hash of the text) in ``kept(id, t)``, and all rows without id."""
+    at_id, at_t = common.free_name(docs, "_kept_id"), common.free_name(docs, "_kept_t")
+    kept = common.materialize(kept.select(F.col("id").alias(at_id), F.col("t").alias(at_t)), "kept")
+    t = F.xxhash64(text_col)
+    out = docs.join(kept, (F.col(id_col).cast("long") == F.col(at_id)) & (t == F.col(at_t)), "left_semi").select(*docs.columns)
+    none = docs.where(F.col(id_col).isNull())
+    if not out.groupBy(id_col, t.alias(at_t)).count().where("count > 1").isEmpty():  # the first of repeated rows by all columns
+        row = F.struct(*docs.columns)
+        out = out.groupBy(F.col(id_col).alias(at_id), t.alias(at_t)).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return out.unionByName(none)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: fingerprint and group of every document."""
     common.tune(spark)
