@@ -282,6 +282,34 @@ def test_rates_equal_numpy(spark):
     assert np.allclose((n * r) @ p / n.sum(), tau, atol=0.01)
 
 
+def totals_of(table, domains, steps):
+    rate = mixing.rate_expression([F.col(f"p_{d}") for d in domains], steps)
+    row = table.agg(*(F.sum(F.col("n_tokens") * rate * F.col(f"p_{d}")).alias(d) for d in domains)).first()
+    return np.array([row[d] for d in domains])
+
+
+def test_overlapping_posteriors_reach_targets(spark):
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 400)
+    n = rng.integers(0, 300, 400)
+    table = spark.createDataFrame([(int(k), *map(float, x)) for k, x in zip(n, p)], "n_tokens long, p_a double, p_b double, p_c double")
+    steps = mixing.fit_whole(table, list("abc"), {"a": 0.7, "b": 0.25, "c": 0.05})
+    assert np.allclose(totals_of(table, "abc", steps) / n.sum(), [0.7, 0.25, 0.05], atol=mixing.MAX_GAP)
+
+
+def test_unreachable_targets_are_reported(spark):
+    table = spark.createDataFrame([(10, 0.5, 0.5), (20, 0.6, 0.4)], "n_tokens long, p_a double, p_b double")
+    with pytest.warns(UserWarning, match="targets not reached"):
+        mixing.fit_whole(table, ["a", "b"], {"a": 0.9, "b": 0.1})
+
+
+def test_mixing_query_reaches_targets(spark, sf_dir):
+    df = mixing.query(spark, sf_dir.replace("0.001", "0.1"))
+    row = df.agg(*(F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")).alias(d) for d in mixing.TARGETS)).first()
+    total = sum(row)
+    assert {d: row[d] / total for d in mixing.TARGETS} == pytest.approx(mixing.TARGETS, abs=2 * mixing.MAX_GAP)
+
+
 def test_growing_rates_keep_every_document(spark):
     rng = np.random.default_rng(3)
     p = np.eye(4)[rng.choice(4, 300, p=[0.6, 0.2, 0.1, 0.1])]

@@ -5,10 +5,12 @@ tell domains apart) gives each document a posterior for each domain. Non-negativ
 then fitted by projected gradient descent on the least squares between expected domain tokens
 ``sum(rate * tokens * posterior)`` and the targets, with a small pull towards rate 1 that makes the
 solution unique. A step needs only one aggregate: the rates are an expression of the posteriors and
-of the steps since they were last written, and nothing but domain sums is collected.
+of the steps since they were last written, and nothing but domain sums is collected. Where those steps
+leave a total more than MAX_GAP off its target, Newton's method on the dual problem (one number a
+domain; its matrix is one aggregate too) finishes the fit; targets that no rates reach give a warning.
 
 All is DataFrame functions. Bounds: TRAIN_ROWS labelled rows (smallest hashed ids), BUCKETS x
-MAX_DOMAINS weights as literals, MAX_STEPS steps. Edge cases: null and empty texts have no tokens
+MAX_DOMAINS weights as literals, MAX_STEPS and MAX_NEWTON steps. Edge cases: null and empty texts have no tokens
 and the prior as posterior; null ids are kept but not learned from; repeated rows get equal rates; a domain without
 posterior mass or target is left out of the fit; without labels every document is of the one domain
 ``unlabelled`` at rate 1; an empty table gives an empty result; other columns pass through.
@@ -17,7 +19,9 @@ posterior mass or target is left out of the fit; without labels every document i
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,10 @@ BUCKETS = 1 << 14
 #: A bucket counts if its chi-square over the domains is above this and it has so many documents.
 MIN_CHI, MIN_DOCS, SMOOTH = 25.0, 8, 0.5
 MAX_STEPS, RIDGE, TOLERANCE = 40, 1e-3, 1e-5
+#: The fit is finished if each domain's tokens are this near to the target, as a share of all tokens.
+MAX_GAP = 1e-3
+#: Newton's method: steps, halvings of a step, pull towards rate 1 and size of the slope at the end.
+MAX_NEWTON, MAX_HALVINGS, DUAL_RIDGE, DUAL_TOLERANCE = 60, 30, 1e-6, 1e-6
 #: Steps after which the rates (numbers only, no texts) are written to the shared folder.
 WRITE_STEPS = 8
 #: A rate this near a whole number gives that many copies; between, a hash of the id decides.
@@ -118,8 +126,8 @@ def rate_expression(p: list[F.Column], steps: list[list[float]], rate: F.Column
     return rate
 
 
-def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], prefix: str = "p_", n_col: str = "n_tokens", grow: bool = False) -> list[list[float]]:
-    """Steps of the projected gradient; ``table`` has tokens and posteriors of every document.
+def aims_of(table: DataFrame, domains: list[str], targets: dict[str, float], prefix: str = "p_", n_col: str = "n_tokens", grow: bool = False) -> tuple[int, list[float], list[float], list[float]] | None:
+    """Tokens, and for each domain its share of them, the share aimed at and the weight of the gap (0: no aim).
 
     Targets are shares of the tokens of the domains that have one; other domains are left as they are. With
     ``grow`` the total rises until the domain most above its target stays whole and only others gain.
@@ -127,17 +135,30 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], p
     p, n = [F.col(prefix + d) for d in domains], F.col(n_col)
     first = table.agg(F.sum(n).alias("n"), *(F.sum(n * x).alias(f"m{k}") for k, x in enumerate(p))).first()
     if not first["n"]:
-        return []
+        return None
     share = [first[f"m{k}"] / first["n"] for k in range(len(p))]
     wanted = sum(targets.get(d, 0.0) for d in domains)
     if not wanted:  # no domain has a target: nothing to fit
-        return []
+        return None
     base = sum(s for s, d in zip(share, domains, strict=True) if d in targets)
     target = [targets[d] / wanted * base if d in targets else s for s, d in zip(share, domains, strict=True)]
     if grow:
         most = max(s / t for s, t, d in zip(share, target, domains, strict=True) if d in targets and t > 0)
         target = [t * most if d in targets else t for t, d in zip(target, domains, strict=True)]
     scale = [1 / s if s > 1e-9 and d in targets else 0.0 for s, d in zip(share, domains, strict=True)]
+    return first["n"], share, target, scale
+
+
+def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], prefix: str = "p_", n_col: str = "n_tokens", grow: bool = False) -> list[list[float]]:
+    """Steps of the projected gradient; ``table`` has tokens and posteriors of every document."""
+    aims = aims_of(table, domains, targets, prefix, n_col, grow)
+    return descend(table, domains, aims, prefix, n_col)[0] if aims else []
+
+
+def descend(table: DataFrame, domains: list[str], aims: tuple, prefix: str, n_col: str) -> tuple[list[list[float]], list[float]]:
+    """Steps of the projected gradient towards ``aims_of``, and the shares that they give."""
+    p, n = [F.col(prefix + d) for d in domains], F.col(n_col)
+    n_all, share, target, scale = aims
     steps: list[list[float]] = []
     now, table, since = share, table.select(n_col, *(prefix + d for d in domains), F.lit(1.0).alias("rate")), []
     for _ in range(MAX_STEPS):
@@ -149,9 +170,69 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], p
             table = common.materialize(table.withColumn("rate", rate), "rates")
             since, rate = [], F.col("rate")
         row = table.agg(*(F.sum(n * rate * x).alias(f"m{k}") for k, x in enumerate(p))).first()
-        was, now = now, [row[f"m{k}"] / first["n"] for k in range(len(p))]
+        was, now = now, [row[f"m{k}"] / n_all for k in range(len(p))]
         if max(abs(a - b) for a, b in zip(was, now, strict=True)) < TOLERANCE:
             break
+    return steps, now
+
+
+def finish(table: DataFrame, domains: list[str], aims: tuple, prefix: str, n_col: str) -> tuple[list[list[float]], list[float]]:
+    """One step that gives the fitted rates, and the shares that it gives.
+
+    The fit with pull ``DUAL_RIDGE`` has rates ``max(0, 1 - sum(x * posterior))`` for one number x a domain, which
+    minimises a convex function of K variables: Newton's method with halved steps needs a few aggregates of K x K sums.
+    """
+    p, n = [F.col(prefix + d) for d in domains], F.col(n_col)
+    n_all, _, target, scale = aims
+    free = [k for k in range(len(p)) if scale[k]]
+    pull = np.array([DUAL_RIDGE / scale[k] for k in free])
+    aim = np.array([target[k] for k in free])
+
+    def at(x: np.ndarray):
+        whole = [0.0] * len(p)
+        for k, v in zip(free, x.tolist(), strict=True):
+            whole[k] = v * (1.0 + RIDGE)  # rate_expression divides by it
+        rate = rate_expression(p, [whole])
+        live = n * (rate > 0).cast("double")
+        sums = [F.sum(n * rate * rate).alias("q"), *(F.sum(n * rate * x).alias(f"m{k}") for k, x in enumerate(p))]
+        sums += [F.sum(live * p[a] * p[b]).alias(f"h{i}_{j}") for i, a in enumerate(free) for j, b in enumerate(free) if i <= j]
+        row = table.agg(*sums).first()
+        now = [row[f"m{k}"] / n_all for k in range(len(p))]
+        value = float(pull @ (x * x) / 2 + aim @ x + row["q"] / n_all / 2)
+        slope = pull * x + aim - np.array([now[k] for k in free])
+        bend = np.diag(pull) + np.array([[row[f"h{min(i, j)}_{max(i, j)}"] / n_all for j in range(len(free))] for i in range(len(free))])
+        return whole, now, value, slope, bend
+
+    x = np.zeros(len(free))
+    here = at(x)
+    for _ in range(MAX_NEWTON):
+        _, _, value, slope, bend = here
+        if np.abs(slope).max() <= DUAL_TOLERANCE:
+            break
+        step = np.linalg.solve(bend, slope)
+        for half in range(MAX_HALVINGS):
+            there = at(x - step / 2**half)
+            if there[2] <= value - 1e-4 / 2**half * float(slope @ step):
+                break
+        else:
+            break
+        x, here = x - step / 2**half, there
+    return [here[0]], here[1]
+
+
+def fit_whole(table: DataFrame, domains: list[str], targets: dict[str, float], prefix: str = "p_", n_col: str = "n_tokens", grow: bool = False) -> list[list[float]]:
+    """Steps after which every total is within ``MAX_GAP`` of its target; a warning gives the gaps if no rates do that."""
+    aims = aims_of(table, domains, targets, prefix, n_col, grow)
+    if aims is None:
+        return []
+    gap = lambda now: max(abs(a - b) for a, b, s in zip(now, aims[2], aims[3], strict=True) if s)
+    if not any(aims[3]):
+        return []
+    steps, now = descend(table, domains, aims, prefix, n_col)
+    if gap(now) > MAX_GAP:
+        steps, now = finish(table, domains, aims, prefix, n_col)
+    if gap(now) > MAX_GAP:
+        warnings.warn("mixing: targets not reached; share of tokens and target: " + ", ".join(f"{d} {a:.4f} {b:.4f}" for d, a, b in zip(domains, now, aims[2], strict=True)), stacklevel=2)
     return steps
 
 
@@ -166,7 +247,7 @@ def rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col
     """The columns ``keep`` of ``docs`` with n_tokens, posteriors ``p_*``, ``rate`` and ``copies``."""
     model = fit_classifier(docs, domains, id_col, text_col)
     table = common.materialize(with_posteriors(docs, model, text_col).select(*(keep or [id_col]), "n_tokens", *(f"p_{d}" for d in model["domains"])), "posteriors")
-    steps = fit_rates(table, model["domains"], targets, grow=grow)
+    steps = fit_whole(table, model["domains"], targets, grow=grow)
     rate = rate_expression([F.col(f"p_{d}") for d in model["domains"]], steps)
     return table.withColumn("rate", F.round(rate, 6)).withColumn("copies", copies_of(F.col("rate"), id_col))
 
