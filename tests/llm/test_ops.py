@@ -303,6 +303,30 @@ def test_unreachable_targets_are_reported(spark):
         mixing.fit_whole(table, ["a", "b"], {"a": 0.9, "b": 0.1})
 
 
+def test_posteriors_count_absent_words(spark):
+    # "x" documents have every word, "y" documents half of them: only what is absent tells a "y".
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(words if i % 2 else rng.sample(words, 20)), "xy"[i % 2 == 0]) for i in range(800)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = mixing.fit_classifier(docs, spark.createDataFrame([(i, d) for i, _, d in rows if i < 600], "doc_id long, domain string"))
+    right = {r.doc_id: (r.p_x > 0.5) == (r.doc_id % 2 == 1) for r in mixing.with_posteriors(docs, model).collect()}
+    assert np.mean([ok for i, ok in right.items() if i >= 600]) > 0.97
+
+
+def test_posteriors_on_held_out_labels(spark, sf_dir):
+    sf = sf_dir.replace("0.001", "0.1")
+    docs, labels = documents(spark, sf).select("doc_id", "text"), mixing.domain_of(common.read(spark, sf, "labels"))
+    held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0
+    model = mixing.fit_classifier(docs, labels.where(~held))
+    rows = mixing.with_posteriors(docs.join(labels.where(held), "doc_id"), model).drop("text").collect()
+    clean = [r for r in rows if r.domain == "clean"]
+    called = [r for r in clean if r.p_toxic > max(r.p_clean, r.p_low)]
+    assert len(clean) > 500 and len(called) < 0.15 * len(clean)
+    top = [max(("clean", "low", "toxic"), key=lambda d: r[f"p_{d}"]) for r in rows]
+    assert np.mean([r.domain == t for r, t in zip(rows, top)]) > 0.7
+
+
 def test_mixing_query_reaches_targets(spark, sf_dir):
     df = mixing.query(spark, sf_dir.replace("0.001", "0.1"))
     row = df.agg(*(F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")).alias(d) for d in mixing.TARGETS)).first()

@@ -1,7 +1,7 @@
 """Mixing to target weights with soft domain membership.
 
 A classifier learned from the labelled rows (hashed word presence, naive Bayes over the buckets that
-tell domains apart) gives each document a posterior for each domain. Non-negative document rates are
+tell domains apart, absent ones included) gives each document a posterior for each domain. Non-negative document rates are
 then fitted by projected gradient descent on the least squares between expected domain tokens
 ``sum(rate * tokens * posterior)`` and the targets, with a small pull towards rate 1 that makes the
 solution unique. A step needs only one aggregate: the rates are an expression of the posteriors and
@@ -71,14 +71,19 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, id_col: str = "doc_id",
     for r in rows:
         if r["bucket"] >= 0:
             seen.setdefault(r["bucket"], {})[r["domain"]] = r["count"]
-    weights = [[0.0] * BUCKETS for _ in names]
+    weights, prior = [[0.0] * BUCKETS for _ in names], [math.log(totals[d] / n) for d in names]
     for bucket, counts in seen.items():
         total = sum(counts.values())
         chi = sum((counts.get(d, 0) - total * totals[d] / n) ** 2 / (total * totals[d] / n) for d in names)
         if chi > MIN_CHI and total >= MIN_DOCS:
+            whole = (total + SMOOTH) / (n + 2 * SMOOTH)
             for k, d in enumerate(names):
-                weights[k][bucket] = round(math.log((counts.get(d, 0) + SMOOTH) / (totals[d] + 2 * SMOOTH)) - math.log((total + SMOOTH) / (n + 2 * SMOOTH)), 4)
-    return {"domains": names, "prior": [math.log(totals[d] / n) for d in names], "weights": weights}
+                # The prior takes every bucket as absent; a present one adds the difference.
+                share = (counts.get(d, 0) + SMOOTH) / (totals[d] + 2 * SMOOTH)
+                absent = math.log(1 - share) - math.log(1 - whole)
+                weights[k][bucket] = round(math.log(share) - math.log(whole) - absent, 4)
+                prior[k] += absent
+    return {"domains": names, "prior": prior, "weights": weights}
 
 
 def _literal(weights: list[float]) -> F.Column:
