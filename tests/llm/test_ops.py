@@ -327,6 +327,18 @@ def test_posteriors_on_held_out_labels(spark, sf_dir):
     assert np.mean([r.domain == t for r, t in zip(rows, top)]) > 0.7
 
 
+def test_copies_follow_any_rate(spark):
+    rows = spark.range(20_000).select("id", *(mixing.copies_of(F.lit(r), "id").alias(f"r{k}") for k, r in enumerate((0.03, 0.97, 1.04, 2.0))))
+    means = rows.agg(*(F.avg(f"r{k}") for k in range(4))).first()
+    assert list(means) == pytest.approx([0.03, 0.97, 1.04, 2.0], abs=0.005) and means[3] == 2.0
+
+
+def test_growing_mix_keeps_every_document(spark):
+    docs = spark.createDataFrame([(i, "en" if i % 3 else "de") for i in range(3000)], "doc_id long, text string")
+    out = mixing.mix(docs, docs.select("doc_id", F.col("text").alias("domain")), {"en": 0.5, "de": 0.5}, grow=True)
+    assert out.select("doc_id").distinct().count() == 3000 and out.count() == pytest.approx(4000, rel=0.02)
+
+
 def test_mixing_query_reaches_targets(spark, sf_dir):
     df = mixing.query(spark, sf_dir.replace("0.001", "0.1"))
     row = df.agg(*(F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")).alias(d) for d in mixing.TARGETS)).first()

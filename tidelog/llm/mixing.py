@@ -38,8 +38,6 @@ MAX_GAP = 1e-3
 MAX_NEWTON, MAX_HALVINGS, DUAL_RIDGE, DUAL_TOLERANCE = 60, 30, 1e-6, 1e-6
 #: Steps after which the rates (numbers only, no texts) are written to the shared folder.
 WRITE_STEPS = 8
-#: A rate this near a whole number gives that many copies; between, a hash of the id decides.
-DEAD_BAND = 0.05
 #: Target shares of the query.
 TARGETS = {"clean": 0.86, "low": 0.08, "toxic": 0.06}
 
@@ -245,7 +243,7 @@ def copies_of(rate: F.Column, id_col: str) -> F.Column:
     """Whole copies: the rate's whole part and one more where a hash of the id falls below the rest."""
     rest = rate - F.floor(rate)
     drawn = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col)), F.lit(1_000_000)) / 1_000_000.0
-    return F.when(rest < DEAD_BAND, F.floor(rate)).when(rest > 1 - DEAD_BAND, F.ceil(rate)).otherwise(F.floor(rate) + (drawn < rest).cast("long")).cast("long")
+    return (F.floor(rate) + (drawn < rest).cast("long")).cast("long")
 
 
 def rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, grow: bool = False) -> DataFrame:
@@ -254,6 +252,8 @@ def rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col
     table = common.materialize(with_posteriors(docs, model, text_col).select(*(keep or [id_col]), "n_tokens", *(f"p_{d}" for d in model["domains"])), "posteriors")
     steps = fit_whole(table, model["domains"], targets, grow=grow)
     rate = rate_expression([F.col(f"p_{d}") for d in model["domains"]], steps)
+    if grow:  # the fit comes near 1 for the domain that stays whole; no document of it may go
+        rate = F.greatest(F.lit(1.0), rate)
     return table.withColumn("rate", F.round(rate, 6)).withColumn("copies", copies_of(F.col("rate"), id_col))
 
 
