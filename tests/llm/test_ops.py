@@ -215,6 +215,16 @@ def test_simhash_edges(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_one, simhash.keep_one_near])
+def test_clashing_ids_lose_no_text(spark, keep):
+    texts = [" ".join(f"{x}{k}" for k in range(30)) for x in "abc"]
+    rows = [(1, texts[0], "u"), (1, texts[1], "v"), (2, texts[0], "w"), (3, texts[2], "y"), (3, texts[2], "x")]
+    schema = "doc_id long, text string, source string"
+    want = [(1, texts[0], "u"), (1, texts[1], "v"), (3, texts[2], "x")]
+    for some in (rows, rows[::-1]):
+        assert sorted(tuple(r) for r in keep(spark.createDataFrame(some, schema)).collect()) == want
+
+
 def brute_near(rows):
     """(id, text) rows to the smallest id of each group linked by Jaccard >= 0.8 of five-word shingles."""
     sets = {}

@@ -203,16 +203,35 @@ def components(links: DataFrame) -> DataFrame:
     raise RuntimeError(f"links did not settle in {MAX_ROUNDS} rounds")
 
 
+def group_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, t, fp) for each row of ``docs``, ``t`` a hash of its text; and (fp, id, root) for each fingerprint.
+
+    A group is a set of fingerprints, named ``root`` by the smallest of them: ids may clash, so the smallest id is only its label.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    prints = common.materialize(with_fingerprint(rows).select("id", "t", "fp"), "prints")
+    classes = prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("id"))
+    classes = common.materialize(classes.select(F.col("fp").alias("vertex"), "fp", "id"), "classes")
+    comps = components(class_links(classes))
+    return prints, classes.join(comps, "vertex", "left").select("fp", "id", F.coalesce("component", "vertex").alias("root"))
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for each row of ``docs``."""
-    prints = with_fingerprint(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).select("id", "fp")
-    prints = common.materialize(prints, "prints")
-    classes = common.materialize(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("vertex")), "classes")
-    comps = components(class_links(classes))
-    named = classes.join(comps, "vertex", "left").select("fp", F.coalesce("component", "vertex").alias("component_id"))
+    prints, named = group_rows(docs, id_col, text_col)
+    label = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = named.select("fp", "root").join(label, "root")
     return prints.join(named, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each near-duplicate group: that with the smallest id. Rows without id stay."""
+    prints, named = group_rows(docs, id_col, text_col)
+    first = prints.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "t")).alias("row"))
+    kept = first.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.id", "row.t")
+    return _rows_of(docs, kept, id_col, text_col)
+
+
 def shingle_set(text) -> np.ndarray:
     """The distinct hashes of the five-word shingles of one text, in order."""
     return np.unique(np.array(shingle_hashes(text, NEAR_SHINGLE), np.uint64))
@@ -305,15 +324,6 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return classes.join(comps, F.col("cls") == F.col("vertex"), "left").select("cls", "id", "t", F.coalesce("component", "cls").alias("component"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate group: that with the smallest id. Rows without id stay."""
-    kept = group(docs, id_col, text_col).where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    out = docs.join(kept, id_col, "left_semi").select(*docs.columns)
-    if out.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        return out.unionByName(docs.where(F.col(id_col).isNull()))
-    return out.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
-
-
 def keep_one_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of texts linked by ``NEAR``: that with the smallest id. Rows without id stay."""
     key, t = F.col(id_col).cast("long"), F.xxhash64(text_col)
@@ -326,13 +336,12 @@ def _rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> Da
     """One row of ``docs`` for each (id, hash of the text) in ``kept(id, t)``, and all rows without id."""
     at_id, at_t = common.free_name(docs, "_kept_id"), common.free_name(docs, "_kept_t")
     kept = common.materialize(kept.select(F.col("id").alias(at_id), F.col("t").alias(at_t)), "kept")
-    t = F.xxhash64(text_col)
-    out = docs.join(kept, (F.col(id_col).cast("long") == F.col(at_id)) & (t == F.col(at_t)), "left_semi").select(*docs.columns)
-    none = docs.where(F.col(id_col).isNull())
-    if not out.groupBy(id_col, t.alias(at_t)).count().where("count > 1").isEmpty():  # the first of repeated rows by all columns
+    marked = docs.withColumns({at_id: F.col(id_col).cast("long"), at_t: F.xxhash64(text_col)})
+    out = marked.join(kept, [at_id, at_t], "left_semi")
+    if not out.groupBy(at_id, at_t).count().where("count > 1").isEmpty():  # the first of repeated rows by all columns
         row = F.struct(*docs.columns)
-        out = out.groupBy(F.col(id_col).alias(at_id), t.alias(at_t)).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
-    return out.unionByName(none)
+        out = out.groupBy(at_id, at_t).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return out.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
