@@ -607,6 +607,16 @@ def brute_topk(rows, k=5):
     return out
 
 
+def test_topk_keeps_large_components(spark):
+    rows = [(1, [1.0, 2.0]), (2, [9e6, 0.0]), (50, [3.0, -1.0]), (4, [-2e7, 5.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = topk.quantise(docs, "vec_id", "embedding")
+    got = [(r.vec_id, r.score) for r in topk.search(vectors, vectors.where("id = 50")).orderBy("rank").collect()]
+    assert got == [(2, 65536 * 27_000_000), (1, 65536), (4, 65536 * -60_000_005)]
+    with pytest.raises(OverflowError):
+        topk.search(vectors, topk.quantise(docs.selectExpr("vec_id", "transform(embedding, c -> c * 1e6D) AS embedding"), "vec_id", "embedding"))
+
+
 def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 100)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)

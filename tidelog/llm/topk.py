@@ -13,7 +13,7 @@ broadcast grows with the data. Each gives k rows for each of its queries, which
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; only
 vectors of the same length are compared; a query never finds its own id; repeated rows are
 candidates as often as they come, and a repeated query id is asked once (its smallest vector);
-components must be below 2**31 when quantised; an empty table gives an empty result.
+components are 64-bit whole numbers, and scores that could pass 64 bits are an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +28,16 @@ from tidelog.llm import common
 #: Rows of an index block and queries of a query block.
 BLOCK_ROWS, BLOCK_QUERIES = 32_768, 512
 K, SCALE = 5, 256
+#: Quantised components and sums of products stay below this, so 64 bits hold every score and slice.
+MAX_WHOLE = 2.0**60
 
 
 def quantise(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): whole numbers floor(SCALE * x) of every vector that takes part."""
     x = F.col(vector_col)
-    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < 2**31 / SCALE))
-    v = F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")).cast("int"))
+    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
+    fits = lambda c: F.when(F.abs(c.cast("double")) < MAX_WHOLE / SCALE, F.floor(F.lit(float(SCALE)) * c.cast("double"))).otherwise(F.raise_error(F.lit("a component is too large to score in 64 bits")))
+    v = F.transform(x, lambda c: fits(c).cast("long"))
     return df.where(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
@@ -129,6 +132,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``vectors(id, v)`` for each of ``queries(id, v)``."""
     vectors = common.materialize(vectors, "vectors")
     queries = common.materialize(queries.groupBy("id").agg(F.min("v").alias("v")), "asked")
+    # Slices hold values less the lowest of a block, at most four times the largest component.
+    largest = vectors.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double")))))).first()[0]
+    weight = queries.agg(F.max(F.aggregate("v", F.lit(0.0), lambda t, c: t + F.abs(c.cast("double"))))).first()[0]
+    if 4 * (largest or 0.0) * (weight or 0.0) >= MAX_WHOLE:
+        raise OverflowError("scores of these vectors could pass 64 bits")
     index = build_index(vectors)
     n_query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     blocks = index.select(F.col("dims").alias("of_dims"), F.col("block").alias("of_block"))
