@@ -466,15 +466,53 @@ def test_word_encoder_equals_the_tokenizer(texts):
 
 
 def test_word_encoder_with_a_full_cache(monkeypatch):
-    monkeypatch.setattr(token_store, "CACHE", 3)
-    monkeypatch.setattr(token_store, "PIECES", 1)
+    monkeypatch.setattr(token_store, "CACHE_BYTES", 500)
     path, tok = tokenizer()
     enc = token_store.WordEncoder(path)
     for k in range(6):
-        texts = [f"alpha beta{k} gamma {k} delta, Epsilon"] * 2 + [None]
+        texts = [f"alpha beta{k} gamma {k} delta, Epsilon Ünder œuvre{k}"] * 2 + [None]
         ids, sizes = enc.encode(texts)
         want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
         assert ids.tolist() == [x for w in want for x in w]
+    assert enc.known.bytes < 5000 and enc.old.bytes < 5000
+
+
+def test_any_tokenizer_and_vocabulary(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = tokenizer()[1].from_file(path)
+    texts = ["It's  one\n\ntwo ", "", "Zwölf <|endoftext|> é"]
+    enc = token_store.WordEncoder(path)
+    ids, sizes = enc.encode(texts)
+    assert not enc.by_word and ids.tolist() == [i for t in texts for i in tok.encode(t, add_special_tokens=False).ids]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = token_store.read(token_store.write(docs, common.scratch_path(spark, "t"), path, 70_000, 70_001)).collect()
+    for r in rows:
+        want = np.array([*tok.encode(texts[r.doc_id], add_special_tokens=False).ids, 70_000], "<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(want), zlib.crc32(want.tobytes()))
+
+
+def test_pieces_files_and_repeated_ids(spark, monkeypatch):
+    """Tiny bounds: texts in pieces, many files, one id with most of the rows, and ids read piece by piece."""
+    for name, value in (("PIECE", 40), ("FILE_DOCS", 3), ("READ_IDS", 8), ("READ_DOCS", 2)):
+        monkeypatch.setattr(token_store, name, value)
+    path, tok = tokenizer()
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(["alpha", "beta,", "42", "ça", "—x"]) for _ in range(n))
+    rows = [(7, text(rng.randint(0, 9))) for _ in range(60)] + [(7, "same")] * 20 + [(1, text(50)), (None, text(3)), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    enc = token_store.WordEncoder(path)
+    whole = list(enc.pieces([t for _, t in rows]))
+    assert sum(int(last.sum()) for _, last in whole) == len(rows) and max(sum(map(len, x)) for x, _ in whole) <= 50
+    got = token_store.read(token_store.write(docs, common.scratch_path(spark, "t"), path, 2, 49408)).orderBy("start").collect()
+    want = collections.Counter()
+    for i, t in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want[i, len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+    assert [r.doc_id or 0 for r in got] == sorted(r.doc_id or 0 for r in got)
 
 
 @settings(max_examples=60, deadline=None)

@@ -4,27 +4,35 @@ A file holds the ids of a run of documents, each id in the fewest bits that the
 
     magic "TIDETOK1"
     payload   blocks of BLOCK ids, little-endian bit order, each block padded to a whole byte
-    footer    block offsets (blocks + 1, u64), document starts (documents + 1, u64), document ids (i64)
+    footer    block offsets (blocks + 1, i64), document starts (documents + 1, i64), document ids (i64)
     trailer   bits u32, block u32, ids u64, documents u64, footer offset u64, magic
 
 Any run of ids is found from the block offsets alone, so a reader fetches and unpacks (with numpy)
-only the blocks it needs. Files are written in ascending id order by tasks that own a range of ids;
-a task names its file anew in each attempt and a file counts only if the task's row in the manifest
-names it, so a lost or repeated task leaves no wrong data.
+only the blocks and the parts of the footer that it needs. Files are written in ascending id order by
+tasks that own a range of (id, hash of the text, row), so one repeated id, or null ids, are split as well;
+a task starts a new file after FILE_DOCS documents or FILE_IDS ids, which bounds the footer. A task names its
+files anew in each attempt and a file counts only if the task's row in the manifest names it, so a lost or
+repeated task leaves no wrong data.
+
+Memory of a task doesn't follow the data: texts are encoded in pieces of PIECE characters, cut at white
+space, and the ids of words are kept in two generations of CACHE_BYTES each.
 
 Edge cases: a null text is an empty one; an empty document has the end id alone; repeated ids follow
-each other, ordered by text; a null id comes first and is stored as -2**63; an empty table writes
-no file and gives an empty result.
+each other, ordered by the hash of the text; a null id comes first and is stored as -2**63; very long texts
+are read piece by piece; other columns are ignored, whatever their names; an empty table writes no file
+and gives an empty result.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +46,29 @@ MAGIC = b"TIDETOK1"
 BLOCK = 4096
 TRAILER = struct.Struct("<IIQQQ8s")
 NO_ID = -(1 << 63)
-#: Words and pre-tokens whose ids a worker keeps.
-CACHE, PIECES = 400_000, 250_000
-#: Letters of Latin-1 (each a letter by itself, unchanged by NFC) and marks of ASCII behind them.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-#: Documents of a file that one reading task takes.
-READ_DOCS = 20_000
+#: Bytes that a generation of learned words may take (estimated, with Python's own overhead of ENTRY each).
+CACHE_BYTES, ENTRY = 40 << 20, 150
+#: Characters of text that are encoded at a time.
+PIECE = 1 << 20
+#: Documents and ids of a file, after which a task starts the next one.
+FILE_DOCS, FILE_IDS = 1 << 20, 1 << 28
+#: Documents of a file that one reading task takes, and ids that it holds at a time.
+READ_DOCS, READ_IDS = 20_000, 1 << 20
+#: The normalizer and pre-tokenizer of tokenizers that may be applied word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Latin-1 bytes of plain texts: ASCII and letters that NFC leaves alone; and the same in lower case.
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+_LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+#: PRE_TOKENIZER's pattern for lower-cased plain texts.
+_TOKENS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
+_BREAK = re.compile(r"[ \t\n\x0b\x0c\r]")
 
 
 def bits_of(vocabulary: int) -> int:
@@ -83,13 +108,15 @@ class Writer:
         fs.create_dir(os.path.dirname(inner), recursive=True)
         self.out, self.bits, self.block = fs.open_output_stream(inner), bits, block
         self.out.write(MAGIC)
-        self.at, self.offsets, self.starts, self.docs = len(MAGIC), [len(MAGIC)], [0], []
+        self.at, self.n_ids = len(MAGIC), 0
+        self.offsets, self.starts, self.docs = array("q", [len(MAGIC)]), array("q", [0]), array("q")
         self.rest, self.n_rest = [], 0
 
-    def add(self, ids: np.ndarray, sizes: np.ndarray, docs: list[int]) -> None:
-        """``ids`` of several documents in a row; ``sizes`` says where each ends."""
-        self.starts += (self.starts[-1] + np.cumsum(sizes)).tolist()
-        self.docs += docs
+    def add(self, ids: np.ndarray, ends: np.ndarray, docs: list[int]) -> None:
+        """The next ``ids``; ``ends`` says where in them each of ``docs`` ends. What follows the last end belongs to a document to come."""
+        self.starts.extend((self.n_ids + ends).tolist())
+        self.docs.extend(docs)
+        self.n_ids += len(ids)
         self.rest.append(ids)
         self.n_rest += len(ids)
         if self.n_rest >= self.block:
@@ -97,7 +124,7 @@ class Writer:
             whole = len(flat) // self.block * self.block
             for k in range(0, whole, self.block):
                 self._block(flat[k : k + self.block])
-            self.rest, self.n_rest = [flat[whole:]], len(flat) - whole
+            self.rest, self.n_rest = [flat[whole:].copy()], len(flat) - whole
 
     def _block(self, ids: np.ndarray) -> None:
         data = pack(ids, self.bits)
@@ -108,38 +135,52 @@ class Writer:
     def close(self) -> tuple[int, int]:
         if self.n_rest:
             self._block(np.concatenate(self.rest))
-        self.out.write(np.array(self.offsets, "<u8").tobytes() + np.array(self.starts, "<u8").tobytes() + np.array(self.docs, "<i8").tobytes())
-        self.out.write(TRAILER.pack(self.bits, self.block, self.starts[-1], len(self.docs), self.at, MAGIC))
+        for part in (self.offsets, self.starts, self.docs):
+            self.out.write(np.frombuffer(part, np.int64).astype("<i8").tobytes() if len(part) else b"")
+        self.out.write(TRAILER.pack(self.bits, self.block, self.n_ids, len(self.docs), self.at, MAGIC))
         self.out.close()
-        return len(self.docs), self.starts[-1]
+        return len(self.docs), self.n_ids
 
 
 class Reader:
-    """Random access to one file."""
+    """Random access to one file: only the trailer is read at once."""
 
     def __init__(self, path: str):
         fs, inner = pafs.FileSystem.from_uri(path)
         self.f = fs.open_input_file(inner)
         size = self.f.size()
-        self.bits, self.block, self.n_ids, self.n_docs, at, magic = TRAILER.unpack(self.f.read_at(TRAILER.size, size - TRAILER.size))
+        self.bits, self.block, self.n_ids, self.n_docs, self.footer, magic = TRAILER.unpack(self.f.read_at(TRAILER.size, size - TRAILER.size))
         if magic != MAGIC:
             raise ValueError(f"not a token file: {path}")
-        footer = self.f.read_at(size - TRAILER.size - at, at)
-        blocks = -(-self.n_ids // self.block)
-        self.offsets = np.frombuffer(footer, "<u8", blocks + 1)
-        self.starts = np.frombuffer(footer, "<u8", self.n_docs + 1, 8 * (blocks + 1)).astype(np.int64)
-        self.docs = np.frombuffer(footer, "<i8", self.n_docs, 8 * (blocks + self.n_docs + 2))
+        self.blocks = -(-self.n_ids // self.block)
+
+    def _footer(self, first: int, last: int) -> np.ndarray:
+        return np.frombuffer(self.f.read_at(8 * (last - first), self.footer + 8 * first), "<i8")
+
+    def offsets(self, first: int, last: int) -> np.ndarray:
+        """Where blocks ``first`` to ``last`` begin; the end of the last block has the number ``blocks``."""
+        return self._footer(first, last + 1)
+
+    def starts(self, first: int, last: int) -> np.ndarray:
+        """Where documents ``first`` to ``last`` begin; the end of the last one has the number ``n_docs``."""
+        return self._footer(self.blocks + 1 + first, self.blocks + 2 + last)
+
+    def docs(self, first: int, last: int) -> np.ndarray:
+        """The ids of documents ``first`` up to ``last``, which is left out."""
+        at = self.blocks + self.n_docs + 2
+        return self._footer(at + first, at + last)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the file, reading only the blocks that hold them."""
         if stop <= start:
             return np.zeros(0, np.uint32)
         first, last = start // self.block, (stop - 1) // self.block
-        data = self.f.read_at(int(self.offsets[last + 1] - self.offsets[first]), int(self.offsets[first]))
+        offsets = self.offsets(first, last + 1)
+        data = self.f.read_at(int(offsets[-1] - offsets[0]), int(offsets[0]))
         if self.block * self.bits % 8 == 0:
             whole = unpack(data, min(self.n_ids, (last + 1) * self.block) - first * self.block, self.bits)
         else:
-            cuts = (self.offsets[first : last + 2] - self.offsets[first]).tolist()
+            cuts = (offsets - offsets[0]).tolist()
             whole = np.concatenate([unpack(data[a:b], min(self.block, self.n_ids - k * self.block), self.bits) for k, a, b in zip(range(first, last + 1), cuts[:-1], cuts[1:], strict=True)])
         return whole[start - first * self.block : stop - first * self.block]
 
@@ -147,11 +188,41 @@ class Reader:
         self.f.close()
 
 
+class Learned:
+    """Ids of words: a word's number leads to its run in ``pool``."""
+
+    def __init__(self):
+        self.at: dict[bytes, int] = {}
+        self.pool, self.used, self.bytes = np.zeros(1 << 16, np.uint32), 0, 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def add(self, words: list[bytes], flat: np.ndarray, size: np.ndarray) -> None:
+        """``flat`` has the ids of all ``words`` in a row, ``size`` how many each has."""
+        k, total = len(self.at), len(flat)
+        while self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while k + len(words) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.pool[self.used : self.used + total] = flat
+        self.start[k : k + len(words)] = self.used + np.cumsum(size) - size
+        self.size[k : k + len(words)] = size
+        self.at.update(zip(words, range(k, k + len(words)), strict=True))
+        self.used += total
+        self.bytes += sum(map(len, words)) + ENTRY * len(words) + 4 * total
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words numbered ``at`` in a row, and where each word's end."""
+        size = self.size[at]
+        ends = np.cumsum(size, dtype=np.int64)
+        return self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[at] - (ends - size), size)], ends
+
+
 class WordEncoder:
-    """A public tokenizer applied word by word, with the ids of common words kept.
+    """A public tokenizer, with the ids of common words kept.
 
-    Its pre-tokenizer never joins characters across white space, so the ids of a text are those of
-    its words in a row. ASCII words are lower-cased first, as the tokenizer does.
+    Where its normalizer and pre-tokenizer are the ones above, which never join characters across white space, the ids of a
+    text are those of its words in a row, and those of a plain word are those of its pre-tokens. Any other tokenizer gets
+    whole texts.
     """
 
     def __init__(self, path: str):
@@ -159,124 +230,150 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.pieces: dict[str, list[int]] = {}
-        self.known: dict[bytes, int] = {}
-        self.pool, self.used = np.zeros(1 << 20, np.uint16), 0
-        self.start, self.size = np.zeros(CACHE, np.int64), np.zeros(CACHE, np.int64)
-
-    def _piece(self, text: str) -> list[int]:
-        """Ids of one pre-token: its UTF-8 bytes in the byte-level alphabet go straight to the BPE model."""
-        got = self.pieces.get(text)
-        if got is None:
-            alphabet = text if text.isascii() else "".join(map(_BYTES.__getitem__, text.encode()))
-            got = [t.id for t in self.tok.model.tokenize(alphabet)]
-            if len(self.pieces) < PIECES:
-                self.pieces[text] = got
-        return got
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Keep the ids of each word. Western letters with marks after them are two pre-tokens at most,
-        known without the normalizer and its patterns; all other words take the whole tokenizer."""
-        out, rest = [], []
-        for i, w in enumerate(words):
-            found = _PLAIN.fullmatch(w.decode("utf-8", "replace"))
-            if found:
-                letters, marks = found.groups()
-                out.append(self._piece(letters.lower()) + self._piece(marks) if marks else self._piece(letters.lower()))
-            else:
-                rest.append(i)
-                out.append([])
+        parts = json.loads(self.tok.to_str())
+        self.by_word = parts["normalizer"] == NORMALIZER and parts["pre_tokenizer"] == PRE_TOKENIZER and parts["post_processor"] is None
+        self.by_word &= all(t["content"].startswith("<|") for t in parts["added_tokens"])
+        self.known, self.old = Learned(), Learned()
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Keep the ids of each word. A pre-token's bytes go straight to the BPE model in the byte-level alphabet; a word that
+        isn't plain (marked by a zero byte) takes the whole tokenizer."""
+        if self.old.at:
+            seen = self.old.at.keys() & words
+            if seen:
+                flat, ends = self.old.ids(np.fromiter(map(self.old.at.__getitem__, seen), np.int64, len(seen)))
+                self.known.add(list(seen), flat, np.diff(ends, prepend=0))
+            words = words - seen
+        ids, rest = [], [w for w in words if w[:1] == b"\0"]
+        plain = [w for w in words if w[:1] != b"\0"]
+        for w in plain:
+            text = w.decode("latin-1")
+            ids.append([t.id for t in self.tok.model.tokenize(text if text.isascii() else "".join(map(_BYTES.__getitem__, text.encode())))])
         if rest:
-            for i, got in zip(rest, self.tok.encode_batch([words[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False), strict=True):
-                out[i] = got.ids
-        k, size = len(self.known), np.fromiter(map(len, out), np.int64, len(out))
-        flat = np.fromiter(itertools.chain.from_iterable(out), np.uint16, int(size.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while k + len(out) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.start[k : k + len(out)] = self.used + np.cumsum(size) - size
-        self.size[k : k + len(out)] = size
-        self.known.update(zip(words, range(k, k + len(out)), strict=True))
-        self.used += len(flat)
+            ids += [got.ids for got in self.tok.encode_batch([w[1:].decode("utf-8", "replace") for w in rest], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.add(plain + rest, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum())), size)
+
+    def _words(self, text: str) -> list[bytes]:
+        """Pre-tokens of plain words and, marked, other words."""
+        try:
+            raw = text.encode("latin-1")
+            if not raw.translate(None, _PLAIN) and b"<|" not in raw:
+                return _TOKENS.findall(raw.translate(_LOWER))
+        except UnicodeEncodeError:
+            pass
+        out = []
+        for w in text.encode("utf-8", "replace").split():
+            if w.isascii() and b"<|" not in w and not w.translate(None, _PLAIN):
+                out += _TOKENS.findall(w.translate(_LOWER))
+            else:
+                out.append(b"\0" + w)
+        return out
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of each text's."""
+        if not self.by_word:
+            got = [x.ids for x in self.tok.encode_batch([(t or "").encode("utf-8", "replace").decode() for t in texts], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
         words, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            raw = text.encode("utf-8", "replace")
-            if b"<|" in raw:
-                found = raw.split()
-            elif raw.isascii():
-                found = raw.lower().split()
-            else:
-                found = [w.lower() if w.isascii() else w for w in raw.split()]
-            counts[i] = len(found)
-            words += found
-        missing = list(set(words).difference(self.known))
-        full, used = len(self.known) >= CACHE, self.used
-        self._learn(missing)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.pool[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)]
+            if text:
+                found = self._words(text)
+                counts[i] = len(found)
+                words += found
+        if missing := set(words).difference(self.known.at):
+            self._learn(missing)
+        flat, ends = self.known.ids(np.fromiter(map(self.known.at.__getitem__, words), np.int64, len(words)))
         of = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        if full:  # what this batch added is let go
-            for word in missing:
-                del self.known[word]
-            self.used = used
+        if self.known.bytes > CACHE_BYTES:  # a new generation; what it needs of this one it takes over
+            self.known, self.old = Learned(), self.known
         return flat, np.diff(of)
 
-
-def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same with ``end_id`` after each document."""
-    out = np.full(len(ids) + len(sizes), end_id, np.uint32)
-    more = sizes + 1
+    def pieces(self, texts: list):
+        """(texts, whether each is the last piece of its document): at most PIECE characters at a time, cut at white space."""
+        some, last, held = [], [], 0
+        for text in texts:
+            text, at = text or "", 0
+            while True:
+                end = len(text)
+                if self.by_word and end - at > PIECE:
+                    cut = _BREAK.search(text, at + PIECE)
+                    end = cut.start() if cut else end
+                if some and held + end - at > PIECE:
+                    yield some, np.array(last)
+                    some, last, held = [], [], 0
+                some.append(text[at:end])
+                last.append(end == len(text))
+                held += end - at
+                at = end
+                if last[-1]:
+                    break
+        if some:
+            yield some, np.array(last)
+
+
+def with_end(ids: np.ndarray, sizes: np.ndarray, last: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with ``end_id`` after each last piece, and where documents end."""
+    more = sizes + last
+    out = np.full(int(more.sum()), end_id, np.uint32)
+    ends = np.cumsum(more)[last]
     body = np.ones(len(out), bool)
-    body[np.cumsum(more) - 1] = False
+    body[ends - 1] = False
     out[body] = ids
-    return out, more
+    return out, ends
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and write ``docs``; returns the manifest (shard, file, n_docs, n_ids, start)."""
+    """Encode and write ``docs``; returns the manifest (shard, part, file, n_docs, n_ids, start)."""
     spark = docs.sparkSession
     bits = bits_of(vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    rows = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(parts, "id", "h", "row").sortWithinPartitions("id", "h", "row").select("id", "text")
 
     def run(batches):
         from pyspark import TaskContext
 
-        shard, out, path = TaskContext.get().partitionId(), None, ""
+        shard, part, out, path = TaskContext.get().partitionId(), 0, None, ""
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, WordEncoder(tokenizer))
+
+        def closed():
+            n_docs, n_ids = out.close()
+            return pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "file": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tok"
-                out = Writer(path, bits)
-            texts = common.strings(batch, "text")
-            for k in range(0, len(texts), 250):
-                ids, sizes = with_end(*encoder.encode(texts[k : k + 250]), end_id)
-                out.add(ids, sizes, [NO_ID if i is None else i for i in batch.column(0).slice(k, 250).to_pylist()])
+            names, at = [NO_ID if i is None else i for i in batch.column(0).to_pylist()], 0
+            for texts, last in encoder.pieces(batch.column(1).to_pylist()):
+                if out is None:
+                    path = f"{folder}/shard-{shard:06d}-{part:04d}-{uuid.uuid4().hex}.tok"
+                    out = Writer(path, bits)
+                ids, ends = with_end(*encoder.encode(texts), last, end_id)
+                out.add(ids, ends, names[at : at + len(ends)])
+                at += len(ends)
+                if last[-1] and (len(out.docs) >= FILE_DOCS or out.n_ids >= FILE_IDS):
+                    yield closed()
+                    part, out = part + 1, None
         if out is not None:
-            n_docs, n_ids = out.close()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
+            yield closed()
 
-    shards = common.materialize(rows.mapInArrow(run, "shard long, file string, n_docs long, n_ids long"), "manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    shards = common.materialize(rows.mapInArrow(run, "shard long, part long, file string, n_docs long, n_ids long"), "manifest")
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def _crc(r: Reader, start: int, stop: int) -> int:
+    """Of the ids of a document, piece by piece."""
+    value = 0
+    for a in range(start, stop, READ_IDS):
+        value = zlib.crc32(r.ids(a, min(stop, a + READ_IDS)).astype("<u4").tobytes(), value)
+    return value
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files alone."""
     spark = manifest.sparkSession
@@ -288,13 +385,18 @@ def read(manifest: DataFrame) -> DataFrame:
             for path, base, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 r = Reader(path)
                 last = min(r.n_docs, first + READ_DOCS)
-                for a in range(first, last, 500):
-                    b = min(last, a + 500)
-                    cuts = r.starts[a : b + 1]
-                    ids = r.ids(int(cuts[0]), int(cuts[-1])).astype("<u4")
-                    crc = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip((cuts[:-1] - cuts[0]).tolist(), (cuts[1:] - cuts[0]).tolist(), strict=True)]
-                    docs = pa.array([None if d == NO_ID else d for d in r.docs[a:b].tolist()], pa.int64())
-                    yield pa.RecordBatch.from_arrays([docs, pa.array(cuts[:-1] + base), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                cuts, a = r.starts(first, last), 0
+                while a < last - first:
+                    # As many documents as READ_IDS ids make, one at least.
+                    b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + READ_IDS, "right")) - 1)
+                    if cuts[b] - cuts[a] > READ_IDS:
+                        crc = [_crc(r, int(cuts[a]), int(cuts[b]))]
+                    else:
+                        ids, own = r.ids(int(cuts[a]), int(cuts[b])).astype("<u4"), (cuts[a : b + 1] - cuts[a]).tolist()
+                        crc = [zlib.crc32(ids[x:y]) for x, y in zip(own[:-1], own[1:], strict=True)]
+                    docs = pa.array([None if d == NO_ID else d for d in r.docs(first + a, first + b).tolist()], pa.int64())
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(cuts[a:b] + base), pa.array(np.diff(cuts[a : b + 1])), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    a = b
                 r.close()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
