@@ -123,7 +123,7 @@ def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(4, 1), (5, 0), (5, None), (None, 1), (6, 0), (7, 0), (8, 0), (9, 0)], "doc_id long, toxic int")
     kept = toxicity.remove_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.count() == len(EDGE)
-    assert {r.score for r in toxicity.score(docs.drop("Score"), (b"", b"")).collect()} == {0.0}
+    assert {r.score for r in toxicity.score(docs, (b"", b"")).collect()} == {0.0}
     assert toxicity.remove_toxic(docs.limit(0), labels.limit(0)).count() == 0
 
 
@@ -265,6 +265,34 @@ def test_near_copies_equal_brute_jaccard(spark, sf_dir, monkeypatch, chunk):
         assert simhash.keep_one(docs).count() > len(want)
 
 
+def test_near_pairs_span_brute_force_components():
+    rng = random.Random(3)
+    for _ in range(30):
+        sets = []
+        for _ in range(rng.randint(1, 6)):  # families of sets around the threshold
+            base = [rng.randrange(1 << 60) for _ in range(rng.choice([1, 4, 40]))]
+            for _ in range(rng.randint(1, 12)):
+                out = [x if rng.random() > 0.08 else rng.randrange(1 << 60) for x in base]
+                sets.append(np.unique(np.array(out, np.uint64)))
+        rng.shuffle(sets)
+        n = len(sets)
+        linked = [(i, j) for i in range(n) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        label = lambda pairs: [min(x) for x in _spread(n, pairs)]
+        got = simhash.near_pairs(sets)
+        assert label(got) == label(linked) and {tuple(sorted(p, reverse=True)) for p in got} <= set(linked)
+
+
+def _spread(n, pairs):
+    """The component of each of ``n`` vertices, as a set."""
+    group = [{i} for i in range(n)]
+    for a, b in pairs:
+        if group[a] is not group[b]:
+            whole = group[a] | group[b]
+            for x in whole:
+                group[x] = whole
+    return group
+
+
 def test_near_copies_edges(spark):
     docs = edge_docs(spark)
     kept = simhash.keep_one_near(docs)
@@ -626,10 +654,10 @@ def test_scripts_narrow_candidates():
 def test_language_edges(spark):
     docs = edge_docs(spark)
     model = langid.fit(spark.createDataFrame([(1, "the word one", "en"), (2, "das wort eins", "de"), (3, None, "de"), (4, "x", None)], "doc_id long, text string, lang string"))
-    rows = langid.with_language(docs.drop("Score"), model).collect()
+    rows = langid.with_language(docs, model).collect()
     assert {r.doc_id: r.lang_pred for r in rows if r.doc_id in (1, 2, 3)} == {1: "und", 2: "und", 3: "und"} and all(0 <= r.score <= 1 for r in rows)
     none = langid.fit(docs.limit(0))
-    assert {r.lang_pred for r in langid.with_language(docs.drop("Score"), none).collect()} == {"und"}
+    assert {r.lang_pred for r in langid.with_language(docs, none).collect()} == {"und"}
 
 
 # 8: top-k
@@ -735,8 +763,7 @@ def test_pipeline_stages(spark, sf_dir):
             copies = collections.Counter(r.doc_id for r in new.collect())
             assert set(copies) == {r.doc_id for r in docs.collect()} and max(copies.values()) >= 2
         if k == 2:
-            fps = [(r.doc_id, brute_fingerprint(r.text)) for r in docs.collect()]
-            assert sorted(r.doc_id for r in new.collect()) == sorted(set(brute_components(fps).values()))
+            assert {r.doc_id for r in new.collect()} == brute_near([(r.doc_id, r.text) for r in docs.collect()])
         if k < 3:
             assert new.count() <= before
         if k < len(cp.STAGES) - 1:

@@ -10,15 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch. Texts may be long, so batches stay small enough for a Python worker.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch. Texts may be long, so batches stay small enough for a Python worker.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 #: ASCII white space; a word is a longest run of other characters.
 SPACE = " \t\n\x0b\x0c\r"
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, which hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the Arrow batches of this session, which hold whole texts; tighter bounds that are set stay.
+
+    The settings are read when a plan runs, so they can't be taken back before a lazy result is used.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = str(spark.conf.get(f"spark.sql.execution.arrow.{name}")).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -44,7 +50,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,17 +86,20 @@ def free_name(df: DataFrame, name: str) -> str:
 def with_added(df: DataFrame, text_col: str, added: list[tuple[str, pa.DataType, T.DataType]], compute) -> DataFrame:
     """``df`` with columns computed by ``compute(list of texts) -> list of arrays`` in Arrow batches.
 
-    All other columns pass through as Arrow arrays, never as Python objects.
+    All other columns pass through as Arrow arrays, never as Python objects; those that have the name of an added one
+    (case does not count) are replaced, as ``withColumn`` does.
     """
     text_at = [c.lower() for c in df.columns].index(text_col.lower())
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, _, k in added)])
+    new = {n.lower() for n, _, _ in added}
+    keep = [k for k, c in enumerate(df.columns) if c.lower() not in new]
+    schema = T.StructType([*(df.schema.fields[k] for k in keep), *(T.StructField(n, k) for n, _, k in added)])
     kinds = [(n, k) for n, k, _ in added]
 
     def run(batches):
         for batch in batches:
             more = compute(batch.column(text_at).to_pylist())
-            arrays = [*batch.columns, *(pa.array(v, type=k) for v, (_, k) in zip(more, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *(n for n, _ in kinds)])
+            arrays = [*(batch.column(k) for k in keep), *(pa.array(v, type=k) for v, (_, k) in zip(more, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*(batch.schema.names[k] for k in keep), *(n for n, _ in kinds)])
 
     return df.mapInArrow(run, schema)
 

@@ -14,13 +14,16 @@ link is lost and no group is held whole. The number of blocks follows the count
 keeps mean groups small at any size and changes no result.
 
 ``keep_one_near`` has a contract of its own: texts link if their sets of five-word shingles have a
-Jaccard similarity of at least 0.8. Such pairs differ in up to some 20 bits
-of a fingerprint, where no bit mask finds them, so candidates come from MinHash bands over the same
-shingle hashes; components of candidates are then compared shingle by shingle, which is exact.
+Jaccard similarity of at least 0.8. Such pairs differ in up to some 20 bits of a fingerprint, where no
+bit mask finds them and no random pivot tells them apart, so candidates come from MinHash bands over the
+same shingle hashes, and the pivot tables hold Jaccard distances (a metric, so the triangle inequality
+stays exact): in each group of candidates some texts far from each other are the pivots, pairs whose
+distances to one of them differ by more than 0.2 are discarded, and survivors are compared shingle by shingle.
 
 Edge cases: null and wordless texts have fingerprint zero and link like any other; fewer words than a
 shingle has are one shingle; repeated rows each get their row; a null id is not a vertex (its
-component_id is null); an empty table gives an empty result.
+component_id is null); rows of one id with different texts are all linked to that id's group; very long texts
+are hashed whole; other columns pass through ``keep_one`` whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,11 +47,12 @@ PIVOTS = 16
 CHUNK = 512
 #: Mean members of a group that the number of blocks aims at.
 MEAN_GROUP = 64
-MAX_ROUNDS = 60
 #: ``keep_one_near``: words of a shingle, and the least Jaccard similarity of a link as a fraction.
 NEAR_SHINGLE, NEAR = 5, (4, 5)
 #: MinHash bands and hashes in each. A pair at the threshold shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 BANDS, BAND_ROWS = 32, 4
+#: Pivots of a group of candidates, and shingles of the sets that one task compares with each other.
+NEAR_PIVOTS, CHUNK_SHINGLES = 8, 1 << 20
 
 
 def shingle_hashes(text, width: int) -> list[int]:
@@ -185,22 +189,23 @@ def components(links: DataFrame) -> DataFrame:
     """(vertex, component) of every vertex of ``links(a, b)``: the smallest vertex it reaches.
 
     Each round takes the smallest label among neighbours and then the label of that label; a round
-    is written to the shared folder, and the rounds end when no label changes.
+    is written to the shared folder (the one before goes), and the rounds end when no label changes.
     """
     pairs = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = common.materialize(pairs, "links")
     both = pairs.select(F.col("a").alias("v"), F.col("b").alias("u")).union(pairs.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    label = common.materialize(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")), "labels")
-    for _ in range(MAX_ROUNDS):
+    label, old = common.materialize(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")), "labels"), None
+    while True:
         near = both.join(label.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").groupBy("v").agg(F.min("cu").alias("cu"))
         hooked = label.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "cu").alias("c"))
         jump = label.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        new = hooked.join(jump, "c", "left").select("v", "was", F.least("c", F.coalesce("cc", "c")).alias("c"))
-        new = common.materialize(new, "labels")
-        label = new.select("v", "c")
+        new = common.materialize(hooked.join(jump, "c", "left").select("v", "was", F.least("c", F.coalesce("cc", "c")).alias("c")), "labels")
+        if old is not None:
+            common.discard(old)
+        label, old = new.select("v", "c"), new
         if new.where("c <> was").isEmpty():
+            common.discard(pairs)
             return label.select(F.col("v").alias("vertex"), F.col("c").alias("component"))
-    raise RuntimeError(f"links did not settle in {MAX_ROUNDS} rounds")
 
 
 def group_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -229,7 +234,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prints, named = group_rows(docs, id_col, text_col)
     first = prints.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "t")).alias("row"))
     kept = first.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.id", "row.t")
-    return _rows_of(docs, kept, id_col, text_col)
+    return _rows_of(docs, prints, kept, id_col, text_col)
 
 
 def shingle_set(text) -> np.ndarray:
@@ -251,23 +256,46 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 def near_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Pairs that span the sets linked by an exact Jaccard similarity of at least ``NEAR``."""
-    size = np.array([len(x) for x in sets])
+    n, size = len(sets), np.array([len(x) for x in sets])
     flat, place = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(size) - size
-    label, out = np.arange(len(sets)), []
-    held = np.zeros(len(flat), bool)
-    for i in range(len(sets) - 1):
-        if not (label[i + 1 :] != label[i]).any():  # one component already: nothing to add
-            continue
-        own = place[starts[i] : starts[i] + size[i]]
-        held[own] = True
-        common_ = np.add.reduceat(held[place[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
-        held[own] = False
-        union = size[i] + size[i + 1 :] - common_
-        for j in (np.flatnonzero(NEAR[1] * common_ >= NEAR[0] * union) + i + 1).tolist():
+    label, out, held = np.arange(n), [], np.zeros(len(flat), bool)
+
+    def shared(i: int, others: np.ndarray) -> np.ndarray:
+        """Shingles that set ``i`` has in common with each of ``others`` (all of them, or some)."""
+        held[place[starts[i] : starts[i] + size[i]]] = True
+        if len(others) == n:
+            got = np.add.reduceat(held[place], starts, dtype=np.int64)
+        else:
+            ends = np.cumsum(size[others])
+            at = np.arange(ends[-1]) + np.repeat(starts[others] - (ends - size[others]), size[others])
+            got = np.add.reduceat(held[place[at]], ends - size[others], dtype=np.int64)
+        held[place[starts[i] : starts[i] + size[i]]] = False
+        return got
+
+    def link(i: int, others: np.ndarray, both: np.ndarray) -> None:
+        union = size[i] + size[others] - both
+        for j in others[NEAR[1] * both >= NEAR[0] * union].tolist():
             if label[i] != label[j]:
-                out.append((i, j))
+                out.append((min(i, j), max(i, j)))
                 label[label == label[j]] = label[i]
+
+    # Pivots: the first set, and then the one farthest from all pivots so far.
+    everyone, table, nearest, pivot = np.arange(n), [], np.full(n, 2.0), 0
+    while len(table) < min(NEAR_PIVOTS, n - 1) and nearest[pivot] > 0:
+        both = shared(pivot, everyone)
+        link(pivot, everyone, both)
+        table.append(1.0 - both / (size[pivot] + size - both))
+        nearest = np.minimum(nearest, table[-1])
+        nearest[pivot] = 0.0
+        pivot = int(nearest.argmax())
+    table, reach = np.array(table), 1.0 - NEAR[0] / NEAR[1] + 1e-9
+    for i in range(n - 1):
+        others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if len(others):
+            others = others[np.abs(table[:, others] - table[:, [i]]).max(0, initial=0.0) <= reach]
+        if len(others):
+            link(i, others, shared(i, others))
     return out
 
 
@@ -289,7 +317,9 @@ def near_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     found = docs.join(members, ["id", "t"]).select("cls", "component", "text").mapInArrow(sets, "cls long, component long, set binary")
     found = common.materialize(found.groupBy("cls", "component").agg(F.first("set").alias("set")), "sets")
     # As in class_links: a member of a large component goes to every pair of chunks that its own chunk is in.
-    count = found.groupBy("component").count().select("component", F.when(F.col("count") > CHUNK, F.ceil(F.col("count") / (CHUNK // 2))).otherwise(1).cast("int").alias("chunks"))
+    parts_of = lambda n, most: F.when(n > most, F.ceil(n / (most // 2))).otherwise(1)
+    count = found.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("set") / 8).alias("shingles"))
+    count = count.select("component", F.greatest(parts_of(F.col("n"), CHUNK), parts_of(F.col("shingles"), CHUNK_SHINGLES)).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, own).alias("i"), F.greatest(c, own).alias("j")))
     dealt = found.join(count, "component").withColumn("pair", F.explode(pairs)).select("component", "pair.i", "pair.j", "cls", "set")
@@ -308,8 +338,8 @@ def near_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.groupBy("g").applyInPandas(link, "a long, b long")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """(cls, id, t, component) of each shingle set of ``docs(id, t, text)``: its smallest row, and the group that it is in."""
+def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, t) of each row of ``docs(id, t, text)``; and (cls, id, t, component) of each shingle set: its smallest row, and the group that it is in."""
 
     def prints(batches):
         for batch in batches:
@@ -318,30 +348,35 @@ def near_classes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], names=["id", "t", "cls", "bands"])
 
     made = docs.where("id is not null").select("id", "t", "text").mapInArrow(prints, "id long, t long, cls long, bands array<long>")
+    made = common.materialize(made, "prints")
     classes = made.groupBy("cls").agg(F.min(F.struct("id", "t")).alias("row"), F.first("bands").alias("bands"))
     classes = common.materialize(classes.select("cls", "row.id", "row.t", "bands"), "classes")
     comps = components(near_links(classes, docs))
-    return classes.join(comps, F.col("cls") == F.col("vertex"), "left").select("cls", "id", "t", F.coalesce("component", "cls").alias("component"))
+    named = classes.join(comps, F.col("cls") == F.col("vertex"), "left").select("cls", "id", "t", F.coalesce("component", "cls").alias("component"))
+    return made.select("id", "t"), named
 
 
 def keep_one_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of texts linked by ``NEAR``: that with the smallest id. Rows without id stay."""
     key, t = F.col(id_col).cast("long"), F.xxhash64(text_col)
-    found = near_classes(docs.select(key.alias("id"), t.alias("t"), F.col(text_col).alias("text")))
+    rows, found = near_classes(docs.select(key.alias("id"), t.alias("t"), F.col(text_col).alias("text")))
     kept = found.groupBy("component").agg(F.min(F.struct("id", "t")).alias("row")).select("row.id", "row.t")
-    return _rows_of(docs, kept, id_col, text_col)
+    return _rows_of(docs, rows, kept, id_col, text_col)
 
 
-def _rows_of(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of ``docs`` for each (id, hash of the text) in ``kept(id, t)``, and all rows without id."""
+def _rows_of(docs: DataFrame, rows: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each (id, hash of the text) in ``kept(id, t)``, and all rows without id. ``rows`` has id and t of all."""
     at_id, at_t = common.free_name(docs, "_kept_id"), common.free_name(docs, "_kept_t")
-    kept = common.materialize(kept.select(F.col("id").alias(at_id), F.col("t").alias(at_t)), "kept")
+    many = rows.groupBy("id", "t").count().where("count > 1").select("id", "t", F.lit(True).alias("many"))
+    kept = kept.join(many, ["id", "t"], "left").select(F.col("id").alias(at_id), F.col("t").alias(at_t), "many")
+    kept = common.materialize(kept, "kept")
     marked = docs.withColumns({at_id: F.col(id_col).cast("long"), at_t: F.xxhash64(text_col)})
-    out = marked.join(kept, [at_id, at_t], "left_semi")
-    if not out.groupBy(at_id, at_t).count().where("count > 1").isEmpty():  # the first of repeated rows by all columns
+    out = marked.join(kept.where("many IS NULL"), [at_id, at_t], "left_semi").select(*docs.columns)
+    if not kept.where("many").isEmpty():  # the first of repeated rows by all columns
         row = F.struct(*docs.columns)
-        out = out.groupBy(at_id, at_t).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
-    return out.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+        twice = marked.join(kept.where("many"), [at_id, at_t], "left_semi")
+        out = out.unionByName(twice.groupBy(at_id, at_t).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))
+    return out.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
