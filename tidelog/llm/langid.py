@@ -14,16 +14,18 @@ batch at once; only texts with a larger one are labelled step by step.
 Training takes a bounded sample (TRAIN_ROWS rows with the smallest hashed ids) of rows with text and
 language. Edge cases: null, empty and letterless texts are ``und`` with score 0; a null language is
 not learned; with nothing learned everything is ``und``; very long texts are read whole; repeated
-rows are labelled as often as they come; other columns pass through untouched.
+rows are labelled as often as they come; of languages with equal scores the first in order of names
+wins; other columns pass through untouched, but for those with the names of the added ones, which are replaced;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +50,8 @@ RANGES = (
 _FIRST = np.array([a for a, _ in RANGES], np.int64)
 _SCRIPT = np.array([s for _, s in RANGES], np.int64)
 N_SCRIPTS = 14
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters are the code points of category L: digits of all kinds, fractions and letter-like numbers are none.
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 #: Bytes that part words: everything of ASCII but letters; A-Z become a-z.
@@ -257,10 +260,10 @@ def with_language(docs: DataFrame, model: bytes, text_col: str = "text", lang_co
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: a language for every document; rows with crc32(id) mod 4 = 2 are held out of training."""
+    """op7: a language for every document, and its spans of one language as JSON; rows with crc32(id) mod 4 = 2 are held out of training."""
     common.tune(spark)
     docs = common.read(spark, sf_dir, "documents")
     held_out = common.crc32_of_id("doc_id") % 4 == 2
     model = fit(docs.where(~held_out))
     out = with_language(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"), F.to_json("spans").alias("spans"))
