@@ -9,7 +9,7 @@ level by level, to the damaged records.
 Tasks name their files anew in each attempt and only files in the index count. Nothing is gathered
 by file: a node has FAN children at most.
 
-Edge cases: null url and html are empty; repeated pages are records of their own; a missing file or a
+Edge cases: null url and html are empty; control characters of a url are percent-encoded, so none can end a header line; repeated pages are records of their own; a missing file or a
 short one gives leaves without digest, which differ from any; an empty table writes no record
 and its audit is empty; other columns are ignored.
 """
@@ -19,7 +19,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import os
+import re
 import uuid
+import zlib
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -35,14 +38,17 @@ RUN = 512
 INDEX = "page_id long, file_no long, name string, seq long, first long, last long, record_bytes long, block_digest string"
 
 
-def record(page_id, url: str, html: str) -> tuple[bytes, str]:
-    """One WARC resource record and the SHA-256 of its block."""
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+
+
+def record(page_id, url: str, html: str, date: str) -> tuple[bytes, str]:
+    """One WARC resource record of ``date`` (ISO, seconds, Z) and the SHA-256 of its block."""
     block = html.encode("utf-8", "replace")
     digest = hashlib.sha256(block).hexdigest()
     head = (
-        "WARC/1.1\r\nWARC-Type: resource\r\n"
+        f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Date: {date}\r\n"
         f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>\r\n"
-        f"WARC-Target-URI: {url}\r\nWARC-Block-Digest: sha256:{digest}\r\n"
+        f"WARC-Target-URI: {_CONTROL.sub(lambda c: f'%{ord(c[0]):02X}', url)}\r\nWARC-Block-Digest: sha256:{digest}\r\n"
         f"Content-Type: text/html\r\nContent-Length: {len(block)}\r\n\r\n"
     )
     return head.encode("utf-8", "replace") + block + b"\r\n\r\n", digest
@@ -56,8 +62,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])]
 
 
-def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Store ``pages(page_id, url, html)``; returns the index, with byte ranges [first, last)."""
+def write(pages: DataFrame, folder: str, date: str | None = None) -> DataFrame:
+    """Store ``pages(page_id, url, html)`` as records of ``date`` (now, if none); returns the index, with byte ranges [first, last)."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
         from pyspark import TaskContext
@@ -71,7 +78,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     fs, inner = pafs.FileSystem.from_uri(f"{folder}/{name}")
                     fs.create_dir(os.path.dirname(inner), recursive=True)
                     out = fs.open_output_stream(inner, compression=None)
-                data, digest = record(page_id, url or "", html or "")
+                data, digest = record(page_id, url or "", html or "", date)
                 member = gzip.compress(data, 4, mtime=0)
                 out.write(member)
                 rows.append((page_id, part, name, seq, at, at + len(member), len(data), digest))
@@ -97,13 +104,13 @@ def _by_run(index: DataFrame) -> DataFrame:
     return index.select("file_no", "name", "seq", "first", "last").repartition(parts, "file_no", run).sortWithinPartitions("file_no", "seq")
 
 
-def leaves(index: DataFrame, folder: str) -> DataFrame:
-    """(file_no, seq, first, last, digest) of the stored bytes of every record under ``folder``."""
+def _stored(index: DataFrame, folder: str, schema: str, of) -> DataFrame:
+    """Columns made by ``of(list of stored bytes or None)`` for each record of a replica, after file_no, seq, first and last."""
 
     def run(batches):
         opened, f, size = None, None, 0
         for batch in batches:
-            digests = []
+            found = []
             for _, name, _, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name != opened:
                     if f is not None:
@@ -115,13 +122,35 @@ def leaves(index: DataFrame, folder: str) -> DataFrame:
                     except FileNotFoundError:
                         f, size = None, 0
                     opened = name
-                digests.append(hashlib.sha256(f.read_at(last - first, first)).hexdigest() if f is not None and last <= size else None)
-            keep = [batch.column(k) for k in (0, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(digests, pa.string())], names=["file_no", "seq", "first", "last", "digest"])
+                found.append(of(f.read_at(last - first, first) if f is not None and last <= size else None))
+            columns = [*(batch.column(k) for k in (0, 2, 3, 4)), *(pa.array(x) for x in zip(*found, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=["file_no", "seq", "first", "last", *(x.split()[0] for x in schema.split(", "))]).cast(kinds)
         if f is not None:
             f.close()
 
-    return _by_run(index).mapInArrow(run, "file_no long, seq long, first long, last long, digest string")
+    types = {"string": pa.string(), "long": pa.int64()}
+    whole = "file_no long, seq long, first long, last long, " + schema
+    kinds = pa.schema([(n, types[k]) for n, k in map(str.split, whole.split(", "))])
+    return _by_run(index).mapInArrow(run, whole)
+
+
+def leaves(index: DataFrame, folder: str) -> DataFrame:
+    """(file_no, seq, first, last, digest) of the stored bytes of every record under ``folder``."""
+    return _stored(index, folder, "digest string", lambda data: (None if data is None else hashlib.sha256(data).hexdigest(),))
+
+
+def _read(data: bytes | None) -> tuple:
+    try:
+        whole = gzip.decompress(data)
+        headers, block = parse(whole)
+    except (TypeError, OSError, EOFError, ValueError, KeyError, zlib.error):
+        return None, None, None
+    return len(whole), hashlib.sha256(block).hexdigest(), headers.get("WARC-Block-Digest", "").removeprefix("sha256:")
+
+
+def read_back(index: DataFrame, folder: str) -> DataFrame:
+    """(file_no, seq, first, last, record_bytes, block_digest, stated_digest) of every record as it's stored; nulls where it can't be read."""
+    return _stored(index, folder, "record_bytes long, block_digest string, stated_digest string", _read)
 
 
 def _up(nodes: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -214,17 +243,19 @@ def query(spark, sf_dir: str) -> DataFrame:
     index = write(common.read(spark, sf_dir, "pages"), f"{base}/a")
     copy(index, f"{base}/a", f"{base}/b", F.col("page_id") % DAMAGE == 13)
     bad = audit(index, f"{base}/a", f"{base}/b").withColumn("hit", F.lit(True))
-    out = index.join(bad, ["file_no", "seq"], "left")
-    return out.select("page_id", "record_bytes", "block_digest", F.when(F.col("hit"), "differs").otherwise("same").alias("status"))
+    found = read_back(index, f"{base}/a").select("file_no", "seq", "record_bytes", "block_digest", "stated_digest")
+    out = index.select("file_no", "seq", "page_id").join(found, ["file_no", "seq"]).join(bad, ["file_no", "seq"], "left")
+    status = F.when(F.col("hit"), "differs").when(F.col("block_digest").eqNullSafe(F.col("stated_digest")), "same").otherwise("unreadable")
+    return out.select("page_id", "record_bytes", "block_digest", status.alias("status"))
 
 
 SQL = f"""
 WITH r AS (
-  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS block_digest FROM pages)
+  SELECT page_id, regexp_replace(coalesce(url, ''), '[\\x00-\\x1f\\x7f]', '%00', 'g') AS url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS block_digest FROM pages)
 SELECT page_id,
-       CAST(strlen('WARC/1.1' || 'WARC-Type: resource' || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'null') || '>'
+       CAST(strlen('WARC/1.1' || 'WARC-Type: resource' || 'WARC-Date: 2000-01-01T00:00:00Z' || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'null') || '>'
          || 'WARC-Target-URI: ' || url || 'WARC-Block-Digest: sha256:' || block_digest || 'Content-Type: text/html'
-         || 'Content-Length: ' || strlen(html)::VARCHAR || html) + 20 AS BIGINT) AS record_bytes,
+         || 'Content-Length: ' || strlen(html)::VARCHAR || html) + 22 AS BIGINT) AS record_bytes,
        block_digest, CASE WHEN page_id % {DAMAGE} = 13 THEN 'differs' ELSE 'same' END AS status
 FROM r
 """
