@@ -5,10 +5,9 @@ All but XML stay in the JVM. A value that can't be decoded is null here; ``or_un
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,18 +67,16 @@ def number(data: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _double(data: pd.Series) -> pd.Series:
-    """Order-preserving doubles: the sign bit is turned, or all bits where it was clear."""
-
-    def one(x):
-        if x is None or len(x) not in (4, 8):
-            return None
-        n = len(x)
-        bits = int.from_bytes(x, "big")
-        top = 1 << (8 * n - 1)
-        bits = bits ^ top if bits & top else bits ^ (2 * top - 1)
-        return struct.unpack(">d" if n == 8 else ">f", bits.to_bytes(n, "big"))[0]
-
-    return data.map(one, na_action="ignore")
+    """Order-preserving doubles and floats: the sign bit is turned, or all bits where it was clear."""
+    out, size = pd.Series(np.nan, index=data.index, dtype="float64"), data.map(len, na_action="ignore")
+    for n, whole, kind in ((8, ">u8", ">f8"), (4, ">u4", ">f4")):
+        some = data[size == n]
+        if len(some):
+            bits = np.frombuffer(b"".join(some), whole)
+            top = np.array(1 << (8 * n - 1), whole)
+            turned = np.where(bits & top, bits ^ top, ~bits).astype(whole)
+            out[some.index] = turned.view(kind).astype("float64")
+    return out.astype(object).where(size.isin([4, 8]), None)
 
 
 def binary_double(data: Column) -> Column:
@@ -160,29 +157,39 @@ def interval_ds(data: Column) -> Column:
     return F.when(good, F.struct(negative.alias("negative"), *(F.abs(c).alias(n) for n, c in parts.items())))
 
 
-#: Java charsets for the names that a dictionary gives; others go through ``spark.sql.legacy.javaCharsets``.
+#: Codecs for the names that a dictionary gives.
 CHARSETS = {
-    "US7ASCII": "US-ASCII", "WE8ISO8859P1": "ISO-8859-1", "UTF8": "CESU-8", "AL32UTF8": "UTF-8", "AL16UTF16": "UTF-16BE",
-    "WE8MSWIN1252": "windows-1252", "EE8MSWIN1250": "windows-1250", "CL8MSWIN1251": "windows-1251", "EL8MSWIN1253": "windows-1253",
-    "TR8MSWIN1254": "windows-1254", "IW8MSWIN1255": "windows-1255", "AR8MSWIN1256": "windows-1256", "BLT8MSWIN1257": "windows-1257",
-    "VN8MSWIN1258": "windows-1258", "EE8ISO8859P2": "ISO-8859-2", "CL8ISO8859P5": "ISO-8859-5", "EL8ISO8859P7": "ISO-8859-7",
-    "WE8ISO8859P9": "ISO-8859-9", "WE8ISO8859P15": "ISO-8859-15", "CL8KOI8R": "KOI8-R", "CL8KOI8U": "KOI8-U", "TH8TISASCII": "TIS-620",
-    "JA16SJIS": "Shift_JIS", "JA16EUC": "EUC-JP", "KO16KSC5601": "EUC-KR", "KO16MSWIN949": "x-windows-949", "ZHS16GBK": "GBK",
-    "ZHS16CGB231280": "GB2312", "ZHS32GB18030": "GB18030", "ZHT16BIG5": "Big5", "ZHT16HKSCS": "Big5-HKSCS", "ZHT32EUC": "x-EUC-TW",
+    "US7ASCII": "ascii", "WE8ISO8859P1": "latin-1", "UTF8": "cesu-8", "AL32UTF8": "utf-8", "AL24UTFFSS": "cesu-8", "AL16UTF16": "utf-16-be", "AL16UTF16LE": "utf-16-le",
+    "US8PC437": "cp437", "WE8PC850": "cp850", "WE8PC858": "cp858", "EE8PC852": "cp852", "RU8PC866": "cp866", "RU8PC855": "cp855", "TR8PC857": "cp857", "WE8PC860": "cp860",
+    "IS8PC861": "cp861", "N8PC865": "cp865", "EL8PC737": "cp737", "EL8PC869": "cp869", "BLT8PC775": "cp775", "IW8PC1507": "cp862", "AR8PC864": "cp864", "CDN8PC863": "cp863",
+    "EE8ISO8859P2": "iso8859-2", "SE8ISO8859P3": "iso8859-3", "NEE8ISO8859P4": "iso8859-4", "CL8ISO8859P5": "iso8859-5", "AR8ISO8859P6": "iso8859-6", "EL8ISO8859P7": "iso8859-7",
+    "IW8ISO8859P8": "iso8859-8", "WE8ISO8859P9": "iso8859-9", "NE8ISO8859P10": "iso8859-10", "BLT8ISO8859P13": "iso8859-13", "CEL8ISO8859P14": "iso8859-14", "WE8ISO8859P15": "iso8859-15",
+    "EE8MSWIN1250": "cp1250", "CL8MSWIN1251": "cp1251", "WE8MSWIN1252": "cp1252", "EL8MSWIN1253": "cp1253", "TR8MSWIN1254": "cp1254", "IW8MSWIN1255": "cp1255", "AR8MSWIN1256": "cp1256",
+    "BLT8MSWIN1257": "cp1257", "VN8MSWIN1258": "cp1258", "CL8KOI8R": "koi8-r", "CL8KOI8U": "koi8-u", "TH8TISASCII": "tis-620", "TH8MACTHAI": "tis-620",
+    "EE8MACCE": "mac-latin2", "EE8MACCES": "mac-latin2", "CL8MACCYRILLIC": "mac-cyrillic", "CL8MACCYRILLICS": "mac-cyrillic", "EL8MACGREEK": "mac-greek", "EL8MACGREEKS": "mac-greek",
+    "IS8MACICELANDIC": "mac-iceland", "IS8MACICELANDICS": "mac-iceland", "TR8MACTURKISH": "mac-turkish", "TR8MACTURKISHS": "mac-turkish", "EE8MACCROATIAN": "mac-croatian",
+    "EE8MACCROATIANS": "mac-croatian", "WE8MACROMAN8": "mac-roman", "WE8MACROMAN8S": "mac-roman", "WE8HP": "hp-roman8", "WE8ROMAN8": "hp-roman8",
+    "WE8EBCDIC37": "cp037", "WE8EBCDIC500": "cp500", "WE8EBCDIC1140": "cp1140", "D8EBCDIC273": "cp273", "IW8EBCDIC424": "cp424", "EL8EBCDIC875": "cp875", "TR8EBCDIC1026": "cp1026",
+    "JA16SJIS": "cp932", "JA16SJISTILDE": "cp932", "JA16EUC": "euc-jp", "JA16EUCTILDE": "euc-jp", "KO16KSC5601": "euc-kr", "KO16KSCCS": "johab", "KO16MSWIN949": "cp949",
+    "ZHS16GBK": "gbk", "ZHS16CGB231280": "gb2312", "ZHS32GB18030": "gb18030", "ZHT16BIG5": "big5", "ZHT16MSWIN950": "cp950", "ZHT16HKSCS": "big5hkscs", "ZHT16HKSCS31": "big5hkscs",
 }
+#: Sets that only the JVM knows; Spark decodes them if ``spark.sql.legacy.javaCharsets`` is set.
+JAVA_CHARSETS = {"ZHT32EUC": "x-EUC-TW", "CL8EBCDIC1025": "x-IBM1025", "WE8EBCDIC1047": "IBM1047", "DK8EBCDIC277": "IBM277", "S8EBCDIC278": "IBM278", "I8EBCDIC280": "IBM280", "F8EBCDIC297": "IBM297", "EE8EBCDIC870": "IBM870", "WE8EBCDIC871": "IBM871", "WE8EBCDIC284": "IBM284", "WE8EBCDIC285": "IBM285", "AR8EBCDICX": "IBM420", "LT8PC772": "x-IBM921", "LT8MSWIN921": "x-IBM921", "BLT8CP921": "x-IBM921", "ET8MSWIN923": "x-IBM922"}
+
+
+class CharsetError(ValueError):
+    """A character set that can't be decoded here."""
 
 
 @F.pandas_udf(T.StringType())
 def _decode(data: pd.Series, name: pd.Series) -> pd.Series:
-    special = {"CESU-8": None, "x-windows-949": "cp949", "x-EUC-TW": "big5"}
-
     def one(b, n):
         if b is None:
             return None
-        if n == "CESU-8":  # surrogate pairs in three bytes each
+        if n == "cesu-8":  # surrogate pairs in three bytes each
             text = bytes(b).decode("utf-8", "surrogatepass" if _pairs(b) else "replace")
             return text.encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace")
-        return bytes(b).decode(special.get(n) or n, "replace")
+        return bytes(b).decode(n, "replace")
 
     return pd.Series([one(b, n) for b, n in zip(data, name, strict=True)])
 
@@ -199,19 +206,33 @@ def characters(data: Column, charset: str) -> Column:
     """Text of bytes in a character set; bytes that mean nothing become U+FFFD.
 
     Sets that Spark decodes by itself stay in the JVM if the bytes are valid; others and malformed bytes
-    take an Arrow function.
+    take an Arrow function. An unknown set is an error when the plan is built.
     """
-    java = CHARSETS.get(charset, charset)
-    if java == "UTF-8":
+    if charset in JAVA_CHARSETS:
+        session = SparkSession.getActiveSession()
+        if session is None or session.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+            raise CharsetError(f"{charset} needs spark.sql.legacy.javaCharsets = true")
+        return F.decode(data, JAVA_CHARSETS[charset])
+    codec = CHARSETS.get(charset)
+    if codec is None:
+        raise CharsetError(f"unknown character set {charset!r}")
+    if codec == "utf-8":
         return F.when(F.is_valid_utf8(data.cast("string")), data.cast("string")).otherwise(F.make_valid_utf8(data.cast("string")))
-    if java == "ISO-8859-1":
+    if codec == "latin-1":
         return F.decode(data, "ISO-8859-1")
-    return _decode(data, F.lit(java))
+    return _decode(data, F.lit(codec))
 
 
 def character_output(text: Column, mode: int) -> Column:
-    """0: text; 1: text as stored (no mapping); 2: hexadecimal of its UTF-8 bytes."""
-    return F.lower(F.hex(F.encode(text, "UTF-8"))) if mode == 2 else text
+    """0 and 1: text; 2 and 3: hexadecimal of its UTF-8 bytes. For bytes as stored see ``stored_characters``."""
+    return F.lower(F.hex(F.encode(text, "UTF-8"))) if mode & 2 else text
+
+
+def stored_characters(data: Column, charset: str, mode: int = 0) -> Column:
+    """Output of stored bytes: bit 1 leaves out the mapping of the character set (each byte is a character), bit 2 writes hexadecimal."""
+    if mode & 1:
+        return raw(data) if mode & 2 else F.decode(data, "ISO-8859-1")
+    return character_output(characters(data, charset), mode)
 
 
 def raw(data: Column) -> Column:

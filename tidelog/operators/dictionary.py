@@ -20,33 +20,58 @@ def versions(changes: DataFrame, key: list[str], scn_col: str = "commit_scn", go
     return rows.where(~gone) if gone is not None else rows
 
 
+def small(dictionary: DataFrame) -> bool:
+    """Whether there are few enough versions to broadcast. Reads no more than that many rows."""
+    return dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def as_of(records: DataFrame, dictionary: DataFrame, key: str = "obj", scn_col: str = "scn", columns: list[str] | None = None) -> DataFrame:
-    """Every record with the columns of the version valid at its number (null where there is none)."""
+    """Every record with the columns of the version valid at its number (null where there is none).
+
+    Versions of a key must not overlap; ``overlaps`` finds those that do.
+    """
     columns = columns or [c for c in dictionary.columns if c not in (key, "valid_from", "valid_to")]
-    if dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if small(dictionary):
         d = dictionary.select(F.col(key).alias("_key"), "valid_from", "valid_to", *columns)
         hit = (F.col(key) == F.col("_key")) & (F.col(scn_col) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(scn_col) < F.col("valid_to")))
         return records.join(F.broadcast(d), hit, "left").drop("_key", "valid_from", "valid_to")
     return as_of_sorted(records, dictionary, key, scn_col, columns)
 
 
+def overlaps(dictionary: DataFrame, key: str = "obj") -> DataFrame:
+    """Versions that begin before the one before them ends."""
+    order = Window.partitionBy(key).orderBy("valid_from")
+    rows = dictionary.withColumn("_end", F.lag(F.coalesce("valid_to", F.lit(2**63 - 1))).over(order))
+    return rows.where(F.col("_end") > F.col("valid_from")).drop("_end")
+
+
+#: Buckets of a number range that a table's records are dealt into by ``as_of_sorted``.
+AS_OF_RANGES = 256
+
+
 def as_of_sorted(records: DataFrame, dictionary: DataFrame, key: str = "obj", scn_col: str = "scn", columns: list[str] | None = None) -> DataFrame:
-    """The same by one shuffle: versions and records are sorted together and the last version is carried on."""
+    """The same by one shuffle: versions and records are sorted together and the last version is carried on.
+
+    Records are dealt by key and range of their number, so a hot table is many tasks; each version also goes to the ranges that
+    it reaches into, so nothing has to be carried from one range to the next.
+    """
     columns = columns or [c for c in dictionary.columns if c not in (key, "valid_from", "valid_to")]
     version = F.struct("valid_from", "valid_to", *columns)
-    kind = version_type(dictionary.select("valid_from", "valid_to", *columns))
-    d = dictionary.select(F.col(key).alias("_key"), F.col("valid_from").alias("_at"), F.lit(0).alias("_side"), version.alias("_version"), F.lit(None).cast(version_type(records)).alias("_row"))
-    r = records.select(F.col(key).alias("_key"), F.col(scn_col).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_version"), F.struct(*records.columns).alias("_row"))
-    order = Window.partitionBy("_key").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    kind = dictionary.select("valid_from", "valid_to", *columns).schema
+    ends = records.agg(F.min(scn_col).alias("low"), F.max(scn_col).alias("high")).first()
+    low, width = ends["low"] or 0, max(1, ((ends["high"] or 0) - (ends["low"] or 0)) // AS_OF_RANGES + 1)
+    range_of = lambda c: F.floor((c - low) / width).cast("int")
+    first = F.greatest(F.lit(0), range_of(F.col("valid_from")))
+    last = F.least(F.lit(AS_OF_RANGES - 1), range_of(F.coalesce("valid_to", F.lit(ends["high"] or 0))))
+    reach = F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")))
+    d = dictionary.select(F.col(key).alias("_key"), reach.alias("_range"), F.col("valid_from").alias("_at"), F.lit(0).alias("_side"), version.alias("_version"), F.lit(None).cast(records.schema).alias("_row"))
+    r = records.select(F.col(key).alias("_key"), range_of(F.col(scn_col)).alias("_range"), F.col(scn_col).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_version"), F.struct(*records.columns).alias("_row"))
+    order = Window.partitionBy("_key", "_range").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = d.unionByName(r).withColumn("_last", F.last("_version", ignorenulls=True).over(order)).where("_side = 1")
     live = F.col("_last.valid_to").isNull() | (F.col("_at") < F.col("_last.valid_to"))
     return both.select("_row.*", *(F.when(live, F.col(f"_last.{c}")).alias(c) for c in columns))
 
 
-def version_type(df: DataFrame):
-    return df.schema
-
-
 def with_partitions(objects: DataFrame, partitions: DataFrame) -> DataFrame:
     """Objects and their partitions (``obj, base_obj``), each leading to the table's row."""
     inner = partitions.select(F.col("obj").alias("part_obj"), F.col("base_obj").alias("obj")).join(objects, "obj")
@@ -127,13 +152,25 @@ def table_maps(tables: DataFrame, columns: DataFrame, constraints: DataFrame) ->
 
 
 def override_key(maps: DataFrame, key: list[str] | None) -> DataFrame:
-    """The rule's key instead of the primary key; ``missing`` lists names that the table doesn't have."""
+    """The rule's key instead of the primary key; ``missing`` lists names that the table doesn't have (``check_keys`` refuses them)."""
     if not key:
         return maps.withColumn("missing", F.array().cast("array<string>"))
     wanted = F.array(*map(F.lit, key))
     return maps.withColumn("missing", F.array_except(wanted, "cols")).withColumn("key", F.filter("cols", lambda c: F.array_contains(wanted, c)))
 
 
+class KeyColumnError(ValueError):
+    """A rule's key names a column that a table doesn't have."""
+
+
+def check_keys(maps: DataFrame) -> DataFrame:
+    """``maps``, if no rule's key names a column that its table doesn't have. One row a table is read."""
+    wrong = maps.where(F.size("missing") > 0).select("owner", "name", F.array_join("missing", ", ").alias("missing")).limit(1).collect()
+    if wrong:
+        raise KeyColumnError(f"table {wrong[0]['owner']}.{wrong[0]['name']} has no column {wrong[0]['missing']}, which its rule's key names")
+    return maps
+
+
 def tag_columns(maps: DataFrame, tag: str | None) -> DataFrame:
     """``[pk]``, ``[all]`` or names in order."""
     if not tag:

@@ -41,7 +41,12 @@ def pairs(before: Column, after: Column) -> Column:
     )
 
 
-def changed(both: Column, keys: list[str], mode: int) -> Column:
+def names(columns: Column | list[str]) -> Column:
+    """Column names as an array, given as a list or, where they differ from row to row, as a column."""
+    return columns if isinstance(columns, Column) else F.array(*map(F.lit, columns)).cast("array<string>")
+
+
+def changed(both: Column, keys: Column | list[str], mode: int) -> Column:
     """The columns of an update that are shown; an absent side becomes an explicit null.
 
     Mode 0 and 1 leave out non-key columns that are equal on both sides, or null on one and absent
@@ -49,7 +54,7 @@ def changed(both: Column, keys: list[str], mode: int) -> Column:
     """
     if mode >= 2:
         return both
-    key = F.array(*map(F.lit, keys)).cast("array<string>")
+    key = names(keys)
 
     def shown(k, p):
         same = p["in_b"] & p["in_a"] & p["b"].eqNullSafe(p["a"])
@@ -63,26 +68,35 @@ def side(both: Column, name: str) -> Column:
     return F.transform_values(both, lambda k, p: p[name])
 
 
-def update_images(before: Column, after: Column, keys: list[str], mode: int = 0) -> tuple[Column, Column]:
+def update_images(before: Column, after: Column, keys: Column | list[str], mode: int = 0) -> tuple[Column, Column]:
     both = changed(pairs(before, after), keys, mode)
     return side(both, "b"), side(both, "a")
 
 
-def one_image(image: Column, keys: list[str], columns: list[str], mode: int = 0) -> Column:
+def one_image(image: Column, keys: Column | list[str], columns: Column | list[str], mode: int = 0) -> Column:
     """The shown image of an insert or delete: mode 0 without nulls but with all keys; above, every column."""
-    if mode == 2 and not columns:
+    if mode == 2 and isinstance(columns, list) and not columns:
         return image
-    wanted = keys if mode == 0 else columns
-    names = F.array(*map(F.lit, wanted)).cast("array<string>")
-    missing = F.filter(names, lambda n: ~F.map_contains_key(image, n))
+    wanted = names(keys if mode == 0 else columns)
+    missing = F.filter(wanted, lambda n: ~F.map_contains_key(image, n))
     nulls = F.map_from_arrays(missing, F.transform(missing, lambda n: F.lit(None).cast("string")))
     kept = image
     if mode == 0:
-        key = F.array(*map(F.lit, keys)).cast("array<string>")
+        key = names(keys)
         kept = F.map_filter(image, lambda k, v: v.isNotNull() | F.array_contains(key, k))
     return F.map_concat(kept, nulls)
 
 
+#: Type numbers whose nulls are always shown, and those whose nulls are shown after a change alone.
+NULL_TYPES, NULL_TYPES_AFTER = (1, 2, 12, 23, 96, 100, 101, 180, 182, 183, 208, 231), (58, 112, 113, 119)
+
+
+def hide_unsupported(image: Column, types: Column, after: bool) -> Column:
+    """Without the nulls of columns whose type (``types``: map of name to number) isn't supported; unknown names stay."""
+    shown = NULL_TYPES + (NULL_TYPES_AFTER if after else ())
+    return F.map_filter(image, lambda k, v: v.isNotNull() | F.coalesce(F.element_at(types, k).isin(*shown), F.lit(True)))
+
+
 def text_of(image: Column) -> Column:
     """``name=value`` in order of names, a null as ``name``: a stable text for comparing."""
     return F.array_join(F.transform(F.array_sort(F.map_entries(image)), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")

@@ -50,8 +50,8 @@ class FormatOptions:
 
 
 def _quote(text: Column) -> Column:
-    """A JSON string, by the engine's own encoder."""
-    return F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'^\{"v":|\}$', "")
+    """A JSON string, by the engine's own encoder; a null text is a JSON null."""
+    return F.when(text.isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'^\{"v":|\}$', ""))
 
 
 class JsonObject:
@@ -120,10 +120,39 @@ def schema_block(options: FormatOptions) -> Column:
     return out.column()
 
 
-def first_of_obj(changes: DataFrame, order: list[str]) -> DataFrame:
-    """``first_of_obj``: whether a message is the first of its table. One aggregate a table and a join, no sort of all rows."""
-    firsts = changes.groupBy("obj").agg(F.min(F.struct(*order)).alias("_first"))
-    return changes.join(firsts, "obj").withColumn("first_of_obj", F.struct(*order).eqNullSafe(F.col("_first"))).drop("_first")
+#: Type numbers of columns, their names in a schema block, and what is said of them besides.
+COLUMN_TYPES = {
+    1: ("varchar2", "length"), 2: ("number", "precision"), 8: ("long", ""), 12: ("date", ""), 23: ("raw", "length"), 24: ("long raw", ""), 96: ("char", "length"),
+    100: ("binary_float", ""), 101: ("binary_double", ""), 112: ("clob", ""), 113: ("blob", ""), 180: ("timestamp", "length"), 181: ("timestamp with time zone", "length"),
+    182: ("interval year to month", "length"), 183: ("interval day to second", "length"), 208: ("urowid", "length"), 231: ("timestamp with local time zone", "length"),
+}
+
+
+def columns_json(columns: Column) -> Column:
+    """The columns of a schema block, of an array of (name, type, length, precision, scale, nullable) in order."""
+
+    def one(c: Column) -> Column:
+        name, more = F.lit("unknown"), F.lit("")
+        for number, (text, kind) in COLUMN_TYPES.items():
+            name = F.when(c["type"] == number, text).otherwise(name)
+            if kind == "length":
+                more = F.when(c["type"] == number, F.concat(F.lit(',"length":'), c["length"].cast("string"))).otherwise(more)
+            elif kind == "precision":
+                more = F.when(c["type"] == number, F.concat(F.lit(',"precision":'), c["precision"].cast("string"), F.lit(',"scale":'), c["scale"].cast("string"))).otherwise(more)
+        return F.concat(F.lit('{"name":'), _quote(c["name"]), F.lit(',"type":"'), name, F.lit('"'), F.coalesce(more, F.lit("")), F.lit(',"nullable":'), c["nullable"].cast("string"), F.lit("}"))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(columns, one), ","), F.lit("]"))
+
+
+def first_of_obj(changes: DataFrame, order: list[str], bounded: bool = False) -> DataFrame:
+    """``first_of_obj``: whether a message is the first of its table by ``order``, which must tell messages apart.
+
+    One row a table is aggregated and joined (a null table counts as one). With ``bounded`` the caller knows that there are no
+    more tables than may be broadcast, and the messages aren't shuffled.
+    """
+    firsts = changes.groupBy(F.col("obj").alias("_obj")).agg(F.min(F.struct(*order)).alias("_first"))
+    joined = changes.join(F.broadcast(firsts) if bounded else firsts, F.col("obj").eqNullSafe(F.col("_obj")))
+    return joined.withColumn("first_of_obj", F.struct(*order).eqNullSafe(F.col("_first"))).drop("_first", "_obj")
 
 
 def dml(changes: DataFrame, options: FormatOptions) -> DataFrame:

@@ -49,3 +49,12 @@ def merge_blocks(vectors: DataFrame) -> DataFrame:
     rows = vectors.withColumn("_starts", (F.col("place").isin("HEAD", "SINGLE")).cast("int"))
     rows = rows.withColumn("run", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*XID, "run").agg(F.min("scn").alias("scn"), F.sum("size").alias("bytes"), F.count("*").alias("n_blocks"))
+
+
+#: Fixed value: the bit of a row's flags that marks a cluster key.
+CLUSTER_KEY = 0x80
+
+
+def without_cluster_keys(rows: DataFrame, flags_col: str = "fb") -> DataFrame:
+    """Row changes that aren't entries of a cluster's key (null flags have no bit)."""
+    return rows.where(F.coalesce(F.col(flags_col), F.lit(0)).bitwiseAND(F.lit(CLUSTER_KEY)) == 0)

@@ -7,7 +7,6 @@ serves grouping and windows alike.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,57 +54,70 @@ def classes(tx: DataFrame, after_scn: int = 0) -> DataFrame:
     return tx.withColumn("fate", fate)
 
 
-def survivors(redo: DataFrame) -> DataFrame:
-    """Changes that no savepoint rollback took back, by stack depth alone (no look at what was undone).
+def _stacked(rows: DataFrame) -> DataFrame:
+    """``rows`` with what a stack of changes makes of them, by windows over one partitioning by transaction.
 
-    Depth is the running sum of +1 and -1, lifted where an undo found nothing; a change survives if no
-    later depth of its transaction falls below its own.
+    ``_depth`` is the running sum of +1 and -1, lifted where an undo finds nothing; a change is live if no later depth of
+    its transaction falls below its own. An undo must be the inverse of the change that it takes back, and name its object:
+    that change is the one before it at the same depth. Where one doesn't match (``_bad`` of the whole transaction), depths
+    after it don't hold, and ``_folded`` answers. ``n_mismatch`` counts undos that found nothing, if all others match.
     """
     order = Window.partitionBy(*XID).orderBy(*ORDER)
-    so_far, rest = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    rows = redo.where(F.col("kind").isin(*CHANGES, "UNDO_LAST"))
-    rows = rows.withColumn("_sum", F.sum(F.when(F.col("kind") == "UNDO_LAST", -1).otherwise(1)).over(so_far))
+    so_far, rest, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(*XID)
+    change, undo = F.col("kind").isin(*CHANGES), F.col("kind") == "UNDO_LAST"
+    rows = rows.withColumn("_sum", F.sum(F.when(change, 1).when(undo, -1).otherwise(0)).over(so_far))
     rows = rows.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far)))
-    rows = rows.withColumn("_low", F.min("_depth").over(rest))
-    return rows.where((F.col("kind") != "UNDO_LAST") & (F.col("_low") >= F.col("_depth"))).drop("_sum", "_depth", "_low")
+    rows = rows.withColumns({"_low": F.min("_depth").over(rest), "_level": F.when(change, F.col("_depth")).when(undo, F.coalesce(F.lag("_depth").over(order), F.lit(0))).otherwise(-1)})
+    last = F.lag(F.struct("kind", "obj")).over(Window.partitionBy(*XID, "_level").orderBy(*ORDER))
+    taken = F.create_map(*(F.lit(x) for pair in INVERSE.items() for x in pair))[last["kind"]]
+    wrong = undo & (F.col("_level") > 0) & ~(taken.eqNullSafe(F.col("undo_kind")) & last["obj"].eqNullSafe(F.col("obj")))
+    rows = rows.withColumn("_wrong", wrong)
+    return rows.withColumns({"_bad": F.max("_wrong").over(whole), "n_mismatch": F.count(F.when(undo & (F.col("_level") == 0), 1)).over(whole)})
+
+
+_HELP = ["_sum", "_depth", "_low", "_level", "_wrong", "_bad"]
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """(XID, ORDER, n_mismatch) of the changes that stay in transactions with an undo that matches nothing.
+
+    Such a transaction is an anomaly of the log. Its records are folded over one stack in one row, which holds some 60 bytes
+    a record and nothing of the images, so some ten million records of one transaction are the limit here.
+    """
+    item = F.struct(*ORDER, "kind", "obj", "undo_kind")
+    listed = rows.where(F.col("kind").isin(*CHANGES, "UNDO_LAST")).groupBy(*XID).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    inverse = F.create_map(*(F.lit(x) for pair in INVERSE.items() for x in pair))
+    state = F.struct(F.array().cast("array<int>").alias("stack"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("missed"))
+
+    def step(acc, x):
+        top = F.get("_items", F.element_at(acc["stack"], -1))
+        undo = x["kind"] == "UNDO_LAST"
+        fits = (F.size(acc["stack"]) > 0) & inverse[top["kind"]].eqNullSafe(x["undo_kind"]) & top["obj"].eqNullSafe(x["obj"])
+        stack = F.when(~undo, F.concat(acc["stack"], F.array(acc["at"]))).when(fits, F.slice(acc["stack"], 1, F.size(acc["stack"]) - 1)).otherwise(acc["stack"])
+        return F.struct(stack.alias("stack"), (acc["at"] + 1).alias("at"), (acc["missed"] + (undo & ~fits).cast("long")).alias("missed"))
 
+    done = listed.select(*XID, "_items", F.aggregate("_items", state, step).alias("_end"))
+    kept = done.select(*XID, F.explode(F.transform("_end.stack", lambda k: F.get("_items", k))).alias("_x"), F.col("_end.missed").alias("n_mismatch"))
+    return kept.select(*XID, *(F.col(f"_x.{c}").alias(c) for c in ORDER), "n_mismatch")
 
-def survivors_checked(redo: DataFrame) -> DataFrame:
-    """The same where an undo record must be the inverse of the last change and name its object.
 
-    A record that doesn't match takes nothing back and is counted in ``n_mismatch``; transactions stream
-    through sorted partitions, so only one stack is held.
+def _live(rows: DataFrame, num: bool = False) -> DataFrame:
+    """The changes of ``_stacked`` rows that stay, with ``n_mismatch`` and, if asked for, ``num`` in the transaction."""
+    order = Window.partitionBy(*XID).orderBy(*ORDER)
+    good = rows.where(~F.col("_bad") & F.col("kind").isin(*CHANGES) & (F.col("_low") >= F.col("_depth"))).drop(*_HELP)
+    bad = rows.where("_bad").drop("n_mismatch").join(_folded(rows.where("_bad")), [*XID, *ORDER]).drop(*_HELP)
+    if num:
+        good, bad = (x.withColumn("num", F.row_number().over(order) - 1) for x in (good, bad))
+    return good.unionByName(bad)
+
+
+def survivors(redo: DataFrame) -> DataFrame:
+    """Changes that no savepoint rollback took back, with ``n_mismatch`` of their transaction.
+
+    An undo record takes back the last change if it is its inverse (``undo_kind``) and names its object; one that isn't
+    takes nothing back and is counted.
     """
-    rows = redo.where(F.col("kind").isin(*CHANGES, "UNDO_LAST")).select(*XID, *ORDER, "kind", "obj", "undo_kind")
-    rows = rows.repartition(*XID).sortWithinPartitions(*XID, *ORDER)
-
-    def run(batches):
-        key, stack, missed, out = None, [], 0, []
-        names = [*XID, *ORDER, "kind", "obj", "n_mismatch"]
-
-        def done():
-            return [(*key, *x, missed) for x in stack]
-
-        for batch in batches:
-            columns = [batch[c].tolist() for c in (*XID, *ORDER, "kind", "obj", "undo_kind")]
-            for usn, slt, sqn, scn, sub_scn, kind, obj, undo_kind in zip(*columns, strict=True):
-                if (usn, slt, sqn) != key:
-                    if stack:
-                        out.append(done())
-                    key, stack, missed = (usn, slt, sqn), [], 0
-                if kind != "UNDO_LAST":
-                    stack.append((scn, sub_scn, kind, obj))
-                elif stack and INVERSE[stack[-1][2]] == undo_kind and stack[-1][3] == obj:
-                    stack.pop()
-                else:
-                    missed += 1
-            if out:
-                yield pd.DataFrame([x for rows_ in out for x in rows_], columns=names)
-                out = []
-        if stack:
-            yield pd.DataFrame(done(), columns=names)
-
-    return rows.mapInPandas(run, "usn long, slt long, sqn long, scn long, sub_scn int, kind string, obj long, n_mismatch long")
+    return _live(_stacked(redo.where(F.col("kind").isin(*CHANGES, "UNDO_LAST"))))
 
 
 def commit_order(changes: DataFrame, tx: DataFrame) -> DataFrame:
@@ -117,29 +129,24 @@ def commit_order(changes: DataFrame, tx: DataFrame) -> DataFrame:
 
 
 def committed_changes(redo: DataFrame, after_scn: int | None = None) -> DataFrame:
-    """Surviving changes of emitted transactions with begin, commit and ``num``, in one pass over the log.
+    """Surviving changes of emitted transactions with begin, commit, ``n_mismatch`` and ``num``.
 
     The same as ``commit_order(survivors(redo), transactions(redo))``, but the transaction's own columns
-    come from frames over the sorted partition, so one shuffle and one sort serve all of it.
+    come from frames over the sorted partition, so one shuffle serves all transactions whose undos match.
     """
     order = Window.partitionBy(*XID).orderBy(*ORDER)
-    so_far, rest, whole = (order.rowsBetween(a, b) for a, b in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing), (Window.unboundedPreceding, Window.unboundedFollowing)))
-    step = F.when(F.col("kind").isin(*CHANGES), 1).when(F.col("kind") == "UNDO_LAST", -1).otherwise(0)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = redo.withColumns({
         "begin_scn": F.min(_at(["BEGIN"], "scn")).over(whole),
         "commit_scn": F.max(_at(["COMMIT"], "scn")).over(whole),
         "_undone": F.max(F.when(F.col("kind") == "ROLLBACK", 1)).over(whole),
         "begin_ts": F.min(_at(["BEGIN"], "ts")).over(whole),
         "end_ts": F.max(_at(["COMMIT", "ROLLBACK"], "ts")).over(whole),
-        "_sum": F.sum(step).over(so_far),
     })
-    rows = rows.where("begin_scn IS NOT NULL AND commit_scn IS NOT NULL AND _undone IS NULL")
+    rows = rows.where("begin_scn IS NOT NULL AND commit_scn IS NOT NULL AND _undone IS NULL").drop("_undone")
     if after_scn is not None:
         rows = rows.where(F.col("commit_scn") > after_scn)
-    rows = rows.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far)))
-    rows = rows.withColumn("_low", F.min("_depth").over(rest))
-    live = rows.where(F.col("kind").isin(*CHANGES) & (F.col("_low") >= F.col("_depth"))).drop("_sum", "_depth", "_low", "_undone")
-    return live.withColumn("num", F.row_number().over(order) - 1)
+    return _live(_stacked(rows), num=True)
 
 
 def ordered(changes: DataFrame) -> DataFrame:
@@ -176,11 +183,26 @@ def pair_vectors(redo: DataFrame) -> DataFrame:
     return rows.where((F.col("kind") == "UNDO") & F.col("redo_kind").isNotNull())
 
 
+#: Ranges of change numbers that ``match_prefix`` deals transactions and ends into.
+SLOT_RANGES = 4096
+
+
 def match_prefix(ends: DataFrame, tx: DataFrame) -> DataFrame:
-    """Ends with sequence 0 go to the transaction of the same slot that was open then (the last begun)."""
-    e = ends.where("sqn = 0").select(F.col("usn").alias("e_usn"), F.col("slt").alias("e_slt"), F.col("scn").alias("e_scn"))
-    open_ = (F.col("usn") == F.col("e_usn")) & (F.col("slt") == F.col("e_slt")) & (F.col("begin_scn") <= F.col("e_scn")) & (F.coalesce("end_scn", F.col("e_scn")) >= F.col("e_scn"))
-    found = e.join(tx, open_, "left")
+    """Ends with sequence 0 go to the transaction of the same slot that was open then (the last begun).
+
+    Transactions are dealt into the ranges of change numbers that they span, an end into its own, and both meet by slot and range:
+    an end sees the transactions of its slot around it, not all of them, and a slot is as many keys as there are ranges.
+    """
+    e = ends.where("sqn = 0").select(F.col("usn").alias("e_usn"), F.col("slt").alias("e_slt"), F.col("scn").alias("e_scn")).distinct()
+    span = tx.agg(F.min("begin_scn").alias("low"), F.max(F.greatest("begin_scn", F.coalesce("end_scn", "begin_scn"))).alias("high")).first()
+    low, high = span["low"] or 0, span["high"] or 0
+    width = max(1, (high - low) // SLOT_RANGES + 1)
+    # Ends before the first begin or after the last known number fall into the outer ranges.
+    range_of = lambda c: F.floor((F.greatest(F.lit(low), F.least(F.lit(high), c)) - low) / width)
+    open_tx = tx.where("begin_scn IS NOT NULL").withColumn("range", F.explode(F.sequence(range_of(F.col("begin_scn")), range_of(F.coalesce(F.greatest("begin_scn", "end_scn"), F.lit(high))))))
+    hit = (F.col("usn") == F.col("e_usn")) & (F.col("slt") == F.col("e_slt")) & (F.col("range") == F.col("e_range"))
+    hit &= (F.col("begin_scn") <= F.col("e_scn")) & (F.coalesce("end_scn", F.col("e_scn")) >= F.col("e_scn"))
+    found = e.withColumn("e_range", range_of(F.col("e_scn"))).join(open_tx, hit, "left")
     best = F.max_by(F.struct("sqn", "begin_scn"), F.struct("begin_scn", "sqn"))
     return found.groupBy(F.col("e_usn").alias("usn"), F.col("e_slt").alias("slt"), F.col("e_scn").alias("scn")).agg(best["sqn"].alias("sqn"))
 
@@ -192,9 +214,22 @@ def to_parent(redo: DataFrame, children: DataFrame) -> DataFrame:
 
 
 def split(changes: DataFrame, most_bytes: int) -> DataFrame:
-    """``part`` of a transaction that would be too large for one message: a running sum of bytes over the limit."""
-    order = Window.partitionBy(*XID).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return changes.withColumn("part", F.floor((F.sum("size").over(order) - F.col("size")) / most_bytes))
+    """``part`` of a transaction that would be too large for one message: a part ends where the next change could pass the limit.
+
+    Sums restart at each cut, so cuts are found by a fold over the sizes of a transaction (some 30 bytes a change in one row).
+    """
+    order = Window.partitionBy(*XID).orderBy(*ORDER)
+    rows = changes.withColumn("_n", F.row_number().over(order))
+    listed = rows.groupBy(*XID).agg(F.array_sort(F.collect_list(F.struct("_n", F.col("size").cast("long").alias("size")))).alias("_sizes"))
+    state = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("cuts"))
+
+    def step(acc, x):
+        full = (acc["sum"] > 0) & (acc["sum"] + x["size"] > most_bytes)
+        return F.struct(F.when(full, x["size"]).otherwise(acc["sum"] + x["size"]).alias("sum"), F.when(full, F.concat(acc["cuts"], F.array(x["_n"]))).otherwise(acc["cuts"]).alias("cuts"))
+
+    cuts = listed.select(*XID, F.aggregate("_sizes", state, step)["cuts"].alias("_cuts"))
+    part = F.size(F.filter("_cuts", lambda c: c <= F.col("_n"))).cast("long")
+    return rows.join(cuts, XID).withColumn("part", part).drop("_n", "_cuts")
 
 
 def positions(messages: DataFrame) -> DataFrame:
@@ -222,6 +257,30 @@ def positions(messages: DataFrame) -> DataFrame:
     return out.withColumn("c_idx", (F.col("_in") + F.when(F.col("_run") == 0, F.col("carry")).otherwise(0)).cast("long")).drop("_new", "_run", "_in", "carry")
 
 
+def message_positions(tx: DataFrame) -> DataFrame:
+    """``first_idx`` of each transaction (``seq`` of its commit, ``begin_scn``, ``commit_scn``, ``n`` messages) in commit order.
+
+    ``c_scn`` of a message is its transaction's begin; ``c_idx`` counts on while the next transaction begins at the same number.
+    Runs are found inside ``seq`` and carried over by one row a file, as in ``positions``.
+    """
+    order = Window.partitionBy("seq").orderBy("commit_scn", *XID)
+    rows = tx.withColumn("_new", F.coalesce((F.lag("begin_scn").over(order) != F.col("begin_scn")).cast("int"), F.lit(0)))
+    rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy("seq", "_run").orderBy("commit_scn", *XID).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    at = F.struct("commit_scn", *XID)
+    files = rows.groupBy("seq").agg(F.min_by("begin_scn", at).alias("first"), F.max_by("begin_scn", at).alias("last"), F.max("_run").alias("runs"), F.max_by(F.col("_in") + F.col("n"), at).alias("tail"))
+    line = Window.orderBy("seq")  # a row a file from here on
+    goes_on = F.coalesce(F.lag("last").over(line) == F.col("first"), F.lit(False))
+    files = files.withColumn("goes_on", goes_on)
+    files = files.withColumn("block", F.sum(F.when(F.col("goes_on") & (F.col("runs") == 0), 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    files = files.withColumn("held", F.sum("tail").over(Window.partitionBy("block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+    # A file of several runs that goes on the last one's run adds only its first run to that; what it holds for the next is its own tail.
+    files = files.withColumn("carry", F.when(F.col("goes_on"), F.lag("held").over(line)).otherwise(0)).select("seq", "carry")
+    out = rows.join(files, "seq")
+    return out.withColumn("first_idx", F.col("_in") + F.when(F.col("_run") == 0, F.col("carry")).otherwise(0)).drop("_new", "_run", "_in", "carry")
+
+
 def first_n(tx: DataFrame, n: int) -> DataFrame:
     """The first ``n`` emitted transactions in commit order (a stop rule, so the limit is the feature)."""
     return emitted(tx).orderBy("commit_scn", *XID).limit(n)

@@ -54,8 +54,15 @@ class Texts:
         return list(value)
 
 
+#: Bits of ``source.flags``.
+FLAGS = {
+    "arch_only": 1 << 0, "schemaless": 1 << 1, "adaptive_schema": 1 << 2, "direct_disable": 1 << 3, "ignore_data_errors": 1 << 4, "show_ddl": 1 << 5, "show_hidden_columns": 1 << 6,
+    "show_guard_columns": 1 << 7, "show_nested_columns": 1 << 8, "show_unused_columns": 1 << 9, "show_incomplete_transactions": 1 << 10, "show_system_transactions": 1 << 11,
+    "show_checkpoint": 1 << 12, "checkpoint_keep": 1 << 13, "verify_schema": 1 << 14, "raw_column_data": 1 << 15, "experimental_xmltype": 1 << 16, "experimental_json": 1 << 17,
+    "experimental_not_null_missing": 1 << 18,
+}
 ZONE = r"[+-]\d{1,2}:\d{2}"
-#: Keys of each section with their bounds.
+#: Keys of each section with their bounds and defaults.
 SECTIONS: dict[str, dict] = {
     "memory": {
         "min-mb": Number(32, 16), "max-mb": Number(2048, 16), "swap-mb": Number(None), "swap-path": Text("."), "read-buffer-min-mb": Number(4), "read-buffer-max-mb": Number(None),
@@ -118,6 +125,9 @@ class Config:
     writer: dict
     extra: dict = field(default_factory=dict)
 
+    def flag(self, name: str) -> bool:
+        return bool(self.source["flags"] & FLAGS[name])
+
 
 def _one(document: dict, name: str) -> dict:
     found = document.get(name)

@@ -126,10 +126,11 @@ def metrics_lag(spark, sf_dir):
 
 
 def low_watermark(spark, sf_dir):
-    redo = fixtures.redo(spark, sf_dir)
+    """The oldest transaction that is still open at the end of the log, which lacks the ends of some."""
+    redo = fixtures.redo(spark, sf_dir).where(f"NOT ({fixtures.UNENDED})")
     begins = redo.where("kind = 'BEGIN'").select("seq", F.col("scn").alias("offset"), *tx.XID)
-    done = redo.where("kind IN ('COMMIT', 'ROLLBACK') AND scn < 5000").select(*tx.XID)
-    return checkpoints.low_watermark(begins.where("offset < 5000").join(done, tx.XID, "left_anti"))
+    done = redo.where("kind IN ('COMMIT', 'ROLLBACK')").select(*tx.XID)
+    return checkpoints.low_watermark(begins.join(done, tx.XID, "left_anti"))
 
 
 def _lwns(spark, sf_dir):
@@ -334,9 +335,18 @@ FROM (SELECT c_custkey % 10 AS k FROM customer) GROUP BY 1""",
     "metrics_prometheus": _CLASSED + f"SELECT 'transactions{{type=\"' || type || '\",filter=\"' || filter || '\"}} ' || transactions AS line FROM ({_TXM})",
     "metrics_log_switches": f"SELECT CASE WHEN seq % 4 = 3 THEN 'online' ELSE 'archived' END AS type, count(DISTINCT seq) AS log_switches, CAST(sum(size) AS BIGINT) AS bytes_read FROM ({_REDO}) GROUP BY 1",
     "metrics_lag": f"SELECT min(s) AS least, avg(s) AS mean, max(s) AS most FROM (SELECT CAST(floor(epoch(ts + to_seconds(scn % 50))) - floor(epoch(ts)) AS BIGINT) AS s FROM ({_REDO}))",
-    "low_watermark": _TX + """
-SELECT seq, scn AS "offset", usn, slt, sqn FROM redo WHERE kind = 'BEGIN' AND scn < 5000
-  AND (usn, slt, sqn) NOT IN (SELECT (usn, slt, sqn) FROM redo WHERE kind IN ('COMMIT', 'ROLLBACK') AND scn < 5000) ORDER BY seq, scn, usn, slt, sqn LIMIT 1""",
+    "low_watermark": f"""
+WITH redo AS (SELECT * FROM ({_REDO}) WHERE NOT ({fixtures.UNENDED}))
+SELECT seq, scn AS "offset", usn, slt, sqn FROM redo WHERE kind = 'BEGIN' AND (usn, slt, sqn) NOT IN (SELECT (usn, slt, sqn) FROM redo WHERE kind IN ('COMMIT', 'ROLLBACK'))
+ORDER BY seq, scn, usn, slt, sqn LIMIT 1""",
+    "checkpoint_due": f"""
+WITH RECURSIVE r AS (SELECT seq, scn, CAST(floor(epoch(ts)) AS BIGINT) AS t, "offset" * 40 AS b, row_number() OVER (PARTITION BY seq ORDER BY scn) AS rn FROM {_LWN}),
+f AS (
+  SELECT seq, rn, scn, t, b, true AS due FROM r WHERE rn = 1
+  UNION ALL
+  SELECT seq, rn, scn, CASE WHEN due THEN now_t ELSE t END, CASE WHEN due THEN now_b ELSE b END, due
+  FROM (SELECT r.seq, r.rn, r.scn, f.t, f.b, r.t AS now_t, r.b AS now_b, r.t - f.t >= 72000 OR floor((r.b - f.b) / 1024 / 1024) >= 3 AS due FROM f JOIN r ON r.seq = f.seq AND r.rn = f.rn + 1))
+SELECT seq, scn, (row_number() OVER (ORDER BY scn) - 1) % 4 = 0 AS has_schema FROM f WHERE due""",
     "lwn_positions": f"SELECT * FROM {_LWN}",
     "checkpoint_retention": f"""
 WITH n AS (SELECT *, row_number() OVER (ORDER BY scn DESC) AS n FROM {_POINTS}), f AS (SELECT min(n) AS first FROM n WHERE n >= 5 AND has_schema)

@@ -9,18 +9,25 @@ from tidelog.plans import fixtures
 
 _REDO = fixtures.text(fixtures.REDO)
 _TX = f"""
-WITH redo AS ({_REDO}),
+WITH RECURSIVE redo AS ({_REDO}),
 tx AS (
   SELECT usn, slt, sqn, min(CASE WHEN kind = 'BEGIN' THEN scn END) AS begin_scn, max(CASE WHEN kind IN ('COMMIT', 'ROLLBACK') THEN scn END) AS end_scn,
          max(CASE WHEN kind = 'COMMIT' THEN scn END) AS commit_scn, max(CASE WHEN kind IN ('COMMIT', 'ROLLBACK') THEN kind END) AS outcome,
          count(CASE WHEN kind IN ('INSERT', 'UPDATE', 'DELETE') THEN 1 END) AS n_changes, count(CASE WHEN kind = 'UNDO_LAST' THEN 1 END) AS n_undo,
          CAST(sum(size) AS BIGINT) AS bytes
   FROM redo GROUP BY usn, slt, sqn),
-s AS (SELECT *, sum(CASE kind WHEN 'UNDO_LAST' THEN -1 ELSE 1 END) OVER w AS total FROM redo WHERE kind NOT IN ('BEGIN', 'COMMIT', 'ROLLBACK')
-      WINDOW w AS (PARTITION BY usn, slt, sqn ORDER BY scn, sub_scn)),
-d AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY usn, slt, sqn ORDER BY scn, sub_scn)) AS depth FROM s),
-k AS (SELECT *, min(depth) OVER (PARTITION BY usn, slt, sqn ORDER BY scn, sub_scn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM d),
-live AS (SELECT * FROM k WHERE kind <> 'UNDO_LAST' AND low >= depth),
+s AS (SELECT *, row_number() OVER (PARTITION BY usn, slt, sqn ORDER BY scn, sub_scn) AS rn FROM redo WHERE kind NOT IN ('BEGIN', 'COMMIT', 'ROLLBACK')),
+f AS (
+  SELECT DISTINCT usn, slt, sqn, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(rn BIGINT, kind VARCHAR, obj BIGINT)[]) AS stack, CAST(0 AS BIGINT) AS missed FROM s
+  UNION ALL
+  SELECT usn, slt, sqn, rn, CASE WHEN kind <> 'UNDO_LAST' THEN list_append(stack, {{'rn': rn, 'kind': kind, 'obj': obj}}) WHEN fits THEN stack[:len(stack) - 1] ELSE stack END,
+         missed + CASE WHEN kind = 'UNDO_LAST' AND NOT fits THEN 1 ELSE 0 END
+  FROM (SELECT s.usn, s.slt, s.sqn, s.rn, s.kind, s.obj, f.stack, f.missed,
+               coalesce(len(f.stack) > 0 AND f.stack[-1].obj = s.obj AND s.undo_kind = CASE f.stack[-1].kind WHEN 'INSERT' THEN 'DELETE' WHEN 'DELETE' THEN 'INSERT' ELSE 'UPDATE' END, false) AS fits
+        FROM f JOIN s ON s.usn = f.usn AND s.slt = f.slt AND s.sqn = f.sqn AND s.rn = f.rn + 1)),
+ends AS (SELECT usn, slt, sqn, max(rn) AS rn FROM s GROUP BY usn, slt, sqn),
+kept AS (SELECT usn, slt, sqn, missed, unnest(stack).rn AS rn FROM f JOIN ends USING (usn, slt, sqn, rn)),
+live AS (SELECT s.*, kept.missed AS n_mismatch FROM s JOIN kept USING (usn, slt, sqn, rn)),
 out_tx AS (SELECT * FROM tx WHERE outcome = 'COMMIT' AND begin_scn IS NOT NULL)
 """
 
@@ -40,7 +47,7 @@ def partial_rollback_survivors(spark, sf_dir):
 
 
 def partial_rollback_checked(spark, sf_dir):
-    return tx.survivors_checked(fixtures.redo(spark, sf_dir))
+    return tx.survivors(fixtures.redo(spark, sf_dir)).select(*tx.XID, "scn", "sub_scn", "kind", "obj", "n_mismatch")
 
 
 def message_num(spark, sf_dir):
@@ -115,6 +122,7 @@ FROM live JOIN out_tx USING (usn, slt, sqn) GROUP BY ALL""",
     "tx_outcome_counts": _TX + """
 SELECT CASE WHEN outcome IS NULL THEN 'open' WHEN outcome = 'ROLLBACK' THEN 'rollback' WHEN begin_scn IS NULL THEN 'partial' WHEN commit_scn <= 200 THEN 'skip' ELSE 'out' END AS fate,
        count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM tx GROUP BY 1""",
+    "partial_rollback_checked": _TX + "SELECT usn, slt, sqn, scn, sub_scn, kind, obj, n_mismatch FROM live",
     "partial_rollback_survivors": _TX + "SELECT usn, slt, sqn, scn, kind, obj FROM live",
     "message_num": _TX + """
 SELECT usn, slt, sqn, scn, commit_scn, row_number() OVER (PARTITION BY usn, slt, sqn ORDER BY scn, sub_scn) - 1 AS num FROM live JOIN out_tx USING (usn, slt, sqn)""",
@@ -122,8 +130,13 @@ SELECT usn, slt, sqn, scn, commit_scn, row_number() OVER (PARTITION BY usn, slt,
     "dump_xid_semi": _TX + "SELECT usn, slt, sqn, scn, sub_scn, kind FROM redo WHERE sqn % 7 = 3",
     "tx_size_limit": _TX + "SELECT usn, slt, sqn, bytes, CASE WHEN bytes >= 1100 THEN 'skipped' ELSE 'kept' END AS fate FROM tx",
     "tx_split_by_size": _TX + """,
-p AS (SELECT *, CAST(floor((sum(size) OVER (PARTITION BY usn, slt, sqn ORDER BY scn, sub_scn) - size) / 300) AS BIGINT) AS part FROM redo WHERE kind IN ('INSERT', 'UPDATE', 'DELETE'))
-SELECT usn, slt, sqn, part, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, min(scn) AS first_scn FROM p GROUP BY usn, slt, sqn, part""",
+c AS (SELECT *, row_number() OVER (PARTITION BY usn, slt, sqn ORDER BY scn, sub_scn) AS rn FROM redo WHERE kind IN ('INSERT', 'UPDATE', 'DELETE')),
+g AS (
+  SELECT usn, slt, sqn, rn, size, scn, CAST(size AS BIGINT) AS held, CAST(0 AS BIGINT) AS part FROM c WHERE rn = 1
+  UNION ALL
+  SELECT c.usn, c.slt, c.sqn, c.rn, c.size, c.scn, CASE WHEN g.held + c.size > 300 THEN c.size ELSE g.held + c.size END, CASE WHEN g.held + c.size > 300 THEN g.part + 1 ELSE g.part END
+  FROM g JOIN c ON c.usn = g.usn AND c.slt = g.slt AND c.sqn = g.sqn AND c.rn = g.rn + 1)
+SELECT usn, slt, sqn, part, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, min(scn) AS first_scn FROM g GROUP BY usn, slt, sqn, part""",
     "position_numbering": _TX + """,
 m AS (SELECT seq, scn * 4 + sub_scn AS id, min(CAST(floor(scn / 3) AS BIGINT)) AS c_scn FROM redo GROUP BY 1, 2),
 n AS (SELECT *, CASE WHEN lag(c_scn) OVER (ORDER BY id) = c_scn THEN 0 ELSE 1 END AS fresh FROM m),

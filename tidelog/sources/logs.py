@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from tidelog.functions.codec import let
+from pyspark.sql import types as T
 
 
 def pattern(name_format: str) -> tuple[str, dict[str, int]]:
@@ -93,12 +94,24 @@ def from_position(records: DataFrame, scn: int | None = None, seq: int | None =
     return records
 
 
+def sequence_range(files: DataFrame) -> DataFrame:
+    """The lowest and highest sequence of each incarnation and thread: where reading may start."""
+    keys = [c for c in ("resetlogs", "thread") if c in files.columns]
+    return files.groupBy(*keys).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def after_checkpoints(positions: DataFrame, due: DataFrame, n: int) -> DataFrame:
+    """Positions up to the ``n``-th checkpoint (a stop rule, so the limit is the feature)."""
+    last = due.orderBy("scn").limit(n).agg(F.max("scn").alias("_last"), F.count("*").alias("_n"))
+    return positions.join(F.broadcast(last)).where((F.col("_n") < n) | (F.col("scn") <= F.col("_last"))).drop("_last", "_n")
+
+
 def by_incarnation(files: DataFrame) -> DataFrame:
     """``turn``: position in reading order, where a new incarnation starts its sequences anew."""
     return files.withColumn("turn", F.row_number().over(Window.orderBy("resetlogs", "seq")) - 1)
 
 
-#: Magic number and the marks of block sizes.
+#: Magic number and the marks of block sizes (``MAGIC``, ``BLOCK_MARKS``).
 MAGIC = "7D7C7B7A"
 BLOCK_MARKS = {512: 0x22, 1024: 0x22, 4096: 0x82}
 
@@ -125,13 +138,20 @@ def blocks(files: DataFrame, block_size: int) -> DataFrame:
     return rows.select("path", "block", F.substring("content", (F.col("block") * block_size + 1).cast("int"), F.lit(block_size)).alias("data"))
 
 
+@F.pandas_udf(T.IntegerType())
+def _folded(data: pd.Series) -> pd.Series:
+    """All 16-bit words of each block (of one size) folded by exclusive or, as 64-bit words first."""
+    words = np.frombuffer(b"".join(data), "<u8").reshape(len(data), -1)
+    x = np.bitwise_xor.reduce(words, axis=1)
+    x = x ^ (x >> np.uint64(32))
+    return pd.Series(((x ^ (x >> np.uint64(16))) & np.uint64(0xFFFF)).astype(np.int32))
+
+
 def checksum(data: Column, block_size: int) -> Column:
-    """The 64-bit words of a block folded by exclusive or to 16 bits, its own sum (at 14) left out."""
-    words = F.transform(F.sequence(F.lit(0), F.lit(block_size // 2 - 1)), lambda k: F.conv(F.hex(F.substring(data, k * 2 + 1, F.lit(2))), 16, 10).cast("int"))
-    # Folding by words, then halves, is folding by 16 bits; a sum over pairs of bytes needs swapping on little-endian hosts.
-    folded = F.aggregate(words, F.lit(0), lambda acc, w: acc.bitwiseXOR(w))
-    own = F.conv(F.hex(F.substring(data, 15, 2)), 16, 10).cast("int")
-    return let(folded.bitwiseXOR(own), lambda x: F.shiftleft(x.bitwiseAND(F.lit(0xFF)), 8).bitwiseOR(F.shiftright(x, 8)))
+    """The words of a block folded by exclusive or to 16 bits, its own sum (at 14) left out; null for a block of another size."""
+    blank = F.lit(bytes(block_size))
+    whole = F.octet_length(data) == block_size
+    return F.when(whole, _folded(F.when(whole, data).otherwise(blank)).bitwiseXOR(_int(data, 14, 2, False).cast("int")))
 
 
 def check_blocks(rows: DataFrame, block_size: int, sequence: int, online: bool = False, big: bool = False, sums: bool = True) -> DataFrame:

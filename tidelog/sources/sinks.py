@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,21 +15,106 @@ NEW_LINES = {0: "", 1: "\n", 2: "\r\n"}
 
 
 def write_lines(messages: DataFrame, path: str, new_line: int = 1, max_rows: int = 0, by_seq: bool = False) -> None:
-    """Messages as text files; rotation by rows a file or by log sequence is left to the writer.
+    """Messages as a folder of text files by Spark's own writer, in commit order from file to file.
 
-    Without a separator (0) lines would run together, so each message then is a file's row of Parquet.
+    Rotation is by rows a file or by log sequence; names and sizes by a template are ``write_files``' matter.
     """
+    if new_line not in (1, 2):
+        raise ValueError("Spark's text writer needs a line end: use write_files for messages without one")
     # Range partitions keep commit order from file to file.
     rows = messages.repartitionByRange("c_scn", "c_idx").sortWithinPartitions("c_scn", "c_idx")
-    if new_line == 0:
-        rows.select("c_scn", "c_idx", "body").write.parquet(path)
-        return
     writer = rows.select("body", *(["seq"] if by_seq else [])).write.option("lineSep", NEW_LINES[new_line])
     if max_rows:
         writer = writer.option("maxRecordsPerFile", max_rows)
     (writer.partitionBy("seq") if by_seq else writer).text(path)
 
 
+class OutputError(ValueError):
+    """An output that can't be written as asked."""
+
+
+def rotation(output: str, max_file_size: int, append: int = 1) -> str:
+    """How files change: ``none``, ``number``, ``time`` or ``sequence``; what can't be is an ``OutputError``."""
+    name = output.rsplit("/", 1)[-1]
+    fields = re.findall(r"%(?:(?:[2-9]|10)?i|[st])", name)
+    if "%" in re.sub(r"%(?:(?:[2-9]|10)?i|[st])", "", name) or len(fields) > 1:
+        raise OutputError(f"bad output file name: {output!r}")
+    if not fields:
+        if not append:
+            raise OutputError(f"{output!r} names one file, so messages must be appended to it")
+        return "none"
+    if fields[0] == "%s":
+        return "sequence"
+    if not max_file_size:
+        raise OutputError(f"{output!r} changes files by size, so a size must be given")
+    return "time" if fields[0] == "%t" else "number"
+
+
+def write_files(messages: DataFrame, output: str, order: list[str], new_line: int = 0, max_file_size: int = 0, append: int = 1, stamp: str = "") -> DataFrame:
+    """Messages (``body``, and ``seq`` for files by sequence) in ``order`` as files named by a template; returns (file, messages, bytes).
+
+    ``%i`` files are cut where the next message would pass ``max_file_size``; each task cuts its own range of the order, so the last
+    file of a range may be smaller, and numbers run on from task to task. ``%s`` gives one file a log sequence, ``%t`` one file of
+    the run, and a name without a field one file; one task writes each of those, streaming. A file appears under its name when it is
+    complete (it is renamed), so a lost task leaves no part of one; an existing file is added to only where it is the only one.
+    """
+    how, end = rotation(output, max_file_size, append), NEW_LINES[new_line].encode()
+    folder, name = output.rsplit("/", 1) if "/" in output else (".", output)
+    folder = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+    rows = messages.select("body", *(["seq"] if how == "sequence" else []), *(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)))
+    keys = [f"_o{k}" for k in range(len(order))]
+    if how == "sequence":
+        placed = rows.repartition("seq").sortWithinPartitions("seq", *keys).select("body", "seq")
+    elif how == "number":
+        placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("body", F.lit(0).cast("long").alias("seq"))
+    else:
+        placed = rows.coalesce(1).sortWithinPartitions(*keys).select("body", F.lit(0).cast("long").alias("seq"))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        fs, top = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(top, recursive=True)
+        out, held, n, number, now = None, 0, 0, 0, None
+
+        def done():
+            out.close()
+            return pa.RecordBatch.from_pydict({"part": [part], "number": [number], "seq": [now], "temporary": [path], "messages": [n], "bytes": [held]})
+
+        for batch in batches:
+            for body, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = (body or "").encode() + end
+                if out is not None and (seq != now or (how == "number" and held + len(data) > max_file_size)):
+                    yield done()
+                    out, number = None, number + 1
+                if out is None:
+                    path, held, n, now = f"{top}/.{uuid.uuid4().hex}.part", 0, 0, seq
+                    out = fs.open_output_stream(path, compression=None)
+                out.write(data)
+                held, n = held + len(data), n + 1
+        if out is not None:
+            yield done()
+
+    files = placed.mapInArrow(run, "part long, number long, seq long, temporary string, messages long, bytes long").orderBy("part", "number").collect()  # a row a file
+    fs, top = pafs.FileSystem.from_uri(folder)
+    out = []
+    for k, f in enumerate(files):
+        target = f"{top}/{file_name(name, k, f.seq, stamp)}"
+        there = fs.get_file_info(target).type != pafs.FileType.NotFound
+        if there and not append:
+            raise OutputError(f"{target} exists")
+        if there:  # the messages follow what is there
+            with fs.open_append_stream(target) as old, fs.open_input_stream(f.temporary, compression=None) as new:
+                while chunk := new.read(1 << 20):
+                    old.write(chunk)
+            fs.delete_file(f.temporary)
+        else:
+            fs.move(f.temporary, target)
+        out.append((target, f.messages, f.bytes))
+    return messages.sparkSession.createDataFrame(out, "file string, messages long, bytes long")
+
+
 def file_name(template: str, number: int, seq: int, stamp: str) -> str:
     """``%i`` counter (``%2i`` to ``%10i`` filled with zeros), ``%s`` sequence, ``%t`` time."""
 
@@ -47,6 +136,11 @@ def kafka_rows(messages: DataFrame, topic: str, max_bytes: int = 100 * 1024 * 10
     )
 
 
+def without_checkpoints(messages: DataFrame, show: bool = False) -> DataFrame:
+    """Checkpoint messages (``place`` is checkpoint) only travel to a sink where they are asked for."""
+    return messages if show else messages.where("place <> 'checkpoint'")
+
+
 def discard(messages: DataFrame) -> None:
     """Runs everything and keeps nothing."""
     messages.write.format("noop").mode("overwrite").save()

@@ -1,23 +1,25 @@
 """Transactions from a stream of change records, with state by transaction.
 
-State holds the changes of open transactions only: it is written on a commit or rollback of the transaction and has no
-timeout, since a transaction may stay open for ever. The engine's checkpoint keeps source position
-and state together, so a restart neither loses nor repeats changes inside the query.
+State holds the changes of open transactions only, a row for each change on the stack, in the state store (RocksDB, which
+spills to disk): pushing and taking back a change touch one row, whatever the transaction's size, and a commit streams them out.
+There is no timeout, since a transaction may stay open for ever. The engine's checkpoint keeps source position and state
+together, so a restart neither loses nor repeats changes inside the query.
 """
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidelog.operators.transactions import CHANGES, XID
+from tidelog.operators.transactions import CHANGES, INVERSE, XID
 
-OUTPUT = "usn long, slt long, sqn long, scn long, sub_scn int, kind string, obj long, begin_scn long, commit_scn long, num long"
+OUTPUT = "usn long, slt long, sqn long, scn long, sub_scn int, kind string, obj long, begin_scn long, commit_scn long, num long, n_mismatch long"
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+#: Rows of one output frame.
+CHUNK = 10_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_log(spark: SparkSession, path: str, schema, files_a_batch: int = 1) -> DataFrame:
@@ -25,35 +27,77 @@ def read_log(spark: SparkSession, path: str, schema, files_a_batch: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def _step(key, frames, state: GroupState):
-    """Take records in order: changes are stacked, an undo takes the last one, an end empties the state."""
-    begin, pending = state.get if state.exists else (None, "[]")
-    stack = json.loads(pending)
-    rows = pd.concat(list(frames)).sort_values(["scn", "sub_scn"], kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.kind == "BEGIN":
-            begin = int(r.scn)
-        elif r.kind in CHANGES:
-            stack.append([int(r.scn), int(r.sub_scn), r.kind, int(r.obj)])
-        elif r.kind == "UNDO_LAST":
-            if stack:
-                stack.pop()
-        elif r.kind in ("COMMIT", "ROLLBACK"):
-            if r.kind == "COMMIT" and begin is not None:
-                out += [(*key, *c, begin, int(r.scn), n) for n, c in enumerate(stack)]
-            begin, stack = None, []
-    if begin is None and not stack:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((begin, json.dumps(stack)))
-    yield pd.DataFrame(out, columns=_COLUMNS)
+class Assembler(StatefulProcessor):
+    """Records of one transaction in order: changes are stacked, an undo takes back the last one if it is its inverse and names its
+    object, an end empties the state.
+
+    A commit without a begin emits one row of kind ``PARTIAL`` (no change is shown), so late starts are counted and not lost silently.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "begin_scn long, depth int, missed long")
+        self.stack = handle.getMapState("stack", "place int", "scn long, sub_scn int, kind string, obj long")
+
+    def handleInputRows(self, key, rows, timer_values):
+        begin, depth, missed = self.head.get() if self.head.exists() else (None, 0, 0)
+        got = pd.concat(list(rows))[["scn", "sub_scn", "kind", "obj", "undo_kind"]].sort_values(["scn", "sub_scn"], kind="stable").astype(object)
+        got = got.where(got.notna(), None)
+        stored, fresh, out = depth, [], []  # places below ``stored`` are in the store; ``fresh`` lie on top of them
+
+        def top():
+            return fresh[-1] if fresh else self.stack.getValue((stored - 1,)) if stored else None
+
+        for scn, sub_scn, kind, obj, undo_kind in zip(*(got[c].tolist() for c in got.columns), strict=True):
+            obj = None if obj is None else int(obj)  # a column with nulls comes as floats
+            if kind == "BEGIN":
+                begin = scn
+            elif kind in CHANGES:
+                fresh.append((scn, sub_scn, kind, obj))
+            elif kind == "UNDO_LAST":
+                last = top()
+                if last is None or INVERSE[last[2]] != undo_kind or last[3] != obj:
+                    missed += 1
+                elif fresh:
+                    fresh.pop()
+                else:
+                    stored -= 1
+                    self.stack.removeKey((stored,))
+            elif kind in ("COMMIT", "ROLLBACK"):
+                if kind == "COMMIT" and begin is None:
+                    out.append((*key, scn, sub_scn, "PARTIAL", None, None, scn, stored + len(fresh), missed))
+                elif kind == "COMMIT":
+                    for n in range(stored + len(fresh)):
+                        change = tuple(self.stack.getValue((n,))) if n < stored else fresh[n - stored]
+                        out.append((*key, *change, begin, scn, n, missed))
+                        if len(out) >= CHUNK:
+                            yield pd.DataFrame(out, columns=_COLUMNS)
+                            out = []
+                self.stack.clear()
+                begin, stored, fresh, missed = None, 0, [], 0
+        for n, change in enumerate(fresh):
+            self.stack.updateValue((stored + n,), change)
+        depth = stored + len(fresh)
+        if begin is None and not depth:
+            self.head.clear()
+        else:
+            self.head.update((begin, depth, missed))
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def assembled(redo: DataFrame) -> DataFrame:
+    """``committed`` and a row of kind ``PARTIAL`` for each commit whose begin wasn't seen."""
+    redo.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = redo.select(*XID, "scn", "sub_scn", "kind", "obj", "undo_kind")
+    return rows.groupBy(*XID).transformWithStateInPandas(Assembler(), OUTPUT, "Append", "None")
 
 
 def committed(redo: DataFrame) -> DataFrame:
     """Surviving changes of committed transactions, emitted when the commit comes."""
-    return redo.groupBy(*XID).applyInPandasWithState(_step, OUTPUT, "begin_scn long, pending string", "append", GroupStateTimeout.NoTimeout)
+    return assembled(redo).where("kind <> 'PARTIAL'")
 
 
 def once(messages: DataFrame, time_col: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -74,3 +118,29 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, available_now:
 
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def send_batches(messages: DataFrame, send, rules_of, confirmed: str, checkpoint: str, available_now: bool = True):
+    """Messages of a stream through ``send(rows)``, with rules read anew for each micro-batch and a confirm checkpoint behind it.
+
+    ``rules_of()`` gives a condition (a column, or None for all) from the configuration as it is now; ``confirmed`` is a folder that
+    gets one row for each batch that was sent: its last position, which a restarted client continues from. A batch that is confirmed
+    isn't sent again.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if _there(spark, f"{confirmed}/batch={number}"):
+            return
+        condition = rules_of()
+        send(batch if condition is None else batch.where(condition))
+        end = batch.agg(F.max(F.struct("c_scn", "c_idx")).alias("m")).select(F.lit(number).cast("long").alias("number"), "m.*")
+        end.coalesce(1).write.mode("overwrite").parquet(f"{confirmed}/batch={number}")
+
+    writer = messages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
