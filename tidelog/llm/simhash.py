@@ -7,11 +7,13 @@ key (pigeonhole, exact). Inside a group a table holds every fingerprint's Hammin
 PIVOTS reference fingerprints; by the triangle inequality a pair whose distances to some pivot
 differ by more than the radius can't link, so the largest coordinate difference discards it, and
 only survivors are compared bit by bit. A group gives a spanning star for each of its linked sets,
-never all pairs. Labels then spread along those links, with pointer jumping, in DataFrame rounds.
+never all pairs. Links are then contracted to components in DataFrame rounds.
 
-Groups above CHUNK members are cut into chunks and each pair of chunks is a task of its own: no
-link is lost and no group is held whole. The number of blocks follows the count of classes, which
-keeps mean groups small at any size and changes no result.
+Groups above CHUNK members (``link_groups``) are cut into chunks. Each chunk is linked by itself; the middle
+members of its largest linked sets are compared with each other and then with every chunk, which joins
+what is one family; and only chunks that hold different sets after that are compared pairwise. So a large
+family costs its members once or twice, nothing is left out, and no group is held whole. The number of blocks
+follows the count of classes, which keeps mean groups small at any size and changes no result.
 
 ``keep_one_near`` has a contract of its own: texts link if their sets of five-word shingles have a
 Jaccard similarity of at least 0.8. Such pairs differ in up to some 20 bits of a fingerprint, where no
@@ -47,6 +49,8 @@ PIVOTS = 16
 CHUNK = 512
 #: Mean members of a group that the number of blocks aims at.
 MEAN_GROUP = 64
+#: Linked sets of a chunk, the largest first, whose middle members are compared with those of other chunks.
+MIDDLES = 8
 #: ``keep_one_near``: words of a shingle, and the least Jaccard similarity of a link as a fraction.
 NEAR_SHINGLE, NEAR = 5, (4, 5)
 #: MinHash bands and hashes in each. A pair at the threshold shares no band with probability (1 - 0.8**4)**32 = 5e-8.
@@ -108,8 +112,11 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)
 
 
-def _links(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) row pairs that span the linked sets inside equal, neighbouring ``group`` values."""
+def _links(group: np.ndarray, fps: np.ndarray, label: np.ndarray | None = None, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) row pairs that span the linked sets inside equal, neighbouring ``group`` values.
+
+    Rows of equal ``label`` aren't compared (they are known to be one set), and pairs must begin before row ``first``.
+    """
     n = len(fps)
     table = pivot_table(fps)
     left, right = [], []
@@ -117,12 +124,12 @@ def _links(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(start, n))
     end_of = np.repeat(start + size, size)
-    at = np.arange(n)
+    at = np.arange(n if first is None else min(first, n))
     for gap in range(1, int(size.max()) if n else 0):
         at = at[at + gap < end_of[at]]
         if not len(at):
             break
-        a = at
+        a = at if label is None else at[label[at] != label[at + gap]]
         for p in range(PIVOTS):
             a = a[np.abs(table[a, p] - table[a + gap, p]) <= RADIUS]
         a = a[np.bitwise_count(fps[a] ^ fps[a + gap]) <= RADIUS]
@@ -146,6 +153,19 @@ def _links(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return reach[member], member
 
 
+def fp_pairs(prints: list[bytes], label: np.ndarray | None = None, first: int | None = None) -> list[tuple[int, int]]:
+    """Pairs that span the linked sets of fingerprints (8 bytes each)."""
+    fps = np.frombuffer(b"".join(prints), ">u8").astype(np.uint64)
+    a, b = _links(np.zeros(len(fps), np.int64), fps, label, first)
+    return list(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def fp_middle(prints: list[bytes]) -> int:
+    """The fingerprint nearest to the bits that most of them have."""
+    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 8), axis=1)
+    return int((bits != (2 * bits.sum(0, dtype=np.int64) > len(bits))).sum(1).argmin())
+
+
 def class_links(classes: DataFrame) -> DataFrame:
     """Links (a, b) that span the linked sets of ``classes(vertex long, fp long)``, fps distinct."""
     spark = classes.sparkSession
@@ -153,16 +173,11 @@ def class_links(classes: DataFrame) -> DataFrame:
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in keep]
     keyed = classes.select("vertex", "fp", F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("mask", "m"))
     keyed = keyed.select("vertex", "fp", "mask", F.col("fp").bitwiseAND(F.col("m")).alias("key"))
-    large = keyed.groupBy("mask", "key").count().where(F.col("count") > CHUNK)
-    large = common.materialize(large.select("mask", "key", F.ceil(F.col("count") / (CHUNK // 2)).cast("int").alias("chunks")), "large")
-    marked = keyed.join(large, ["mask", "key"], "left")
-    # A member of a large group goes to every pair of chunks that its own chunk is in.
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, own).alias("i"), F.greatest(c, own).alias("j")))
-    dealt = marked.withColumn("pair", F.explode(F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs)))
-    dealt = dealt.select(F.xxhash64("mask", "key", "pair.i", "pair.j").alias("g"), "mask", "key", "pair.i", "pair.j", "vertex", "fp")
+    large = common.materialize(keyed.groupBy("mask", "key").count().where(F.col("count") > CHUNK).select("mask", "key"), "large")
+    small = keyed if large.isEmpty() else keyed.join(large, ["mask", "key"], "left_anti")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "g").sortWithinPartitions("g", "mask", "key", "i", "j", "fp").select("g", "mask", "key", "i", "j", "vertex", "fp")
+    dealt = small.select(F.xxhash64("mask", "key").alias("g"), "mask", "key", "vertex", "fp")
+    dealt = dealt.repartition(parts, "g").sortWithinPartitions("g", "mask", "key", "fp").select("g", "mask", "key", "vertex", "fp")
 
     def link(batches):
         held = None
@@ -170,42 +185,155 @@ def class_links(classes: DataFrame) -> DataFrame:
             if batch is None:
                 now, held = held, None
             else:
-                columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+                columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
                 now = columns if held is None else [np.concatenate([x, y]) for x, y in zip(held, columns, strict=True)]
-                ids = np.stack([c.astype(np.int64) for c in now[:5]], axis=1)
+                ids = np.stack([c.astype(np.int64) for c in now[:3]], axis=1)
                 last = int((ids != ids[-1]).any(axis=1).sum()) if len(ids) else 0
                 held, now = [c[last:] for c in now], [c[:last] for c in now]
             if now is None or not len(now[0]):
                 continue
-            ids = np.stack([c.astype(np.int64) for c in now[:5]], axis=1)
+            ids = np.stack([c.astype(np.int64) for c in now[:3]], axis=1)
             group = np.cumsum(np.concatenate([[0], (ids[1:] != ids[:-1]).any(axis=1).astype(np.int64)]))
-            a, b = _links(group, now[6].astype(np.int64).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(now[5][a], pa.int64()), pa.array(now[5][b], pa.int64())], names=["a", "b"])
+            a, b = _links(group, now[4].astype(np.int64).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(now[3][a], pa.int64()), pa.array(now[3][b], pa.int64())], names=["a", "b"])
+
+    links = dealt.mapInArrow(link, "a long, b long")
+    if large.isEmpty():
+        return links
+    members = keyed.join(large, ["mask", "key"], "left_semi")
+    members = members.select(F.xxhash64("mask", "key").alias("k"), F.col("vertex").alias("v"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("x"))
+    members = common.materialize(members, "members")
+    return links.unionByName(link_groups(members, fp_pairs, fp_middle))
+
+
+def _middles(links: list[tuple[int, int]], xs: list[bytes], middle) -> list[int]:
+    """The middle members of the largest sets that ``links`` join."""
+    group: dict[int, list[int]] = {}
+    of = {}
+    for a, b in links:
+        x, y = of.get(a, a), of.get(b, b)
+        if x != y or a not in of:
+            whole = group.pop(x, [x]) + (group.pop(y, [y]) if y != x else [])
+            group[x] = whole
+            for i in whole:
+                of[i] = x
+    top = sorted(group.values(), key=len, reverse=True)[:MIDDLES]
+    return [g[middle([xs[i] for i in g])] for g in top]
+
+
+def _compared(rows: DataFrame, compare, middle=None) -> DataFrame:
+    """(k, a, b, x) for each group of ``rows(k, i, j, v, x, label, hub)``: links (a, b), and with ``middle`` a row (a, x) for each middle member.
+
+    Rows marked ``hub`` are compared with all others and nothing else is; otherwise rows of different ``label`` are compared.
+    """
+    n_groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // CHUNK)
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("k", "i", "j"), F.lit(n_groups)))
+
+    def run(some: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (k, _, _), part in some.groupby(["k", "i", "j"], sort=False):
+            part = part.sort_values(["hub", "v"], ascending=[False, True], kind="stable")
+            v, xs, hubs = part["v"].tolist(), part["x"].tolist(), int(part["hub"].sum())
+            links = compare(xs, part["label"].to_numpy(), hubs or None)
+            out += [(k, v[a], v[b], None) for a, b in links]
+            if middle is not None:
+                out += [(k, v[i], None, xs[i]) for i in _middles(links, xs, middle)]
+        return pd.DataFrame(out, columns=["k", "a", "b", "x"]).astype({"k": "Int64", "a": "Int64", "b": "Int64"})
+
+    return common.materialize(dealt.groupBy("g").applyInPandas(run, "k long, a long, b long, x binary"), "compared")
 
-    return dealt.mapInArrow(link, "a long, b long")
+
+def link_groups(members: DataFrame, compare, middle) -> DataFrame:
+    """Links (a, b) that span the linked sets inside each group of ``members(k, v, x)``: group, vertex and what is compared.
+
+    ``compare(xs, label, first)`` gives pairs of rows, ``middle(xs)`` the row most like all others.
+    """
+    half, heavy = CHUNK // 2, CHUNK_SHINGLES // 2
+    parts = lambda n, w: F.greatest(F.when(n > CHUNK, F.ceil(n / half)).otherwise(1), F.when(w > CHUNK_SHINGLES, F.ceil(w / heavy)).otherwise(1)).cast("int")
+    sum_of = [F.count("*").alias("n"), F.sum(F.length("x") / 8).alias("w")]
+    alone = {"j": F.lit(0), "label": F.col("v"), "hub": F.lit(False)}
+    links_of = lambda out: out.where("b IS NOT NULL").select("a", "b")
+    sizes = common.materialize(members.groupBy("k").agg(*sum_of).select("k", parts(F.col("n"), F.col("w")).alias("chunks")), "sizes")
+    large = sizes.where("chunks > 1")
+    if large.isEmpty():
+        return links_of(_compared(members.withColumns({"i": F.lit(0), **alone}), compare))
+    small = members.join(sizes.where("chunks = 1"), "k", "left_semi")
+    some = common.materialize(members.join(large, "k").withColumn("i", F.pmod(F.xxhash64("v"), F.col("chunks"))), "members")
+    found = [links_of(_compared(small.withColumns({"i": F.lit(0), **alone}), compare))]
+
+    # Each chunk by itself, then middles with middles until a task holds a group's, then those with every chunk.
+    out = _compared(some.drop("chunks").withColumns(alone), compare, middle)
+    found.append(links_of(out))
+    hubs = out.where("x IS NOT NULL").select("k", F.col("a").alias("v"), "x").distinct()
+    while True:
+        count = hubs.groupBy("k").agg(*sum_of).select("k", parts(F.col("n"), F.col("w")).alias("chunks"))
+        again = hubs.join(count, "k").withColumn("i", F.pmod(F.xxhash64(F.lit("again"), "v"), F.col("chunks")))
+        several = not count.where("chunks > 1").isEmpty()
+        out = _compared(again.drop("chunks").withColumns(alone), compare, middle)
+        found.append(links_of(out))
+        middles = out.where("x IS NOT NULL").select("k", F.col("a").alias("v"), "x").distinct()
+        # Middles without a link among themselves stay candidates: a family whose middles are apart may still meet in a member.
+        hubs = middles if several else hubs.join(middles.select("k").distinct(), "k", "left_anti").unionByName(middles)
+        if not several:
+            break
+    everywhere = hubs.join(large, "k").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    mixed = some.drop("chunks").join(hubs.select("k", "v"), ["k", "v"], "left_anti").withColumns(alone)
+    mixed = mixed.unionByName(everywhere.withColumns({**alone, "hub": F.lit(True)}))
+    found.append(links_of(_compared(mixed.join(hubs.select("k").distinct(), "k", "left_semi"), compare)))
+
+    # What is left: chunks that hold different sets.
+    so_far = found[0]
+    for more in found[1:]:
+        so_far = so_far.unionByName(more)
+    named = some.drop("i", "chunks").join(components(so_far), F.col("v") == F.col("vertex"), "left")
+    named = common.materialize(named.select("k", "v", "x", F.coalesce("component", "v").alias("label")), "named")
+    sets = named.groupBy("k", "label").agg(*sum_of)
+    apart = sets.groupBy("k").count().where("count > 1").select("k")
+    sets = sets.join(apart, "k", "left_semi").withColumn("own", (F.col("n") > half) | (F.col("w") > heavy))
+    rest = sets.where("NOT own").groupBy("k").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    chunks = sets.where("own").select("k", "label", parts(F.col("n"), F.col("w")).alias("chunks")).unionByName(rest.select("k", F.lit(None).cast("long").alias("label"), parts(F.col("n"), F.col("w")).alias("chunks")))
+    chunks = common.materialize(chunks, "chunks")
+    lists = chunks.select("k", "label", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("no")).groupBy("k").agg(F.collect_list(F.struct("label", "no")).alias("all"))
+    own = named.join(chunks.where("label IS NOT NULL"), ["k", "label"]).withColumns({"pure": F.col("label"), "no": F.pmod(F.xxhash64("v"), F.col("chunks"))}).drop("chunks")
+    rest = named.join(chunks.where("label IS NOT NULL"), ["k", "label"], "left_anti").join(chunks.where("label IS NULL").select("k", "chunks"), "k")
+    rest = rest.withColumns({"pure": F.lit(None).cast("long"), "no": F.pmod(F.xxhash64("label"), F.col("chunks"))}).drop("chunks")
+    meets = F.filter("all", lambda q: q["label"].isNull() | F.col("pure").isNull() | (q["label"] != F.col("pure")))
+    dealt = own.unionByName(rest).join(lists, "k").withColumn("q", F.explode(meets))
+    name = lambda label, no: F.xxhash64(label, F.col(no).cast("long"))
+    sides = F.array_sort(F.array(name("pure", "no"), name("q.label", "q.no")))
+    dealt = dealt.withColumns({"i": sides[0], "j": sides[1]}).select("k", "i", "j", "v", "x", "label", F.lit(False).alias("hub"))
+    found.append(links_of(_compared(dealt, compare)))
+    return so_far.unionByName(found[-1])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(vertex, component) of every vertex of ``links(a, b)``: the smallest vertex it reaches.
 
-    Each round takes the smallest label among neighbours and then the label of that label; a round
-    is written to the shared folder (the one before goes), and the rounds end when no label changes.
+    Each round lets every vertex follow the neighbour (or itself) that comes first in an order drawn by hash, and joins the
+    links of what came together, so links get fewer by a factor from round to round. Then the steps of all rounds are put
+    together, from the last one back. Rounds are written to the shared folder.
     """
     pairs = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = common.materialize(pairs, "links")
-    both = pairs.select(F.col("a").alias("v"), F.col("b").alias("u")).union(pairs.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    label, old = common.materialize(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")), "labels"), None
-    while True:
-        near = both.join(label.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").groupBy("v").agg(F.min("cu").alias("cu"))
-        hooked = label.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "cu").alias("c"))
-        jump = label.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        new = common.materialize(hooked.join(jump, "c", "left").select("v", "was", F.least("c", F.coalesce("cc", "c")).alias("c")), "labels")
-        if old is not None:
-            common.discard(old)
-        label, old = new.select("v", "c"), new
-        if new.where("c <> was").isEmpty():
-            common.discard(pairs)
-            return label.select(F.col("v").alias("vertex"), F.col("c").alias("component"))
+    first = lambda c: F.struct(F.xxhash64(F.lit("order"), c).alias("h"), F.col(c).alias("r"))
+    steps = []
+    while not pairs.isEmpty():
+        both = pairs.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(pairs.select(F.col("b").alias("v"), F.col("a").alias("u")))
+        step = both.groupBy("v").agg(F.min(first("u")).alias("near")).select("v", F.least("near", first("v"))["r"].alias("r"))
+        steps.append(common.materialize(step, "step"))
+        at = [steps[-1].select(F.col("v").alias(c), F.col("r").alias(f"r{c}")) for c in "ab"]
+        joined = pairs.join(at[0], "a").join(at[1], "b").where("ra <> rb")
+        less = common.materialize(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        common.discard(pairs)
+        pairs = less
+    if not steps:
+        return pairs.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
+    whole = steps[-1]
+    for step in reversed(steps[:-1]):
+        after = whole.select(F.col("v").alias("r"), F.col("r").alias("rr"))
+        whole = common.materialize(step.join(after, "r", "left").select("v", F.coalesce("rr", "r").alias("r")), "step")
+    low = whole.groupBy("r").agg(F.min("v").alias("component"))
+    return whole.join(low, "r").select(F.col("v").alias("vertex"), "component")
 
 
 def group_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -254,12 +382,15 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
 
 
-def near_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs that span the sets linked by an exact Jaccard similarity of at least ``NEAR``."""
+def near_pairs(sets: list[np.ndarray], known: np.ndarray | None = None, first: int | None = None) -> list[tuple[int, int]]:
+    """Pairs that span the linked sets of shingle sets, by an exact Jaccard similarity of at least ``NEAR``.
+
+    Sets of equal ``known`` label aren't compared, and with ``first`` only the first so many are, with all others.
+    """
     n, size = len(sets), np.array([len(x) for x in sets])
     flat, place = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(size) - size
-    label, out, held = np.arange(n), [], np.zeros(len(flat), bool)
+    label, out, held = np.unique(np.arange(n) if known is None else known, return_inverse=True)[1], [], np.zeros(len(flat), bool)
 
     def shared(i: int, others: np.ndarray) -> np.ndarray:
         """Shingles that set ``i`` has in common with each of ``others`` (all of them, or some)."""
@@ -280,8 +411,12 @@ def near_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
                 out.append((min(i, j), max(i, j)))
                 label[label == label[j]] = label[i]
 
-    # Pivots: the first set, and then the one farthest from all pivots so far.
     everyone, table, nearest, pivot = np.arange(n), [], np.full(n, 2.0), 0
+    if first is not None:
+        for i in range(min(first, n)):
+            link(i, everyone, shared(i, everyone))
+        return out
+    # Pivots: the first set, and then the one farthest from all pivots so far.
     while len(table) < min(NEAR_PIVOTS, n - 1) and nearest[pivot] > 0:
         both = shared(pivot, everyone)
         link(pivot, everyone, both)
@@ -299,9 +434,20 @@ def near_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
+def set_pairs(sets: list[bytes], known: np.ndarray | None = None, first: int | None = None) -> list[tuple[int, int]]:
+    return near_pairs([np.frombuffer(x, np.uint64) for x in sets], known, first)
+
+
+def set_middle(sets: list[bytes]) -> int:
+    """The set nearest to the shingles that half of them have."""
+    flat, count = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in sets]), return_counts=True)
+    usual = flat[2 * count >= len(sets)]
+    both = np.array([len(np.intersect1d(np.frombuffer(x, np.uint64), usual, assume_unique=True)) for x in sets])
+    return int((both / (np.array([len(x) // 8 for x in sets]) + len(usual) - both)).argmax())
+
+
 def near_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) of ``classes(cls, id, t, bands)``, one for each shingle set; ``docs(id, t, text)`` has their texts."""
-    spark = classes.sparkSession
     keyed = classes.select("cls", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     # Each member is tied to the smallest of its band, so pairs that share a band are in one component.
@@ -316,26 +462,7 @@ def near_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     found = docs.join(members, ["id", "t"]).select("cls", "component", "text").mapInArrow(sets, "cls long, component long, set binary")
     found = common.materialize(found.groupBy("cls", "component").agg(F.first("set").alias("set")), "sets")
-    # As in class_links: a member of a large component goes to every pair of chunks that its own chunk is in.
-    parts_of = lambda n, most: F.when(n > most, F.ceil(n / (most // 2))).otherwise(1)
-    count = found.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.length("set") / 8).alias("shingles"))
-    count = count.select("component", F.greatest(parts_of(F.col("n"), CHUNK), parts_of(F.col("shingles"), CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, own).alias("i"), F.greatest(c, own).alias("j")))
-    dealt = found.join(count, "component").withColumn("pair", F.explode(pairs)).select("component", "pair.i", "pair.j", "cls", "set")
-    n_groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // MEAN_GROUP)
-    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("component", "i", "j"), F.lit(n_groups)))
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = [], []
-        for _, part in rows.groupby(["component", "i", "j"], sort=False):
-            cls = part["cls"].to_numpy()
-            for a, b in near_pairs([np.frombuffer(x, np.uint64) for x in part["set"]]):
-                left.append(cls[a])
-                right.append(cls[b])
-        return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
-
-    return dealt.groupBy("g").applyInPandas(link, "a long, b long")
+    return link_groups(found.select(F.col("component").alias("k"), F.col("cls").alias("v"), F.col("set").alias("x")), set_pairs, set_middle)
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
