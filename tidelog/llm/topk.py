@@ -7,13 +7,15 @@ complement instead), which gives the scores of all rows as bit slices. The best
 the most significant slice downward; rows tied at the boundary are resolved exactly by score and
 smaller id.
 
-Queries come in blocks as well. A task holds one index block and one query block, so no task and no
-broadcast grows with the data. Each gives k rows for each of its queries, which a window merges.
+Queries stream past the index: a task holds one index block and a batch of queries at a time, so no task and no
+broadcast grows with the data. A block is sent once, or as often as it takes to give every core a share of the
+queries. Each block gives k rows for each query, which a window merges.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; only
 vectors of the same length are compared; a query never finds its own id; repeated rows are
 candidates as often as they come, and a repeated query id is asked once (its smallest vector);
-components are 64-bit whole numbers, and scores that could pass 64 bits are an error; an empty table gives an empty result.
+components are 64-bit whole numbers, and scores that could pass 64 bits are an error; rows that share an id are dealt to
+different blocks; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import common
 
-#: Rows of an index block and queries of a query block.
+#: Rows of an index block, and queries that a task takes at least before a block is sent to another one.
 BLOCK_ROWS, BLOCK_QUERIES = 32_768, 512
 K, SCALE = 5, 256
 #: Quantised components and sums of products stay below this, so 64 bits hold every score and slice.
@@ -115,7 +117,7 @@ def best(score: list[np.ndarray], alive: np.ndarray, k: int) -> tuple[np.ndarray
 def build_index(vectors: DataFrame) -> DataFrame:
     """One row a block: ids, slices and how they were made. ``vectors`` is (id, v)."""
     n_blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    dealt = vectors.withColumn("dims", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
+    dealt = vectors.withColumn("dims", F.size("v")).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)))
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
@@ -138,42 +140,52 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     if 4 * (largest or 0.0) * (weight or 0.0) >= MAX_WHOLE:
         raise OverflowError("scores of these vectors could pass 64 bits")
     index = build_index(vectors)
-    n_query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = index.select(F.col("dims").alias("of_dims"), F.col("block").alias("of_block"))
-    asked = queries.withColumn("dims", F.size("v")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)))
-    # Each query goes once to each index block of its length, and each index block to each query block.
+    n_parts = max(1, min(-(-queries.count() // BLOCK_QUERIES), -(-parts // max(1, blocks.count()))))
+    asked = queries.withColumn("dims", F.size("v")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n_parts)))
+    # Each query goes once to each index block of its length.
     asked = asked.join(blocks, F.col("dims") == F.col("of_dims")).select("dims", F.col("of_block").alias("block"), "part", "id", "v")
-    index = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_blocks - 1).cast("long"))))
-
-    def find(block: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(block) and len(some):
-            b = block.iloc[0]
-            ids = np.frombuffer(b["ids"], np.int64)
-            slices = np.frombuffer(b["slices"], np.uint64).reshape(int(b["dims"]), int(b["bits"]), -1)
-            full = (1 << int(b["bits"])) - 1
-            everyone = np.zeros(slices.shape[2] * 64, np.uint8)
-            everyone[: len(ids)] = 1
-            for qid, v in zip(some["id"].tolist(), some["v"], strict=True):
-                q = np.asarray(v, np.int64)
-                alive = everyone
-                own = slice(*np.searchsorted(ids, [qid, qid + 1]))
-                if own.stop > own.start:
-                    alive = everyone.copy()
-                    alive[own] = 0
-                rows, value = best(add_slices(slices, q), np.packbits(alive, bitorder="little").view(np.uint64), k)
-                shift = int(b["low"]) * int(q.sum()) + full * int(q[q < 0].sum())
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[rows], "score": value + shift}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))))
+    # Sorted, a block comes before the queries that it's asked.
+    none = F.lit(0).cast("long")  # whole numbers without nulls stay whole in pandas
+    asked = asked.withColumns({"asks": F.lit(True), "low": none, "bits": F.lit(0)})
+    both = index.withColumns({"asks": F.lit(False), "id": none}).unionByName(asked, allowMissingColumns=True)
     key = ["dims", "block", "part"]
-    parts = index.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(find, "query_id long, vec_id long, score long")
+    both = both.repartition(max(parts, n_parts), *key).sortWithinPartitions(*key, "asks").select("asks", "id", "v", *key, "low", "bits", "ids", "slices")
+
+    def find(batches):
+        now = None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if not r.asks:
+                    ids, dims, bits, low = np.frombuffer(r.ids, np.int64), int(r.dims), int(r.bits), int(r.low)
+                    slices, now = np.frombuffer(r.slices, np.uint64).reshape(dims, bits, -1), (r.dims, r.block, r.part)
+                    everyone = np.zeros(slices.shape[2] * 64, np.uint8)
+                    everyone[: len(ids)] = 1
+                    full = (1 << bits) - 1
+                elif now == (r.dims, r.block, r.part):
+                    qid, q = int(r.id), np.asarray(r.v, np.int64)
+                    alive = everyone
+                    own = slice(*np.searchsorted(ids, [qid, qid + 1]))
+                    if own.stop > own.start:
+                        alive = everyone.copy()
+                        alive[own] = 0
+                    rows, value = best(add_slices(slices, q), np.packbits(alive, bitorder="little").view(np.uint64), k)
+                    shift = low * int(q.sum()) + full * int(q[q < 0].sum())
+                    out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[rows], "score": value + shift}))
+            if out:
+                yield pd.concat(out)
+
+    parts_of = both.mapInPandas(find, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return parts_of.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: the five best of all embeddings for each whose id is divisible by 50."""
+    common.tune(spark)
     vectors = quantise(common.read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return search(vectors, vectors.where("id % 50 = 0"))
 
