@@ -6,10 +6,10 @@ at most) goes to the driver, where dynamic programming finds the bucket boundari
 padding. Inside a bucket, pieces in order of id fill batches of floor(budget / boundary) rows.
 
 Ranks inside a bucket come from one range-partitioned sort and a count for each partition and bucket;
-no bucket is gathered in a task.
+no bucket is gathered in a task, and rows that are equal in all of it are dealt by their place in the table.
 
 Edge cases: null and empty texts have length 1; repeated rows are packed as often as they come; null
-ids come first; an empty table gives an empty result; other columns are ignored.
+ids come first; very long texts are cut; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,9 +62,13 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return out[::-1]
 
 
-def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_length: int = MAX_LENGTH) -> DataFrame:
-    """(doc_id, piece, first_token, n_tokens): runs of a document's tokens, whole documents where they fit."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), length_of(text_col).alias("n"))
+def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_length: int = MAX_LENGTH, length_col: str | None = None) -> DataFrame:
+    """(doc_id, piece, first_token, n_tokens): runs of a document's tokens, whole documents where they fit.
+
+    ``length_col`` has lengths that are known (such as a tokenizer's, the end mark included); without it words are counted.
+    """
+    length = F.greatest(F.lit(1), F.coalesce(F.col(length_col).cast("long"), F.lit(1))) if length_col else length_of(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), length.alias("n"))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / max_length))))
     first = F.col("piece") * max_length
     return rows.select("doc_id", "piece", first.alias("first_token"), F.least(F.lit(max_length), F.col("n") - first).alias("n_tokens"))
@@ -90,7 +94,9 @@ def pack(pieces: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET)
         low = b
     order = ["bucket", "doc_id", "piece", "n_tokens"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = pieces.withColumn("bucket", bucket).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Equal rows are told apart by their place in the written table, so many of them aren't one task.
+    placed = pieces.withColumns({"bucket": bucket, "_row": F.monotonically_increasing_id()})
+    placed = placed.repartitionByRange(parts, *order, "_row").sortWithinPartitions(*order, "_row").drop("_row")
     placed = common.materialize(placed.withColumn("at", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("at", 33)
     runs = placed.groupBy(part.alias("part"), F.col("bucket").alias("run_bucket")).agg(F.min("at").alias("first_at"), F.count("*").alias("n"))
