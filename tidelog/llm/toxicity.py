@@ -7,8 +7,9 @@ bounded sample of the labelled rows (TRAIN_ROWS, those with the smallest hashed
 whole texts of all rows.
 
 Edge cases: null and empty texts get the score of the bias alone; null labels and null ids are not
-learned from; repeated rows are scored as often as they come; without any labelled row every score
-is 0; other columns pass through untouched.
+learned from; repeated rows are scored as often as they come; very long texts are scored whole; training rows of
+equal id are taken in the order of their buckets; without any labelled row every score is 0; an empty table gives an
+empty result; other columns pass through untouched, but for one with the name of the score, which is replaced.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 #: Weight of a toxic text in training, as toxic texts are the rarer ones.
 TOXIC_WEIGHT = 2.0
-#: Features of fewer texts of the sample are left out: they would only let it be learned by heart.
-MIN_TEXTS = 5
 #: Words whose hashes a worker keeps.
 CACHE = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -98,13 +97,9 @@ class Ftrl:
 
 def train(rows: list[tuple[int, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Weights other than zero of (id, buckets, label) rows, taken in an order drawn from the ids."""
-    texts = np.zeros(BUCKETS, np.int64)
-    for _, buckets, _ in rows:
-        texts[buckets] += 1
-    rows = [(i, buckets[texts[buckets] >= MIN_TEXTS], label) for i, buckets, label in rows]
     model = Ftrl()
     for epoch in range(EPOCHS):
-        for _, buckets, label in sorted(rows, key=lambda r: zlib.crc32(b"%d %d" % (epoch, r[0]))):
+        for _, buckets, label in sorted(rows, key=lambda r: (zlib.crc32(b"%d %d" % (epoch, r[0])), r[1].tobytes())):
             model.learn(buckets, label)
     w = model.weights(np.arange(BUCKETS + 1))
     at = np.flatnonzero(w)
@@ -141,9 +136,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: tuple[bytes, bytes], text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` and its probability of being toxic."""
-    at_bytes, w_bytes = model
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS + 1 weights at most
 
     def compute(texts):
+        at_bytes, w_bytes = shared.value
         at, w = np.frombuffer(at_bytes, np.int32).astype(np.int64), np.frombuffer(w_bytes)
         if not len(at):
             return [np.zeros(len(texts))]
