@@ -358,11 +358,73 @@ def test_posteriors_on_held_out_labels(spark, sf_dir):
     held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0
     model = mixing.fit_classifier(docs, labels.where(~held))
     rows = mixing.with_posteriors(docs.join(labels.where(held), "doc_id"), model).drop("text").collect()
+    names = ("clean", "low", "toxic")
     clean = [r for r in rows if r.domain == "clean"]
     called = [r for r in clean if r.p_toxic > max(r.p_clean, r.p_low)]
-    assert len(clean) > 500 and len(called) < 0.15 * len(clean)
-    top = [max(("clean", "low", "toxic"), key=lambda d: r[f"p_{d}"]) for r in rows]
-    assert np.mean([r.domain == t for r, t in zip(rows, top)]) > 0.7
+    assert len(clean) > 500 and len(called) < 0.02 * len(clean)
+    top = [max(names, key=lambda d: r[f"p_{d}"]) for r in rows]
+    share = {d: np.mean([r.domain == d for r in rows]) for d in names}
+    accuracy, loss = np.mean([r.domain == t for r, t in zip(rows, top)]), -np.mean([np.log(r[f"p_{r.domain}"]) for r in rows])
+    assert accuracy > max(share.values()) + 0.1 and loss < 0.4 * -sum(x * np.log(x) for x in share.values())
+    for d in names:  # calibrated: expected shares are the real ones
+        assert np.mean([r[f"p_{d}"] for r in rows]) == pytest.approx(share[d], abs=0.035)  # three standard errors of the sample
+
+
+def test_classifier_equals_plain_naive_bayes(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), mixing.domain_of(common.read(spark, sf_dir, "labels"))
+    model = mixing.fit_classifier(docs, labels)
+    domain = {r.doc_id: r.domain for r in labels.collect()}
+    hashed = docs.withColumn("b", mixing.buckets_of(mixing.tokens_of("text"))).collect()
+    sets = [(domain[r.doc_id], set(r.b)) for r in hashed if r.doc_id in domain]
+    for r, row in zip(hashed, mixing.with_posteriors(docs, model).collect()):
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r.,]+", (r.text or "").lower()) if w]
+        assert row.n_tokens == len(words) and len(r.b) == len(set(r.b)) and max(r.b) < mixing.BUCKETS + mixing.SHAPES
+        score = []
+        for d in model["domains"]:
+            n, total = len(sets), sum(x == d for x, _ in sets)
+            value = np.log((total + 0.5) / (n + 0.5 * len(model["domains"])))
+            for b in model["weights"]:
+                share = (sum(x == d and b in s for x, s in sets) + 0.5) / (total + 1)
+                whole = (sum(b in s for _, s in sets) + 0.5) / (n + 1)
+                value += np.log(share / whole) if b in r.b else np.log((1 - share) / (1 - whole))
+            score.append(value)
+        z = model["calibration"] @ np.r_[np.array(score) - np.mean(score), 1.0]
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert [row[f"p_{d}"] for d in model["domains"]] == pytest.approx(want.tolist(), abs=1e-3)
+
+
+def test_calibration_is_a_minimum():
+    rng = np.random.default_rng(4)
+    label = rng.integers(0, 3, 500)
+    scores = 8 * np.eye(3)[label] + rng.normal(0, 9, (500, 3))
+    w = mixing.calibrate(scores, label, 3)
+    x = np.c_[scores - scores.mean(1, keepdims=True), np.ones(500)]
+
+    def loss(w):
+        z = x @ w.T
+        return (np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z[np.arange(500), label]).mean()
+
+    for _ in range(20):
+        assert loss(w) <= loss(w + rng.normal(0, 0.02, w.shape)) + 1e-4
+
+
+def test_repeated_rows_draw_apart(spark):
+    docs = spark.createDataFrame([(7, "same text")] * 4000 + [(None, "same text")] * 4000, "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, domain string")
+    out = mixing.rates(docs, labels, {"x": 1.0}).withColumn("copies", mixing.copies_of(F.lit(0.5), "doc_id"))
+    assert out.count() == 8000
+    table = docs.withColumn("at", F.monotonically_increasing_id())
+    drawn = table.groupBy("doc_id").agg(F.avg(mixing.copies_of(F.lit(0.5), "doc_id", "at")).alias("m")).collect()
+    assert all(r.m == pytest.approx(0.5, abs=0.05) for r in drawn)
+
+
+def test_sources_reach_targets(spark, sf_dir):
+    docs = documents(spark, sf_dir.replace("0.001", "0.01"))
+    names = [r.source for r in docs.select("source").distinct().where("source is not null").collect()]
+    targets = {s: 1 / len(names) for s in names}
+    found = mixing.rates(docs.select("doc_id", "text"), mixing.source_domains(docs), targets)
+    row = found.agg(*(F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{s}")).alias(s) for s in names)).first()
+    assert {s: row[s] / sum(row) for s in names} == pytest.approx(targets, abs=0.005)
 
 
 def test_copies_follow_any_rate(spark):

@@ -1,7 +1,9 @@
 """Mixing to target weights with soft domain membership.
 
-A classifier learned from the labelled rows (hashed word presence, naive Bayes over the buckets that
-tell domains apart, absent ones included) gives each document a posterior for each domain. Non-negative document rates are
+A classifier learned from the labelled rows (hashed word presence and a few shapes of the text, naive Bayes over the buckets
+that tell domains apart, absent ones included) gives each document a score for each domain. Those scores are overconfident, as
+words come together, so posteriors are a multinomial logistic regression on them, fitted to scores of labelled rows by
+models that haven't seen them (FOLDS). Non-negative document rates are
 then fitted by projected gradient descent on the least squares between expected domain tokens
 ``sum(rate * tokens * posterior)`` and the targets, with a small pull towards rate 1 that makes the
 solution unique. A step needs only one aggregate: the rates are an expression of the posteriors and
@@ -9,9 +11,10 @@ of the steps since they were last written, and nothing but domain sums is collec
 leave a total more than MAX_GAP off its target, Newton's method on the dual problem (one number a
 domain; its matrix is one aggregate too) finishes the fit; targets that no rates reach give a warning.
 
-All is DataFrame functions. Bounds: TRAIN_ROWS labelled rows (smallest hashed ids), BUCKETS x
+All is DataFrame functions. Bounds: TRAIN_ROWS labelled rows (smallest hashed ids; their scores come to the driver), BUCKETS x
 MAX_DOMAINS weights as literals, MAX_STEPS and MAX_NEWTON steps. Edge cases: null and empty texts have no tokens
-and the prior as posterior; null ids are kept but not learned from; repeated rows get equal rates; a domain without
+and are scored by their shape; null ids are kept but not learned from; repeated rows get equal rates and, like rows without id, draw
+their copies each by itself; very long texts are read whole; columns with the names of added ones are replaced; a domain without
 posterior mass or target is left out of the fit; without labels every document is of the one domain
 ``unlabelled`` at rate 1; an empty table gives an empty result; other columns pass through.
 """
@@ -29,6 +32,10 @@ from tidelog.llm import common
 
 TRAIN_ROWS, MAX_DOMAINS = 20_000, 64
 BUCKETS = 1 << 14
+#: Buckets behind those of words: classes of length, of variety, and of the share of words that end in a mark.
+SHAPES, MARKS = 96, "!?#*$%&|<>=+-_~^@/:;)]}'\\\""
+#: Models that score the labelled rows which the others learn from, and the pull and steps of the calibration.
+FOLDS, CALIBRATION_PULL, CALIBRATION_STEPS = 4, 1e-4, 100
 #: A bucket counts if its chi-square over the domains is above this and it has so many documents.
 MIN_CHI, MIN_DOCS, SMOOTH = 25.0, 8, 0.5
 MAX_STEPS, RIDGE, TOLERANCE = 40, 1e-3, 1e-5
@@ -52,36 +59,129 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull()).select("doc_id", domain.alias("domain")).where("domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
 
 
-def fit_classifier(docs: DataFrame, domains: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Priors and bucket weights by domain from the bounded sample."""
-    chosen = domains.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)  # bounded, so broadcast
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = F.array_distinct(F.transform(tokens_of("text"), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS))))
-    marked = sample.select("domain", F.explode(F.array_union(found, F.array(F.lit(-1).cast("long")))).alias("bucket"))
-    rows = marked.groupBy("bucket", "domain").count().collect()  # (BUCKETS + 1) x MAX_DOMAINS at most
-    totals = {r["domain"]: r["count"] for r in rows if r["bucket"] == -1}
-    if not totals:
-        return {"domains": ["unlabelled"], "prior": [0.0], "weights": [None]}
-    if len(totals) > MAX_DOMAINS:
-        raise ValueError(f"more than {MAX_DOMAINS} domains")
-    names, n = sorted(totals), sum(totals.values())
-    seen: dict[int, dict[str, int]] = {}
-    for r in rows:
-        if r["bucket"] >= 0:
-            seen.setdefault(r["bucket"], {})[r["domain"]] = r["count"]
-    weights, prior = [[0.0] * BUCKETS for _ in names], [math.log(totals[d] / n) for d in names]
+def source_domains(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """(doc_id, domain): each document's source as its domain, to mix sources by what their texts are like."""
+    known = docs.where(F.col(id_col).isNotNull() & F.col(source_col).isNotNull())
+    return known.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(source_col).alias("domain"))
+
+
+def buckets_of(words: F.Column) -> F.Column:
+    """The distinct buckets of a text's words, and those of its shape."""
+    n = F.size(words)
+    share = lambda k: F.floor(10.0 * k / F.greatest(n, F.lit(1)))
+    found = F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    marked = F.size(F.filter(words, lambda w: F.instr(F.lit(MARKS), F.right(w, F.lit(1))) > 0))
+    shape = [F.least(F.lit(63), F.floor(2 * F.log2(n + 1.0))), 64 + share(F.size(F.array_distinct(words))), 80 + share(marked)]
+    return F.concat(found, F.array(*((BUCKETS + x).cast("int") for x in shape)))
+
+
+def _weights(seen: dict[int, dict[str, int]], totals: dict[str, int], names: list[str]) -> tuple[list[float], dict[int, list[float]]]:
+    """Prior (with all buckets absent) of each domain, and for each bucket that tells domains apart what its presence adds."""
+    n = sum(totals.values())
+    prior, weights = [math.log((totals.get(d, 0) + SMOOTH) / (n + SMOOTH * len(names))) for d in names], {}
     for bucket, counts in seen.items():
         total = sum(counts.values())
-        chi = sum((counts.get(d, 0) - total * totals[d] / n) ** 2 / (total * totals[d] / n) for d in names)
-        if chi > MIN_CHI and total >= MIN_DOCS:
-            whole = (total + SMOOTH) / (n + 2 * SMOOTH)
+        if total < MIN_DOCS:
+            continue
+        chi = sum((counts.get(d, 0) - total * totals[d] / n) ** 2 / (total * totals[d] / n) for d in names if totals.get(d))
+        if chi > MIN_CHI:
+            whole, row = (total + SMOOTH) / (n + 2 * SMOOTH), []
             for k, d in enumerate(names):
                 # The prior takes every bucket as absent; a present one adds the difference.
-                share = (counts.get(d, 0) + SMOOTH) / (totals[d] + 2 * SMOOTH)
+                share = (counts.get(d, 0) + SMOOTH) / (totals.get(d, 0) + 2 * SMOOTH)
                 absent = math.log(1 - share) - math.log(1 - whole)
-                weights[k][bucket] = round(math.log(share) - math.log(whole) - absent, 4)
+                row.append(round(math.log(share) - math.log(whole) - absent, 4))
                 prior[k] += absent
-    return {"domains": names, "prior": prior, "weights": weights}
+            weights[bucket] = row
+    return prior, weights
+
+
+def calibrate(scores: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
+    """Matrix (n x (n + 1)) that makes log posteriors of scores (each row less its mean) and a one: regression by Newton's method.
+
+    A pull towards a scale of a tenth keeps it finite where domains part cleanly. Above 16 domains only a scale and a bias for each are fitted.
+    """
+    x = np.c_[scores - scores.mean(1, keepdims=True), np.ones(len(scores))]
+    full = n <= 16
+    start = np.c_[0.1 * np.eye(n), np.zeros(n)]
+    if not len(x):
+        return np.c_[np.eye(n), np.zeros(n)]
+    size = np.maximum(np.abs(x).max(0), 1e-9)
+    x, w, y = x / size, start * size, np.eye(n)[label]
+    home, free = w.copy(), np.ones_like(w, bool) if full else np.c_[np.eye(n, dtype=bool), np.ones(n, bool)]
+
+    def at(w):
+        z = x @ w.T
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(1, keepdims=True)
+        return -np.log(np.maximum(p[np.arange(len(x)), label], 1e-300)).mean() + CALIBRATION_PULL / 2 * ((w - home) ** 2).sum(), p
+
+    value, p = at(w)
+    for _ in range(CALIBRATION_STEPS):
+        slope = (((p - y).T @ x) / len(x) + CALIBRATION_PULL * (w - home))[free]
+        if np.abs(slope).max() < 1e-7:
+            break
+        rows, columns = np.nonzero(free)
+        bend = np.zeros((len(rows), len(rows)))
+        for a in range(n):
+            for b in range(a, n):
+                part = (x * (p[:, [a]] * ((a == b) - p[:, [b]]))).T @ x / len(x)
+                i, j = np.flatnonzero(rows == a), np.flatnonzero(rows == b)
+                bend[np.ix_(i, j)] = part[np.ix_(columns[i], columns[j])]
+                bend[np.ix_(j, i)] = bend[np.ix_(i, j)].T
+        step = np.zeros_like(w)
+        step[free] = np.linalg.solve(bend + CALIBRATION_PULL * np.eye(len(rows)), slope)
+        for half in range(30):
+            new, q = at(w - step / 2**half)
+            if new <= value - 1e-4 / 2**half * float(slope @ step[free]):
+                break
+        else:
+            break
+        w, value, p = w - step / 2**half, new, q
+    return w / size
+
+
+def fit_classifier(docs: DataFrame, domains: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Priors, bucket weights by domain and the calibration, from the bounded sample."""
+    chosen = domains.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)  # bounded, so broadcast
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
+    sample = common.materialize(sample.withColumn("words", tokens_of("text")).select("domain", fold.alias("fold"), buckets_of(F.col("words")).alias("buckets")), "sample")
+    marked = sample.select("domain", "fold", F.explode(F.concat("buckets", F.array(F.lit(-1)))).alias("bucket"))
+    rows = marked.groupBy("bucket", "domain", "fold").count().collect()  # (BUCKETS + SHAPES + 1) x MAX_DOMAINS x FOLDS at most
+    names = sorted({r["domain"] for r in rows})
+    if not names:
+        return {"domains": ["unlabelled"], "prior": [0.0], "weights": {}, "calibration": None}
+    if len(names) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
+
+    def learned(without: int | None) -> tuple[list[float], dict[int, list[float]]]:
+        totals, seen = dict.fromkeys(names, 0), {}
+        for r in rows:
+            if r["fold"] == without:
+                continue
+            if r["bucket"] == -1:
+                totals[r["domain"]] += r["count"]
+            else:
+                counts = seen.setdefault(r["bucket"], {})
+                counts[r["domain"]] = counts.get(r["domain"], 0) + r["count"]
+        return _weights(seen, totals, names)
+
+    prior, weights = learned(None)
+    model = {"domains": names, "prior": prior, "weights": weights, "calibration": None}
+    if len(names) > 1:
+        number = F.create_map(*(x for k, d in enumerate(names) for x in (F.lit(d), F.lit(k))))[F.col("domain")]
+        label, scored = number.alias("label"), []
+        for k in sorted({r["fold"] for r in rows}):
+            scores = _scores(F.col("buckets"), *learned(k))
+            scored.append(sample.where(F.col("fold") == k).select(label, F.array(*scores).alias("scores")))
+        whole = scored[0]
+        for more in scored[1:]:
+            whole = whole.unionByName(more)
+        got = whole.collect()  # TRAIN_ROWS rows at most
+        model["calibration"] = calibrate(np.array([r["scores"] for r in got]).reshape(len(got), len(names)), np.array([r["label"] for r in got], int), len(names))
+    return model
 
 
 def _literal(weights: list[float]) -> F.Column:
@@ -93,30 +193,40 @@ def _sum_of(hits: F.Column, table: F.Column, start: float) -> F.Column:
     return F.aggregate(hits, F.lit(start), lambda total, k: total + F.get(table, k))
 
 
+def _place(buckets: F.Column, weights: dict[int, list[float]]) -> tuple[F.Column, list[int]]:
+    """The numbers (from 1) of the buckets that have weights; only those are looked up."""
+    live = sorted(weights)
+    at = [0] * (BUCKETS + SHAPES)
+    for k, b in enumerate(live):
+        at[b] = k + 1
+    place = F.split(F.lit(",".join(map(str, at))), ",").cast("array<int>")
+    return F.filter(F.transform(buckets, lambda b: F.get(place, b)), lambda k: k > 0), live
+
+
+def _scores(buckets: F.Column, prior: list[float], weights: dict[int, list[float]]) -> list[F.Column]:
+    """One score a domain, of a text's buckets."""
+    hits, live = _place(buckets, weights)
+    return [_sum_of(hits, _literal([0.0, *(weights[b][k] for b in live)]), start) for k, start in enumerate(prior)]
+
+
 def with_posteriors(docs: DataFrame, model: dict, text_col: str = "text", prefix: str = "p_", n_col: str = "n_tokens") -> DataFrame:
     """``docs`` with its tokens and one posterior for each domain."""
     words = common.free_name(docs, "_words")
     out = docs.withColumn(words, tokens_of(text_col))
     if len(model["domains"]) == 1:
         return out.withColumns({n_col: F.size(words).cast("long"), prefix + model["domains"][0]: F.lit(1.0)}).drop(words)
-    live = [b for b in range(BUCKETS) if any(w[b] for w in model["weights"])]
-    # Only live buckets are looked up: position 0 stands for all others.
-    at = [0] * BUCKETS
-    for k, b in enumerate(live):
-        at[b] = k + 1
-    place = F.split(F.lit(",".join(map(str, at))), ",").cast("array<int>")
-    buckets = F.array_distinct(F.filter(F.transform(F.col(words), lambda w: F.get(place, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))), lambda k: k > 0))
-    hits, logs = common.free_name(docs, "_hits"), []
-    for prior, weights in zip(model["prior"], model["weights"], strict=True):
-        table = _literal([0.0, *(weights[b] for b in live)])
-        logs.append(_sum_of(F.col(hits), table, prior))
-    out = out.withColumns({n_col: F.size(words).cast("long"), hits: buckets}).drop(words)
-    names = [f"{hits}_{k}" for k in range(len(logs))]
-    out = out.withColumns(dict(zip(names, logs, strict=True)))
-    top = F.greatest(*map(F.col, names))
-    parts = [F.exp(F.col(x) - top) for x in names]
+    hits = common.free_name(docs, "_hits")
+    found, live = _place(buckets_of(F.col(words)), model["weights"])
+    out = out.withColumns({n_col: F.size(words).cast("long"), hits: found}).drop(words)
+    names = [f"{hits}_{k}" for k in range(len(model["domains"]))]
+    out = out.withColumns({x: _sum_of(F.col(hits), _literal([0.0, *(model["weights"][b][k] for b in live)]), model["prior"][k]) for k, x in enumerate(names)})
+    mean = sum((F.col(x) for x in names[1:]), F.col(names[0])) / len(names)
+    turned = [sum((F.lit(float(w)) * (F.col(x) - mean) for w, x in zip(row[:-1], names, strict=True)), F.lit(float(row[-1]))) for row in model["calibration"]]
+    out = out.withColumns({f"{x}_z": z for x, z in zip(names, turned, strict=True)})
+    top = F.greatest(*(F.col(f"{x}_z") for x in names))
+    parts = [F.exp(F.col(f"{x}_z") - top) for x in names]
     total = sum(parts[1:], parts[0])
-    return out.withColumns({prefix + d: p / total for d, p in zip(model["domains"], parts, strict=True)}).drop(hits, *names)
+    return out.withColumns({prefix + d: p / total for d, p in zip(model["domains"], parts, strict=True)}).drop(hits, *names, *(f"{x}_z" for x in names))
 
 
 def rate_expression(p: list[F.Column], steps: list[list[float]], rate: F.Column | None = None) -> F.Column:
@@ -239,22 +349,29 @@ def fit_whole(table: DataFrame, domains: list[str], targets: dict[str, float], p
     return steps
 
 
-def copies_of(rate: F.Column, id_col: str) -> F.Column:
-    """Whole copies: the rate's whole part and one more where a hash of the id falls below the rest."""
+def copies_of(rate: F.Column, *draw: str) -> F.Column:
+    """Whole copies: the rate's whole part and one more where a hash of the columns ``draw`` falls below the rest."""
     rest = rate - F.floor(rate)
-    drawn = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col)), F.lit(1_000_000)) / 1_000_000.0
+    drawn = F.pmod(F.xxhash64(F.lit("mix"), *draw), F.lit(1_000_000)) / 1_000_000.0
     return (F.floor(rate) + (drawn < rest).cast("long")).cast("long")
 
 
 def rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, grow: bool = False) -> DataFrame:
     """The columns ``keep`` of ``docs`` with n_tokens, posteriors ``p_*``, ``rate`` and ``copies``."""
     model = fit_classifier(docs, domains, id_col, text_col)
-    table = common.materialize(with_posteriors(docs, model, text_col).select(*(keep or [id_col]), "n_tokens", *(f"p_{d}" for d in model["domains"])), "posteriors")
+    shown = [*(keep or [id_col]), "n_tokens", *(f"p_{d}" for d in model["domains"])]
+    table = with_posteriors(docs, model, text_col).select(*shown, F.monotonically_increasing_id().alias("_at"))
+    table = common.materialize(table, "posteriors")
     steps = fit_whole(table, model["domains"], targets, grow=grow)
     rate = rate_expression([F.col(f"p_{d}") for d in model["domains"]], steps)
     if grow:  # the fit comes near 1 for the domain that stays whole; no document of it may go
         rate = F.greatest(F.lit(1.0), rate)
-    return table.withColumn("rate", F.round(rate, 6)).withColumn("copies", copies_of(F.col("rate"), id_col))
+    # Rows that share an id, or have none, draw by their place in the written table, others by their id alone.
+    several = table.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_several")).count().where("count > 1").select("_several")
+    table = table.join(several, F.col(id_col) == F.col("_several"), "left")
+    place = F.when(F.col(id_col).isNull() | F.col("_several").isNotNull(), F.col("_at")).otherwise(-1)
+    table = table.withColumns({"_at": place, "rate": F.round(rate, 6)})
+    return table.select(*shown, "rate", copies_of(F.col("rate"), id_col, "_at").alias("copies"))
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", grow: bool = False) -> DataFrame:
