@@ -142,13 +142,38 @@ def visible_columns(columns: DataFrame, show_hidden: bool = False, show_guard: b
     return columns
 
 
-def table_maps(tables: DataFrame, columns: DataFrame, constraints: DataFrame) -> DataFrame:
-    """A row for each table with its columns in order (up to a few thousand) and the columns of its primary key."""
+def table_maps(tables: DataFrame, columns: DataFrame, constraints: DataFrame, lobs: DataFrame | None = None) -> DataFrame:
+    """A row for each table with its columns in order (up to a few thousand) and the columns of its primary key.
+
+    With ``lobs`` (``obj, int_col, lob_obj``) also the data objects of its large objects, and with ``is_guard`` in the columns its guards.
+    """
     keys = constraints.where("type = 'P'").select("obj", "int_col").distinct().withColumn("is_key", F.lit(True))
     marked = columns.join(keys, ["obj", "int_col"], "left").withColumn("is_key", F.coalesce("is_key", F.lit(False)))
-    lists = marked.groupBy("obj").agg(F.array_sort(F.collect_list(F.struct("col", F.col("name").alias("column"), "is_key"))).alias("cols"))
+    guard = F.coalesce("is_guard", F.lit(False)) if "is_guard" in columns.columns else F.lit(False)
+    lists = marked.groupBy("obj").agg(F.array_sort(F.collect_list(F.struct("col", F.col("name").alias("column"), "is_key", guard.alias("is_guard")))).alias("cols"))
     out = tables.join(lists, "obj", "left")
-    return out.withColumn("key", F.transform(F.filter("cols", lambda c: c["is_key"]), lambda c: c["column"])).withColumn("cols", F.transform("cols", lambda c: c["column"]))
+    named = lambda flag: F.transform(F.filter("cols", lambda c: c[flag]), lambda c: c["column"])
+    out = out.withColumns({"key": named("is_key"), "guards": named("is_guard"), "cols": F.transform("cols", lambda c: c["column"])})
+    if lobs is not None:
+        held = lobs.groupBy("obj").agg(F.array_sort(F.collect_list("lob_obj")).alias("lobs"))
+        out = out.join(held, "obj", "left").withColumn("lobs", F.coalesce("lobs", F.array().cast("array<bigint>")))
+    return out
+
+
+def snapshot_columns(owners: DataFrame, objects: DataFrame, columns: DataFrame, lobs: DataFrame) -> DataFrame:
+    """Columns of the tables of some owners, with owner, table and the data object of a large object: the joins of a dictionary snapshot."""
+    tables = objects.join(owners, "user_id").select("owner", "obj", F.col("name").alias("table_name"))
+    return tables.join(columns, "obj").join(lobs.select("obj", "int_col", "lob_obj"), ["obj", "int_col"], "left")
+
+
+def named(records: DataFrame, tables: DataFrame, uncommitted: DataFrame, owners: DataFrame) -> DataFrame:
+    """``records`` with owner and name of their table: a known one's, or, by two steps, that of a row not committed yet.
+
+    ``tables`` has ``obj, owner, name``; ``uncommitted`` has ``obj, user_id, name``; an unknown owner leaves both null.
+    """
+    new = uncommitted.join(owners, "user_id").select(F.col("obj"), F.col("owner").alias("_owner"), F.col("name").alias("_name"))
+    out = records.join(tables.select("obj", "owner", "name"), "obj", "left").join(new, "obj", "left")
+    return out.withColumns({"owner": F.coalesce("owner", "_owner"), "name": F.coalesce("name", "_name")}).drop("_owner", "_name")
 
 
 def override_key(maps: DataFrame, key: list[str] | None) -> DataFrame:

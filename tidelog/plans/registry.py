@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.plans import format_queries, more_queries, output_queries, row_queries, run_queries, stream_queries, transaction_queries
+from tidelog.plans import codec_queries, format_queries, more_queries, output_queries, row_queries, run_queries, stream_queries, transaction_queries
 
-MODULES = [transaction_queries, format_queries, row_queries, output_queries, more_queries, stream_queries, run_queries]
+MODULES = [transaction_queries, format_queries, row_queries, output_queries, more_queries, stream_queries, run_queries, codec_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
