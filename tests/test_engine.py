@@ -1,13 +1,14 @@
 """Codecs, conditions, configuration, stacks, streams and replay against small models."""
 
 import json
+import random
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import codec, formats
-from tidelog.operators import checkpoints, condition, messages
+from tidelog.operators import checkpoints, condition, dictionary, messages
 from tidelog.operators import transactions as tx
 from tidelog.plans import config, fixtures, replay
 from tidelog.sources import logs, sinks
@@ -216,12 +217,153 @@ def test_probe_and_names(spark):
 
 
 def test_file_sink_keeps_order(spark, tmp_path):
-    m = spark.range(100).select((F.col("id") % 10).alias("c_scn"), F.col("id").alias("c_idx"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("body"), F.lit(1).alias("seq"))
+    m = spark.range(100).repartition(5).select((F.col("id") % 10).alias("c_scn"), F.col("id").alias("c_idx"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("body"), (F.col("id") % 3).alias("seq"))
     sinks.write_lines(m, str(tmp_path / "o"))
-    assert spark.read.text(str(tmp_path / "o")).count() == 100
+    lines = [x for f in sorted((tmp_path / "o").glob("part-*.txt")) for x in f.read_text().split()]
+    assert lines == [f"m{i}" for i in sorted(range(100), key=lambda i: (i % 10, i))]
+    with pytest.raises(ValueError):
+        sinks.write_lines(m, str(tmp_path / "p"), new_line=0)
     sinks.discard(m)
 
 
+def test_files_by_template(spark, tmp_path):
+    m = spark.range(100).repartition(4).select(F.col("id"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("body"), F.floor(F.col("id") / 40).alias("seq"))
+    text = "".join(f"m{i}" for i in range(100))
+    one = sinks.write_files(m, f"{tmp_path}/one.txt", ["id"]).collect()  # no separator at all
+    assert [(r.messages, r.bytes) for r in one] == [(100, len(text))] and (tmp_path / "one.txt").read_text() == text
+    sinks.write_files(m, f"{tmp_path}/one.txt", ["id"])  # what is there stays
+    assert (tmp_path / "one.txt").read_text() == text * 2
+    sinks.write_files(m, f"{tmp_path}/s-%s.txt", ["id"], new_line=1)
+    assert [(tmp_path / f"s-{k}.txt").read_text().split() for k in range(3)] == [[f"m{i}" for i in range(40 * k, min(100, 40 * k + 40))] for k in range(3)]
+    files = sinks.write_files(m, f"{tmp_path}/n-%3i.txt", ["id"], new_line=2, max_file_size=50).collect()
+    assert [r.file.rsplit("/", 1)[1] for r in files] == [f"n-{k:03d}.txt" for k in range(len(files))] and max(r.bytes for r in files) <= 50
+    assert [x for r in files for x in open(r.file).read().split()] == [f"m{i}" for i in range(100)]
+    with pytest.raises(sinks.OutputError):
+        sinks.write_files(m, f"{tmp_path}/s-%s.txt", ["id"], append=0)
+    for output, size, append in (("x-%i", 0, 1), ("x-%t", 0, 1), ("x", 0, 0), ("x-%q", 9, 1), ("x-%i-%s", 9, 1)):
+        with pytest.raises(sinks.OutputError):
+            sinks.rotation(output, size, append)
+    assert not list(tmp_path.glob(".*.part"))
+
+
+def test_positions_of_transactions(spark):
+    rng = random.Random(6)
+    rows, begin = [], 0
+    for k in range(300):
+        begin = begin if rng.random() < 0.4 else rng.randrange(5)
+        rows.append((1, 1, k, k // 7 if k < 200 else 29, begin, 1000 + k, rng.randint(1, 4)))
+    tx_rows = spark.createDataFrame(rows, "usn long, slt long, sqn long, seq long, begin_scn long, commit_scn long, n long")
+    want, held, last = {}, 0, None
+    for _, _, k, _, b, _, n in rows:
+        held = held if b == last else 0
+        want[k], held, last = held, held + n, b
+    assert {r.sqn: r.first_idx for r in tx.message_positions(tx_rows).collect()} == want
+
+
+def keyed_log(spark, with_types=False):
+    """Two tables: one with a key of two columns, one without; nulls and changes of every kind, in one transaction each."""
+    rows, scn = [], 0
+    rng = random.Random(8)
+    for sqn in range(12):
+        scn += 1
+        rows.append((sqn, scn, "BEGIN", None, None, None))
+        for _ in range(rng.randint(1, 6)):
+            scn += 1
+            kind = rng.choice(["INSERT", "UPDATE", "DELETE"])
+            key = {"A": str(rng.randrange(3)), "B": str(rng.randrange(2))}
+            image = lambda key=key: key | {"V": rng.choice([None, "x", "y"]), "W": rng.choice([None, "1"])}
+            rows.append((sqn, scn, kind, sqn % 2, image() if kind != "INSERT" else None, image() if kind != "DELETE" else None))
+        scn += 1
+        rows.append((sqn, scn, "COMMIT", None, None, None))
+    full = [(1, 1, q, n, 0, n // 10, k, o, None, 10, None, b, a) for q, n, k, o, b, a in rows]
+    return spark.createDataFrame(full, "usn long, slt long, sqn long, scn long, sub_scn int, seq long, kind string, obj long, undo_kind string, size long, ts timestamp, before map<string,string>, after map<string,string>")
+
+
+TABLES = [(0, "S", "KEYED", 0, None, "A,B,V,W", "A,B", False), (1, "S", "BARE", 0, None, "A,B,V,W", None, False), (2, "SYS", "T", 0, None, "A", "A", True)]
+TABLE_ROW = "obj long, owner string, name string, valid_from long, valid_to long, columns_text string, key_text string, is_system boolean"
+
+
+def test_replay_with_composite_keys_rebuilds_rows(spark):
+    """Mode 0 leaves out what didn't change, and yet the messages rebuild each row from the one before it."""
+    redo, versions = keyed_log(spark), spark.createDataFrame(TABLES, TABLE_ROW)
+    out = replay.replay(redo, versions, messages.FormatOptions(), [{"owner": "S", "table": "KEYED"}]).collect()
+    rows = {(r.sqn, r.scn): r for r in redo.collect()}
+    inside = sorted((r for r in rows.values() if r.obj == 0), key=lambda r: r.scn)
+    sent = [json.loads(r.body)["payload"][0] for r in sorted(out, key=lambda r: (r.commit_scn, r.num))]
+    assert len(sent) == len(inside)
+    for r, m in zip(inside, sent):
+        if m["op"] == "u":
+            changed = {c for c in "VW" if r.before[c] != r.after[c]}
+            assert set(m["after"]) == set(m["before"]) == changed | {"A", "B"}
+            assert {**r.before, **m["after"]} == r.after and {**r.after, **m["before"]} == r.before
+        else:
+            image = r.after if m["op"] == "c" else r.before
+            assert m["after" if m["op"] == "c" else "before"] == {c: v for c, v in image.items() if v is not None}
+
+
+def test_replay_keys_and_modes(spark):
+    redo, versions = keyed_log(spark), spark.createDataFrame(TABLES, TABLE_ROW)
+    by_rule = replay.replay(redo, versions, messages.FormatOptions(), [{"owner": "S", "table": "BARE", "key": "A, W"}]).collect()
+    for r in by_rule:
+        for side in ("before", "after"):
+            image = json.loads(r.body)["payload"][0].get(side)
+            assert image is None or {"A", "W"} <= set(image)
+    whole = replay.replay(redo, versions, messages.FormatOptions(column=1), [{"owner": "S", "table": ".*"}]).collect()
+    assert all(set(json.loads(r.body)["payload"][0]["after"]) == set("ABVW") for r in whole if r.op == "c")
+    with pytest.raises(dictionary.KeyColumnError):
+        replay.replay(redo, versions, messages.FormatOptions(), [{"owner": "S", "table": "BARE", "key": "A,NONE"}])
+    assert replay.named_tables(versions, [{"owner": ".*", "table": ".*"}]).count() == 2
+    assert replay.named_tables(versions, [{"owner": ".*", "table": ".*"}], hide_system=False).count() == 3
+
+
+def test_null_texts_are_json(spark):
+    got = spark.range(1).select(messages.JsonObject().add("a", F.lit(None).cast("string")).add("b", F.lit('"')).column().alias("x")).first().x
+    assert json.loads(got) == {"a": None, "b": '"'}
+
+
+def test_versions_that_overlap_are_found(spark):
+    rows = [(1, 0, 10), (1, 9, None), (2, 0, 5), (2, 5, None), (3, 0, None), (3, 4, 6)]
+    found = dictionary.overlaps(spark.createDataFrame(rows, "obj long, valid_from long, valid_to long"))
+    assert sorted((r.obj, r.valid_from) for r in found.collect()) == [(1, 9), (3, 4)]
+
+
+def test_split_never_passes_the_limit(spark):
+    rng = random.Random(2)
+    rows = [(1, 1, k % 5, k, 0, rng.choice([10, 60, 60, 99, 150])) for k in range(200)]
+    parts = tx.split(spark.createDataFrame(rows, "usn long, slt long, sqn long, scn long, sub_scn int, size long"), 100)
+    for r in parts.groupBy(*tx.XID, "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect():
+        assert r.bytes <= 100 or r.n == 1
+
+
+def test_character_sets():
+    with pytest.raises(codec.CharsetError):
+        codec.characters(F.lit(b"x"), "NO8SUCH")
+    with pytest.raises(codec.CharsetError):
+        codec.characters(F.lit(b"x"), "ZHT32EUC")
+    for name in set(codec.CHARSETS.values()) - {"cesu-8"}:
+        assert b"A".decode(name, "replace") is not None
+
+
+def test_ebcdic_and_odd_doubles(spark):
+    df = spark.createDataFrame([("Zwölf".encode("cp500"), bytes([0xBF, 0xC0, 0, 0])), (None, b"abc"), (b"", bytes([0x40, 0x0F] + [0xFF] * 6))], "t binary, d binary")
+    rows = df.select(codec.characters(F.col("t"), "WE8EBCDIC500").alias("t"), codec.binary_double(F.col("d")).alias("d")).collect()
+    assert [(r.t, r.d) for r in rows] == [("Zwölf", 1.5), (None, None), ("", -1.0)]
+
+
+def test_stream_counts_commits_without_begin_and_confirms(spark, tmp_path):
+    rows = [(1, 1, 1, 1, 0, "BEGIN", None, None), (1, 1, 1, 2, 0, "INSERT", 5, None), (1, 1, 2, 3, 0, "INSERT", 5, None), (1, 1, 2, 4, 0, "COMMIT", None, None), (1, 1, 1, 5, 0, "COMMIT", None, None)]
+    redo = spark.createDataFrame(rows, "usn long, slt long, sqn long, scn long, sub_scn int, kind string, obj long, undo_kind string")
+    for k, some in enumerate(("scn <= 3", "scn > 3")):
+        redo.where(some).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    out, chk, confirmed = (str(tmp_path / x) for x in ("out", "chk", "confirmed"))
+    rules = [F.col("kind") != "PARTIAL"]
+    stream = assemble.assembled(assemble.read_log(spark, str(tmp_path / "log"), redo.schema)).withColumns({"c_scn": F.col("begin_scn"), "c_idx": F.coalesce("num", F.lit(0))})
+    sent = []
+    assemble.send_batches(stream, lambda rows: sent.extend((r.sqn, r.kind) for r in rows.collect()), lambda: rules[0], confirmed, chk).awaitTermination()
+    assert sent == [(1, "INSERT")]
+    assert spark.read.parquet(confirmed).agg(F.max("c_scn")).first()[0] == 1
+
+
 def test_stream_server(spark):
     m = spark.range(20).select(F.col("id").alias("scn"), F.col("id").alias("c_scn"), F.lit(0).alias("c_idx"), F.lit("x").alias("body"))
     server = sinks.StreamServer(m, "DB1")

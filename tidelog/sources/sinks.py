@@ -96,14 +96,17 @@ def write_files(messages: DataFrame, output: str, order: list[str], new_line: in
         if out is not None:
             yield done()
 
-    files = placed.mapInArrow(run, "part long, number long, seq long, temporary string, messages long, bytes long").orderBy("part", "number").collect()  # a row a file
+    # A row a file; sorted here, as a sort in the plan would run the writing twice to find its ranges.
+    files = sorted(placed.mapInArrow(run, "part long, number long, seq long, temporary string, messages long, bytes long").collect(), key=lambda f: (f.part, f.number))
     fs, top = pafs.FileSystem.from_uri(folder)
+    targets = [f"{top}/{file_name(name, k, f.seq, stamp)}" for k, f in enumerate(files)]
+    exists = [fs.get_file_info(t).type != pafs.FileType.NotFound for t in targets]
+    if any(exists) and not append:
+        for f in files:
+            fs.delete_file(f.temporary)
+        raise OutputError(f"{targets[exists.index(True)]} exists")
     out = []
-    for k, f in enumerate(files):
-        target = f"{top}/{file_name(name, k, f.seq, stamp)}"
-        there = fs.get_file_info(target).type != pafs.FileType.NotFound
-        if there and not append:
-            raise OutputError(f"{target} exists")
+    for f, target, there in zip(files, targets, exists, strict=True):
         if there:  # the messages follow what is there
             with fs.open_append_stream(target) as old, fs.open_input_stream(f.temporary, compression=None) as new:
                 while chunk := new.read(1 << 20):
