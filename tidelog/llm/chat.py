@@ -3,7 +3,8 @@
 Loggers often store a conversation anew after each turn. A conversation is dropped if it equals the
 first turns of a longer one; of equal ones that with the smallest id stays. Rolling hashes say so
 without comparing texts: a turn's hash covers turn number, rank, role and text, and a prefix's hash
-(two independent 64-bit words) is the exclusive or of its turns' hashes. Prefixes that are not
+(two independent 64-bit words) is the exclusive or of its turns' hashes; of 10**12 prefixes two differing ones agree
+with a chance of some 10**24 / 2**129, or 2 in 10**15. Prefixes that are not
 whole conversations form the right side of an anti-join with the whole ones.
 
 No conversation is gathered in one task: turns are dealt by (conversation, CHUNK turn numbers), hashes
@@ -12,7 +13,8 @@ Rendering gives a row for each turn of a kept conversation, with its place in th
 
 All is DataFrame functions. Edge cases: rows with null conv_id belong to no conversation and are
 left out; a null turn comes first; null role and text count as empty; repeated rows are turns of
-their own; rows with the same turn number are ordered by role and text; other columns are ignored.
+their own; rows with the same turn number are ordered by role and text, and share a task; very long texts are
+hashed whole; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ def turns_with_prefixes(turns: DataFrame) -> DataFrame:
         "turn",
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.floor(F.col("turn") / CHUNK).alias("chunk"),
+        # Turns without a number stand in a chunk before all others.
+        F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62))).alias("chunk"),
     )
     # Only the parts travel; the rendered turn is put together at the end.
     size = F.length("role") + F.length("text") + len(OPEN) + len(CLOSE) + 1
@@ -52,7 +55,7 @@ def turns_with_prefixes(turns: DataFrame) -> DataFrame:
     # One row a chunk: its last.
     chunks = rows.where("rank = in_chunk").select("conv_id", "chunk", "x1", "x2", F.col("rank").alias("n"), "chars")
     whole = Window.partitionBy("conv_id")
-    before = whole.orderBy(F.col("chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     chunks = chunks.select(
         F.col("conv_id").alias("c_id"),
@@ -63,9 +66,10 @@ def turns_with_prefixes(turns: DataFrame) -> DataFrame:
         zero(F.sum("chars").over(before)).alias("p_chars"),
         F.sum("n").over(whole).alias("n_turns"),
     )
-    joined = rows.join(chunks, (F.col("conv_id") == F.col("c_id")) & F.col("chunk").eqNullSafe(F.col("c_chunk")))
+    joined = rows.join(chunks, (F.col("conv_id") == F.col("c_id")) & (F.col("chunk") == F.col("c_chunk")))
     return joined.select(
         "conv_id",
+        "chunk",
         "turn",
         (F.col("p_n") + F.col("rank")).alias("position"),
         "role",
@@ -86,10 +90,16 @@ def maximal(prefixes: DataFrame) -> DataFrame:
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """A row for each turn of each maximal conversation: rendered text and where it starts."""
+    """A row for each turn of each maximal conversation: rendered text and where it starts.
+
+    Hashes alone are written, once, to find the conversations that stay; those come back by chunk, so texts are dealt by (conversation,
+    chunk) all the way and a giant conversation is many tasks.
+    """
     prefixes = turns_with_prefixes(turns)
-    kept = maximal(prefixes)
-    return prefixes.join(kept, "conv_id").select("conv_id", "turn", "position", "role", "rendered", "start_char", "n_turns", "n_copies")
+    slim = common.materialize(prefixes.select("conv_id", "chunk", "position", "n_turns", "hash1", "hash2"), "prefixes")
+    kept = slim.select("conv_id", "chunk").distinct().join(maximal(slim), "conv_id")
+    kept = common.materialize(kept.select("conv_id", "chunk", "n_copies"), "kept")
+    return prefixes.join(kept, ["conv_id", "chunk"]).select("conv_id", "turn", "position", "role", "rendered", "start_char", "n_turns", "n_copies")
 
 
 def whole_texts(rendered: DataFrame) -> DataFrame:
