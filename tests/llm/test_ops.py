@@ -841,3 +841,128 @@ def test_pipeline_of_nothing(spark, sf_dir):
     for _, stage in cp.STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), "none")
     assert docs.count() == 0
+
+
+# edges that all share
+
+
+def clashing(spark):
+    """Rows of one id with different texts, repeated rows, and columns with the names that operators add."""
+    rows = [(5, "x " * 80), (5, "y z " * 60), (5, None), (3, "x " * 80), (3, "x " * 80), (None, "x " * 80), (8, " ".join(f"w{i}" for i in range(90)))]
+    names = ["Score", "LANG_PRED", "Spans", "n_words", "Kept", "Quality", "p_x", "rate", "N_Tokens", "fp"]
+    return spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+
+
+def test_clashing_names_are_replaced(spark):
+    docs = clashing(spark)
+    judged = quality_rules.judge(docs)
+    assert [c.lower() for c in judged.columns].count("n_words") == 1 and [c.lower() for c in judged.columns].count("kept") == 1
+    assert sorted(r.n_words for r in judged.collect()) == sorted(len(WORD.findall(r.text or "")) for r in docs.collect())
+    assert quality_rules.keep_good(docs).columns == docs.columns
+    scored = toxicity.score(docs, (b"", b""))
+    assert [c.lower() for c in scored.columns].count("score") == 1 and {r.score for r in scored.select("score").collect()} == {0.0}
+    said = langid.with_language(docs, langid.fit(spark.createDataFrame([(1, "x y z", "aa")], "doc_id long, text string, lang string")))
+    assert {r.lang_pred for r in said.select("lang_pred").collect()} == {"aa", "und"}
+    labels = spark.createDataFrame([(5, "x"), (8, "y")], "doc_id long, domain string")
+    mixed = mixing.rates(docs, labels, {"x": 0.5, "y": 0.5})
+    assert mixed.count() == docs.count() and mixed.columns.count("p_x") == 1
+    assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one_near(docs).columns == docs.columns
+
+
+def test_one_id_with_several_texts(spark):
+    docs = clashing(spark).select("doc_id", "text")
+    texts = sorted(str(r.text) for r in simhash.keep_one_near(docs).collect() if r.doc_id is not None)
+    assert texts == sorted(["x " * 80, "y z " * 60, "None", " ".join(f"w{i}" for i in range(90))])
+    pieces = packing.pack(packing.pieces_of(docs)).collect()
+    assert sum(r.n_tokens for r in pieces) == sum(len(WORD.findall(r.text or "")) + 1 for r in docs.collect())
+    known = packing.pieces_of(docs.withColumn("known", F.lit(3000)), length_col="known").groupBy("doc_id").agg(F.sum("n_tokens").alias("n"))
+    assert sum(r.n for r in known.collect()) == 3000 * docs.count()
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    common.tune(spark)
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 200_000).alias("text")).coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= 10
+    signals = quality_rules.with_signals(docs).agg(F.min("n_words"), F.max("n_words")).first()
+    assert tuple(signals) == (200_000, 200_000)
+
+
+def test_language_ties_and_letters(spark):
+    model = langid.Model(["aa", "bb"], np.ones((2, langid.BUCKETS)), np.ones((2, langid.N_SCRIPTS)))
+    texts = ["½ ² ③", "Ⅷ 12", "٣", "word", "", None, "a" * 200_000]
+    got = langid.label(model, texts)
+    assert got[0] == ["und", "und", "und", "aa", "und", "und", "aa"] and got[1][3] == 1.0
+    assert langid.with_language(spark.createDataFrame([], "doc_id long, text string"), langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))).count() == 0
+
+
+def test_topk_ties_of_one_id(spark):
+    rows = [(50, [1.0, 0.0])] + [(7, [0.5, 0.0])] * 3 + [(9, [0.5, 0.0]), (6, [0.5, 9.0])]
+    vectors = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = topk.search(vectors, vectors.where("id = 50")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(6, 32768), (7, 32768), (7, 32768), (7, 32768), (9, 32768)]
+
+
+def test_warc_headers_hold_their_lines(spark):
+    data, digest = warc.record(7, "http://a/\r\nX-Bad: 1\x7f", "<p>", "2026-01-02T03:04:05Z")
+    headers, block = warc.parse(data)
+    assert headers["WARC-Target-URI"] == "http://a/%0D%0AX-Bad: 1%7F" and "X-Bad" not in headers and headers["WARC-Date"] == "2026-01-02T03:04:05Z"
+    assert block == b"<p>" and headers["WARC-Block-Digest"] == f"sha256:{digest}"
+    assert warc._read(b"not gzip") == (None, None, None) and warc._read(None) == (None, None, None)
+
+
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2, weight):
+    """FTRL-proximal feature by feature, with dictionaries."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def w(i):
+        bound = 0.0 if i == "bias" else l1
+        return 0.0 if abs(z[i]) <= bound else -(z[i] - np.sign(z[i]) * bound) / ((beta + np.sqrt(n[i])) / alpha + l2)
+
+    for epoch in range(epochs):
+        for i, features, label in sorted(rows, key=lambda r: zlib.crc32(b"%d %d" % (epoch, r[0]))):
+            names = [*features.tolist(), "bias"]
+            now = {f: w(f) for f in names}
+            g = (1 / (1 + np.exp(-sum(now.values()))) - label) * (weight if label else 1.0)
+            for f in names:
+                z[f] += g - (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / alpha * now[f]
+                n[f] += g * g
+    return {f: w(f) for f in z if w(f)}
+
+
+def test_ftrl_equals_a_plain_loop(monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 0.5)
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(60):
+        label = int(rng.random() < 0.4)
+        rows.append((i, np.unique(rng.integers(0, 40, 8) + 1000 * label * (rng.random() < 0.7)), label))
+    at, w = toxicity.train(rows)
+    want = plain_ftrl(rows, toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, 0.5, toxicity.L2, toxicity.TOXIC_WEIGHT)
+    assert {("bias" if a == toxicity.BUCKETS else int(a)): x for a, x in zip(at, w)} == pytest.approx(want)
+
+
+def test_language_model_equals_plain_ngrams():
+    """Word scores of the model against sums over dictionaries of n-grams."""
+    texts = {"aa": "lala lolo la li", "bb": "tete toto te ti la"}
+    counts, plain = np.zeros((2, langid.BUCKETS)), [collections.Counter(), collections.Counter()]
+    for k, text in enumerate(texts.values()):
+        of, gram, _, _ = langid.word_grams(langid.words_of(text))
+        np.add.at(counts[k], gram, 1)
+        for word in text.split():
+            marked = f" {word} "
+            plain[k].update(marked[i : i + n] for n in range(1, 5) for i in range(len(marked) - n + 1))
+    model = langid.Model(list(texts), counts, np.ones((2, langid.N_SCRIPTS)))
+    score, letters = model.word_scores([b"lato", b"xx"])
+    for row, word in zip(score, ("lato", "xx")):
+        marked, want = f" {word} ", []
+        for k in range(2):
+            total = sum(plain[k].values()) + 0.5 * langid.BUCKETS
+            want.append(sum(np.log((plain[k][marked[i : i + n]] + 0.5) / total) for n in range(1, 5) for i in range(len(marked) - n + 1)) / 4)
+        assert row.tolist() == pytest.approx([max(x - max(want), -langid.WORD_BOUND) for x in want], abs=1e-4)
