@@ -147,6 +147,14 @@ def test_undo_of_another_object_takes_back_nothing(spark):
     assert [(r.scn, r.num, r.n_mismatch) for r in tx.committed_changes(redo).orderBy("num").collect()] == [(2, 0, 1), (6, 1, 1)]
 
 
+def test_place_in_the_log_orders_records_of_one_number(spark):
+    rows = [(1, 0, "BEGIN", None, None, 0, 0), (2, 0, "UPDATE", 1, None, 7, 9), (2, 0, "INSERT", 1, None, 7, 3), (2, 0, "UNDO_LAST", 1, "UPDATE", 8, 1), (3, 0, "COMMIT", None, None, 9, 0)]
+    full = [(1, 1, 1, scn, sub, kind, obj, undo, block, at, None) for scn, sub, kind, obj, undo, block, at in rows]
+    redo = spark.createDataFrame(full, "usn long, slt long, sqn long, scn long, sub_scn int, kind string, obj long, undo_kind string, block long, page_offset int, ts timestamp")
+    assert [(r.kind, r.num, r.n_mismatch) for r in tx.committed_changes(redo).collect()] == [("INSERT", 0, 0)]
+    assert [r.kind for r in tx.survivors(redo).collect()] == ["INSERT"]
+
+
 def test_one_pass_equals_join(spark, sf_dir):
     redo = fixtures.redo(spark, sf_dir)
     cols = [*tx.XID, "scn", "kind", "begin_scn", "commit_scn", "num"]

@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 
 XID = ["usn", "slt", "sqn"]
 ORDER = ["scn", "sub_scn"]
+#: Where two records share a change number and sub-number, the place in the log decides, if the log says it.
+PLACE = ["block", "page_offset"]
 CHANGES = ("INSERT", "UPDATE", "DELETE")
 #: Which record undoes which change.
 INVERSE = {"INSERT": "DELETE", "DELETE": "INSERT", "UPDATE": "UPDATE"}
 
 
+def order_of(rows: DataFrame) -> list[str]:
+    """The columns that order records."""
+    return [*ORDER, *(c for c in PLACE if c in rows.columns)]
+
+
 def _at(kinds, column: str) -> F.Column:
     return F.when(F.col("kind").isin(*kinds), F.col(column))
 
@@ -62,13 +69,13 @@ def _stacked(rows: DataFrame) -> DataFrame:
     that change is the one before it at the same depth. Where one doesn't match (``_bad`` of the whole transaction), depths
     after it don't hold, and ``_folded`` answers. ``n_mismatch`` counts undos that found nothing, if all others match.
     """
-    order = Window.partitionBy(*XID).orderBy(*ORDER)
+    order = Window.partitionBy(*XID).orderBy(*order_of(rows))
     so_far, rest, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(*XID)
     change, undo = F.col("kind").isin(*CHANGES), F.col("kind") == "UNDO_LAST"
     rows = rows.withColumn("_sum", F.sum(F.when(change, 1).when(undo, -1).otherwise(0)).over(so_far))
     rows = rows.withColumn("_depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far)))
     rows = rows.withColumns({"_low": F.min("_depth").over(rest), "_level": F.when(change, F.col("_depth")).when(undo, F.coalesce(F.lag("_depth").over(order), F.lit(0))).otherwise(-1)})
-    last = F.lag(F.struct("kind", "obj")).over(Window.partitionBy(*XID, "_level").orderBy(*ORDER))
+    last = F.lag(F.struct("kind", "obj")).over(Window.partitionBy(*XID, "_level").orderBy(*order_of(rows)))
     taken = F.create_map(*(F.lit(x) for pair in INVERSE.items() for x in pair))[last["kind"]]
     wrong = undo & (F.col("_level") > 0) & ~(taken.eqNullSafe(F.col("undo_kind")) & last["obj"].eqNullSafe(F.col("obj")))
     rows = rows.withColumn("_wrong", wrong)
@@ -79,12 +86,12 @@ _HELP = ["_sum", "_depth", "_low", "_level", "_wrong", "_bad"]
 
 
 def _folded(rows: DataFrame) -> DataFrame:
-    """(XID, ORDER, n_mismatch) of the changes that stay in transactions with an undo that matches nothing.
+    """(XID, order, n_mismatch) of the changes that stay in transactions with an undo that matches nothing.
 
     Such a transaction is an anomaly of the log. Its records are folded over one stack in one row, which holds some 60 bytes
     a record and nothing of the images, so some ten million records of one transaction are the limit here.
     """
-    item = F.struct(*ORDER, "kind", "obj", "undo_kind")
+    item = F.struct(*order_of(rows), "kind", "obj", "undo_kind")
     listed = rows.where(F.col("kind").isin(*CHANGES, "UNDO_LAST")).groupBy(*XID).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     inverse = F.create_map(*(F.lit(x) for pair in INVERSE.items() for x in pair))
     state = F.struct(F.array().cast("array<int>").alias("stack"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("missed"))
@@ -98,14 +105,14 @@ def _folded(rows: DataFrame) -> DataFrame:
 
     done = listed.select(*XID, "_items", F.aggregate("_items", state, step).alias("_end"))
     kept = done.select(*XID, F.explode(F.transform("_end.stack", lambda k: F.get("_items", k))).alias("_x"), F.col("_end.missed").alias("n_mismatch"))
-    return kept.select(*XID, *(F.col(f"_x.{c}").alias(c) for c in ORDER), "n_mismatch")
+    return kept.select(*XID, *(F.col(f"_x.{c}").alias(c) for c in order_of(rows)), "n_mismatch")
 
 
 def _live(rows: DataFrame, num: bool = False) -> DataFrame:
     """The changes of ``_stacked`` rows that stay, with ``n_mismatch`` and, if asked for, ``num`` in the transaction."""
-    order = Window.partitionBy(*XID).orderBy(*ORDER)
+    order = Window.partitionBy(*XID).orderBy(*order_of(rows))
     good = rows.where(~F.col("_bad") & F.col("kind").isin(*CHANGES) & (F.col("_low") >= F.col("_depth"))).drop(*_HELP)
-    bad = rows.where("_bad").drop("n_mismatch").join(_folded(rows.where("_bad")), [*XID, *ORDER]).drop(*_HELP)
+    bad = rows.where("_bad").drop("n_mismatch").join(_folded(rows.where("_bad")), [*XID, *order_of(rows)]).drop(*_HELP)
     if num:
         good, bad = (x.withColumn("num", F.row_number().over(order) - 1) for x in (good, bad))
     return good.unionByName(bad)
@@ -122,7 +129,7 @@ def survivors(redo: DataFrame) -> DataFrame:
 
 def commit_order(changes: DataFrame, tx: DataFrame) -> DataFrame:
     """Changes of emitted transactions with their place: ``commit_scn``, then ``num`` from 0."""
-    order = Window.partitionBy(*XID).orderBy(*ORDER)
+    order = Window.partitionBy(*XID).orderBy(*order_of(changes))
     # Every change of a committed transaction is needed; both sides hash on the same key.
     joined = changes.join(emitted(tx).select(*XID, "begin_scn", "commit_scn", "begin_ts", "end_ts"), XID)
     return joined.withColumn("num", F.row_number().over(order) - 1)
@@ -134,7 +141,7 @@ def committed_changes(redo: DataFrame, after_scn: int | None = None) -> DataFram
     The same as ``commit_order(survivors(redo), transactions(redo))``, but the transaction's own columns
     come from frames over the sorted partition, so one shuffle serves all transactions whose undos match.
     """
-    order = Window.partitionBy(*XID).orderBy(*ORDER)
+    order = Window.partitionBy(*XID).orderBy(*order_of(redo))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = redo.withColumns({
         "begin_scn": F.min(_at(["BEGIN"], "scn")).over(whole),
@@ -218,7 +225,7 @@ def split(changes: DataFrame, most_bytes: int) -> DataFrame:
 
     Sums restart at each cut, so cuts are found by a fold over the sizes of a transaction (some 30 bytes a change in one row).
     """
-    order = Window.partitionBy(*XID).orderBy(*ORDER)
+    order = Window.partitionBy(*XID).orderBy(*order_of(changes))
     rows = changes.withColumn("_n", F.row_number().over(order))
     listed = rows.groupBy(*XID).agg(F.array_sort(F.collect_list(F.struct("_n", F.col("size").cast("long").alias("size")))).alias("_sizes"))
     state = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("cuts"))
