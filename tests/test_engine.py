@@ -155,6 +155,13 @@ def test_place_in_the_log_orders_records_of_one_number(spark):
     assert [r.kind for r in tx.survivors(redo).collect()] == ["INSERT"]
 
 
+def test_records_of_other_kinds_change_nothing(spark):
+    rows = [(1, "BEGIN", None), (2, "INSERT", 0), (3, "LOCK", 0), (4, "LOB_INDEX", 9), (5, "ATTR", None), (6, "SUPP", 0), (7, "UNDO_LAST", 0), (8, "DELETE", 0), (9, "COMMIT", None)]
+    full = [(1, 1, 1, scn, 0, kind, obj, "DELETE", None) for scn, kind, obj in rows]
+    redo = spark.createDataFrame(full, "usn long, slt long, sqn long, scn long, sub_scn int, kind string, obj long, undo_kind string, ts timestamp")
+    assert [(r.scn, r.num, r.n_mismatch) for r in tx.committed_changes(redo).collect()] == [(8, 0, 0)]
+
+
 def test_one_pass_equals_join(spark, sf_dir):
     redo = fixtures.redo(spark, sf_dir)
     cols = [*tx.XID, "scn", "kind", "begin_scn", "commit_scn", "num"]

@@ -162,6 +162,12 @@ def output_rotation(spark, sf_dir):
     return whole.crossJoin(apart.agg(F.count(F.when(F.col("before") >= F.col("id"), 1)).alias("out_of_order"), F.countDistinct("id").alias("distinct_ids")))
 
 
+def log_dump(spark, sf_dir):
+    """The log as lines, of the transactions that a dump names."""
+    redo = fixtures.redo(spark, sf_dir)
+    return logs.dump(tx.only(redo, tx.transactions(redo).where("sqn % 5 = 2"))).select("scn", "sub_scn", "line")
+
+
 def _parts(spark, sf_dir):
     """Dictionary rows of tables: owners, objects, columns, constraints and large objects."""
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("obj"), "n_name", F.col("n_regionkey").cast("long").alias("user_id"))
@@ -220,7 +226,7 @@ QUERIES = {
     for f in (
         binary_doubles, stored_timestamps, stored_zoned_timestamps, stored_intervals, dates_before_christ, character_sets, json_escapes, hidden_nulls, cluster_key_rows,
         sequence_intersect, sequence_range, stop_after_checkpoints, header_probe, block_scan, output_rotation, dictionary_snapshot, table_maps_with_lobs, uncommitted_names,
-        key_override, checkpoints_shown, metrics_output,
+        key_override, checkpoints_shown, metrics_output, log_dump,
     )
 }
 
@@ -258,6 +264,9 @@ SELECT c_custkey, CASE WHEN c_custkey % 5 < 4 THEN c_custkey % 5 = 3 END AS big_
     "output_rotation": f"""
 SELECT count(*) AS messages, CAST(sum(length('message ' || scn) + 2) AS BIGINT) AS bytes, true AS within, true AS numbered, CAST(0 AS BIGINT) AS out_of_order, count(DISTINCT scn) AS distinct_ids
 FROM ({_REDO}) WHERE kind IN ('INSERT', 'UPDATE', 'DELETE')""",
+    "log_dump": f"""
+SELECT scn, sub_scn, 'SEQ ' || seq || ' SCN ' || scn || ':' || sub_scn || ' XID ' || lpad(lower(to_hex(usn)), 4, '0') || '.' || lpad(lower(to_hex(slt)), 3, '0') || '.' || lpad(lower(to_hex(sqn)), 8, '0')
+       || ' ' || kind || ' OBJ ' || coalesce(obj::VARCHAR, '-') || ' SIZE ' || size AS line FROM ({_REDO}) WHERE sqn % 5 = 2""",
     "dictionary_snapshot": f"""
 SELECT r_name AS owner, o.obj, o.name AS table_name, col, 'C' || col AS name, CASE WHEN col = 3 THEN o.obj * 100 + 3 END AS lob_obj
 FROM {_OWNER} o JOIN region ON r_regionkey = user_id AND user_id < 3 JOIN {_COLS} c ON c.obj = o.obj""",

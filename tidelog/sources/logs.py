@@ -172,3 +172,11 @@ def check_blocks(rows: DataFrame, block_size: int, sequence: int, online: bool =
             calculated = F.shiftleft(calculated.bitwiseAND(F.lit(0xFF)), 8).bitwiseOR(F.shiftright(calculated, 8))
         status = status.when(own != calculated, "CRC")
     return rows.withColumn("status", status.otherwise("OK"))
+
+
+def dump(records: DataFrame) -> DataFrame:
+    """``records`` with a ``line`` each for people to read: place, transaction, kind and object. Unknown parts are a dash."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")) if c in records.columns else F.lit("-")
+    xid = F.concat_ws(".", *(F.lower(F.lpad(F.hex(F.col(c)), n, "0")) for c, n in (("usn", 4), ("slt", 3), ("sqn", 8))))
+    parts = [F.lit("SEQ"), text("seq"), F.lit("SCN"), F.concat(text("scn"), F.lit(":"), text("sub_scn")), F.lit("XID"), xid, text("kind"), F.lit("OBJ"), text("obj"), F.lit("SIZE"), text("size")]
+    return records.withColumn("line", F.concat_ws(" ", *parts))
