@@ -834,6 +834,16 @@ def test_pipeline_stages(spark, sf_dir):
     assert sum(r.n_tokens for r in new.collect()) == sum(len(WORD.findall(r.text or "")) + 1 for r in docs.collect())
 
 
+def test_pipeline_run_leaves_two_tables_of_stages(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    start = common.mark()
+    out = cp.run(spark, sf_dir)
+    left = common._written[start:]
+    assert "/stage3-" in left[0] and not any("/stage" in path or "/quality-" in path or "/classes-" in path for path in left[1:])
+    assert out.count() > 0
+
+
 def test_pipeline_of_nothing(spark, sf_dir):
     import corpus_pipeline as cp
 

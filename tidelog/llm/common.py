@@ -46,9 +46,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that this process wrote and hasn't deleted, in order.
+_written: list[str] = []
+
+
+def mark() -> int:
+    """A point in the order of written tables, for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the tables written since a mark, but for ``keep``: for a caller whose result is written and that alone works in this process."""
+    for path in _written[since:]:
+        if path != keep._written_to:
+            _delete(spark, path)
+    _written[since:] = [keep._written_to]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
@@ -57,9 +80,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._written_to)
+    _written.remove(df._written_to)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
