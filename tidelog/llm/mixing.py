@@ -148,38 +148,36 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, id_col: str = "doc_id",
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
     sample = common.materialize(sample.withColumn("words", tokens_of("text")).select("domain", fold.alias("fold"), buckets_of(F.col("words")).alias("buckets")), "sample")
-    marked = sample.select("domain", "fold", F.explode(F.concat("buckets", F.array(F.lit(-1)))).alias("bucket"))
-    rows = marked.groupBy("bucket", "domain", "fold").count().collect()  # (BUCKETS + SHAPES + 1) x MAX_DOMAINS x FOLDS at most
-    names = sorted({r["domain"] for r in rows})
+    names = sorted(r["domain"] for r in sample.select("domain").distinct().collect())
     if not names:
         return {"domains": ["unlabelled"], "prior": [0.0], "weights": {}, "calibration": None}
     if len(names) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
+    # One row a bucket (-1 stands for all rows), with a count for each domain and fold.
+    cells = [(d, k) for d in names for k in range(FOLDS)]
+    marked = sample.select("domain", "fold", F.explode(F.concat("buckets", F.array(F.lit(-1)))).alias("bucket"))
+    counted = marked.groupBy("bucket").agg(*(F.count(F.when((F.col("domain") == d) & (F.col("fold") == k), 1)).alias(f"c{i}") for i, (d, k) in enumerate(cells)))
+    rows = {r[0]: r[1:] for r in counted.collect()}  # BUCKETS + SHAPES + 1 at most
+    folds = [k for k in range(FOLDS) if any(n for n, c in zip(rows[-1], cells, strict=True) if c[1] == k)]
 
     def learned(without: int | None) -> tuple[list[float], dict[int, list[float]]]:
-        totals, seen = dict.fromkeys(names, 0), {}
-        for r in rows:
-            if r["fold"] == without:
-                continue
-            if r["bucket"] == -1:
-                totals[r["domain"]] += r["count"]
-            else:
-                counts = seen.setdefault(r["bucket"], {})
-                counts[r["domain"]] = counts.get(r["domain"], 0) + r["count"]
-        return _weights(seen, totals, names)
+        seen = {}
+        for bucket, row in rows.items():
+            counts = seen[bucket] = dict.fromkeys(names, 0)
+            for n, (d, k) in zip(row, cells, strict=True):
+                if k != without:
+                    counts[d] += n
+        totals = seen.pop(-1)
+        return _weights({b: c for b, c in seen.items() if any(c.values())}, totals, names)
 
     prior, weights = learned(None)
     model = {"domains": names, "prior": prior, "weights": weights, "calibration": None}
     if len(names) > 1:
         number = F.create_map(*(x for k, d in enumerate(names) for x in (F.lit(d), F.lit(k))))[F.col("domain")]
-        label, scored = number.alias("label"), []
-        for k in sorted({r["fold"] for r in rows}):
+        got = []
+        for k in folds:  # TRAIN_ROWS rows in all at most; a plan holds one model's weights at a time
             scores = _scores(F.col("buckets"), *learned(k))
-            scored.append(sample.where(F.col("fold") == k).select(label, F.array(*scores).alias("scores")))
-        whole = scored[0]
-        for more in scored[1:]:
-            whole = whole.unionByName(more)
-        got = whole.collect()  # TRAIN_ROWS rows at most
+            got += sample.where(F.col("fold") == k).select(number.alias("label"), F.array(*scores).alias("scores")).collect()
         model["calibration"] = calibrate(np.array([r["scores"] for r in got]).reshape(len(got), len(names)), np.array([r["label"] for r in got], int), len(names))
     return model
 
@@ -368,9 +366,11 @@ def rates(docs: DataFrame, domains: DataFrame, targets: dict[str, float], id_col
         rate = F.greatest(F.lit(1.0), rate)
     # Rows that share an id, or have none, draw by their place in the written table, others by their id alone.
     several = table.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_several")).count().where("count > 1").select("_several")
-    table = table.join(several, F.col(id_col) == F.col("_several"), "left")
-    place = F.when(F.col(id_col).isNull() | F.col("_several").isNotNull(), F.col("_at")).otherwise(-1)
-    table = table.withColumns({"_at": place, "rate": F.round(rate, 6)})
+    alone = F.col(id_col).isNotNull()
+    if not several.isEmpty():
+        table = table.join(several, F.col(id_col) == F.col("_several"), "left")
+        alone &= F.col("_several").isNull()
+    table = table.withColumns({"_at": F.when(alone, -1).otherwise(F.col("_at")), "rate": F.round(rate, 6)})
     return table.select(*shown, "rate", copies_of(F.col("rate"), id_col, "_at").alias("copies"))
 
 
