@@ -300,6 +300,89 @@ def test_near_copies_edges(spark):
     assert simhash.keep_one_near(docs.limit(0)).count() == 0
 
 
+def brute_print(shingles):
+    """256 bits: each set if it is in over half of the hashes, or of splitmix64 of them in the words after the first."""
+    mask, words = (1 << 64) - 1, []
+    for k in range(4):
+        hashes = []
+        for h in shingles:
+            h = (h + k * 0x9E3779B97F4A7C15) & mask
+            if k:
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+                h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+                h ^= h >> 31
+            hashes.append(h)
+        words.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return b"".join(w.to_bytes(8, "big") for w in words)
+
+
+def test_near_prints_are_simhashes_of_five_word_sets(spark, sf_dir):
+    texts = [r.text for r in documents(spark, sf_dir).limit(20).collect()] + [t for _, t in EDGE]
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        runs = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        hashes = [xxhash.xxh64_intdigest(r.encode("utf-8", "surrogatepass"), 42) for r in runs]
+        assert simhash.near_print(simhash.shingle_set(text)) == (brute_print(hashes) if hashes else None)
+
+
+def test_near_masks_miss_no_link():
+    rng = random.Random(5)
+    for n in (100, 2000, 200_000, 10**7):
+        usual, masks = simhash.near_masks(n)
+        for some, differ in ((masks[:usual], 39), (masks, 48)):  # bits expected to differ at the threshold, and in sets of four and five
+            for _ in range(200):
+                flip = set(rng.sample(range(simhash.PRINT_BITS), differ))
+                assert any(flip.isdisjoint(m) for m in some)
+
+
+def near_prints(rng, n):
+    """Rows of size and print: families around some centres, on both sides of the radius, and single ones."""
+    rows = []
+    while len(rows) < n:
+        size, centre = rng.randint(5, 400), rng.getrandbits(256)
+        for _ in range(rng.choice([1, 1, 1, 2, 40])):
+            flip = sum(1 << b for b in rng.sample(range(256), rng.choice([0, 9, 30, 60])))
+            rows.append((size + rng.randint(0, size // 3), centre ^ flip))
+    rng.shuffle(rows)
+    return rows[:n]
+
+
+def brute_print_components(rows):
+    linked = lambda a, b: bin(a[1] ^ b[1]).count("1") <= 84 and 5 * min(a[0], b[0]) >= 4 * max(a[0], b[0])
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if linked(rows[i], rows[j])]
+    return [min(x) for x in _spread(len(rows), pairs)], set(pairs)
+
+
+def test_print_pairs_span_brute_force_components():
+    rng = random.Random(9)
+    for n in (1, 2, 9, 150, 400):
+        rows = near_prints(rng, n)
+        words = np.array([[size, *np.frombuffer(x.to_bytes(32, "big"), np.uint64)] for size, x in rows], np.uint64)
+        want, linked = brute_print_components(rows)
+        got = simhash.print_pairs(words)
+        assert [min(x) for x in _spread(n, got)] == want and set(got) <= linked
+        assert len(got) == n - len(set(want))
+
+
+@pytest.mark.parametrize("limit", [None, 8])
+def test_print_links_keep_components(spark, limit):
+    rows = near_prints(random.Random(4), 700)
+    classes = spark.createDataFrame([(k, size, x.to_bytes(32, "big")) for k, (size, x) in enumerate(rows)], "cls long, size long, print binary")
+    found = simhash.components(simhash.print_links(classes, limit)).collect()
+    got = {k: k for k in range(len(rows))} | {r.vertex: r.component for r in found}
+    assert [got[k] for k in range(len(rows))] == brute_print_components(rows)[0]
+
+
+def test_near_copies_are_found_by_prints_alone(spark, monkeypatch):
+    words = [f"w{k}" for k in range(120)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:60], "changed", *words[61:]])), (3, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_one_near(docs).collect()] == [1]
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "print_links", lambda classes, limit=None: none)
+    assert sorted(r.doc_id for r in simhash.keep_one_near(docs).collect()) == [1, 2]  # equal sets are one class
+
+
 # 2: mixing
 
 

@@ -16,11 +16,14 @@ family costs its members once or twice, nothing is left out, and no group is hel
 follows the count of classes, which keeps mean groups small at any size and changes no result.
 
 ``keep_one_near`` has a contract of its own: texts link if their sets of five-word shingles have a
-Jaccard similarity of at least 0.8. Such pairs differ in up to some 20 bits of a fingerprint, where no
-bit mask finds them and no random pivot tells them apart, so candidates come from MinHash bands over the
-same shingle hashes, and the pivot tables hold Jaccard distances (a metric, so the triangle inequality
-stays exact): in each group of candidates some texts far from each other are the pivots, pairs whose
-distances to one of them differ by more than 0.2 are discarded, and survivors are compared shingle by shingle.
+Jaccard similarity of at least 0.8. It takes the same steps with SimHashes of PRINT_BITS bits of those sets.
+Two such sets are at most 27.3 degrees apart, so a bit differs with probability 0.151 at most, and the odds that
+more than NEAR_RADIUS of 256 do are below 1e-12 (3e-8 for sets of four and five shingles, of which 0.1875 differ).
+No exact set of masks reaches that far, so ``near_masks`` takes random ones, as many as it needs for a pair at
+the threshold to agree on none with odds of MISS. Random pivots can't tell such prints apart (distances to one
+spread by 8), so in each group some members far from each other are the pivots: pairs whose distances to one
+differ by more than the radius are discarded, survivors are compared bit by bit, and links give groups of
+candidates. In those an exact check follows, on the sets themselves, with pivot tables of Jaccard distances (a metric too).
 
 Edge cases: null and wordless texts have fingerprint zero and link like any other; fewer words than a
 shingle has are one shingle; repeated rows each get their row; a null id is not a vertex (its
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -53,8 +57,10 @@ MEAN_GROUP = 64
 MIDDLES = 8
 #: ``keep_one_near``: words of a shingle, and the least Jaccard similarity of a link as a fraction.
 NEAR_SHINGLE, NEAR = 5, (4, 5)
-#: MinHash bands and hashes in each. A pair at the threshold shares no band with probability (1 - 0.8**4)**32 = 5e-8.
-BANDS, BAND_ROWS = 32, 4
+#: Bits of the SimHash of a set, how many of them may differ in candidates, and the odds that a pair at the threshold agrees on no mask.
+PRINT_BITS, NEAR_RADIUS, MISS = 256, 84, 5e-8
+#: Below so many shingles a majority is decided by few of them, and up to this share of bits differs in a link (four against five).
+SHORT, SHORT_SHARE = 8, 0.1875
 #: Pivots of a group of candidates, and shingles of the sets that one task compares with each other.
 NEAR_PIVOTS, CHUNK_SHINGLES = 8, 1 << 20
 
@@ -162,7 +168,7 @@ def fp_pairs(prints: list[bytes], label: np.ndarray | None = None, first: int |
 
 def fp_middle(prints: list[bytes]) -> int:
     """The fingerprint nearest to the bits that most of them have."""
-    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 8), axis=1)
+    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), axis=1)
     return int((bits != (2 * bits.sum(0, dtype=np.int64) > len(bits))).sum(1).argmin())
 
 
@@ -370,16 +376,161 @@ def shingle_set(text) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, NEAR_SHINGLE), np.uint64))
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """One signed key a band; sets that share a key are candidates."""
+def near_print(shingles: np.ndarray) -> bytes | None:
+    """The SimHash of a set of shingle hashes, ``PRINT_BITS`` wide: its first 64 bits are those of the hashes, the others of mixes of them."""
     if not len(shingles):
-        return []
-    factors = np.array([xxhash.xxh64_intdigest(b"factor %d" % i, SEED) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
-    low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):  # bounds the product of a very long text
-        low = np.minimum(low, (shingles[at : at + 4096, None] * factors[None, :]).min(0))
-    rows = low.reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+        return None
+    total, step = np.zeros(PRINT_BITS, np.int64), np.arange(PRINT_BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(shingles), 16_384):  # bits of a very long text are summed piece by piece
+        h = shingles[at : at + 16_384, None] + step[None, :]
+        mixed = h[:, 1:]
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h[:, 1:] = mixed ^ (mixed >> np.uint64(31))
+        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(shingles)).tobytes()
+
+
+def near_masks(n_classes: int) -> tuple[int, list[list[int]]]:
+    """Masks as lists of bits, and how many of them suffice for sets of ``SHORT`` shingles or more.
+
+    Mean groups have 16 * sqrt(n) members, so masks stay few: a member costs a row for each of them, a comparison far less.
+    """
+    width = max(0, math.ceil(math.log2(max(n_classes, 1) ** 0.5 / 16)))
+    if not width:
+        return 1, [[]]
+    agree = np.array([math.comb(PRINT_BITS - d, width) / math.comb(PRINT_BITS, width) for d in range(PRINT_BITS + 1)])
+
+    def needed(share: float) -> int:
+        odds = np.array([math.comb(PRINT_BITS, d) * share**d * (1 - share) ** (PRINT_BITS - d) for d in range(PRINT_BITS + 1)])
+        return next(m for m in itertools.count(1) if (odds * (1 - agree) ** m).sum() <= MISS)
+
+    similar = NEAR[0] / NEAR[1]
+    usual, short = needed(math.acos(2 * similar / (1 + similar)) / math.pi), needed(SHORT_SHARE)
+    draw, found = random.Random(SEED), []
+    while len(found) < short:  # masks of one round share no bit
+        order = draw.sample(range(PRINT_BITS), PRINT_BITS)
+        found += [order[at : at + width] for at in range(0, PRINT_BITS - width + 1, width)]
+    return usual, found[:short]
+
+
+def print_pairs(members: np.ndarray, known: np.ndarray | None = None, first: int | None = None) -> list[tuple[int, int]]:
+    """Pairs that span the linked sets of ``members``, rows of a set's size and the words of its print.
+
+    Two link if at most ``NEAR_RADIUS`` bits differ and their sizes allow a similarity of ``NEAR``. ``known`` and ``first`` are those of ``near_pairs``.
+    """
+    n, size, prints = len(members), members[:, 0].astype(np.int64), np.ascontiguousarray(members[:, 1:])
+    label, out = np.unique(np.arange(n) if known is None else known, return_inverse=True)[1], []
+
+    def link(i: int, others: np.ndarray) -> None:
+        others = others[label[others] != label[i]]
+        others = others[NEAR[1] * np.minimum(size[others], size[i]) >= NEAR[0] * np.maximum(size[others], size[i])]
+        if len(others):
+            sets, at = np.unique(label[others], return_index=True)
+            out.extend((min(i, j), max(i, j)) for j in others[at].tolist())
+            joined = np.zeros(n, bool)
+            joined[sets] = True
+            label[joined[label]] = label[i]
+
+    def apart(i: int) -> np.ndarray:
+        return np.bitwise_count(prints ^ prints[i]).sum(1, dtype=np.int16)
+
+    if first is not None:
+        for i in range(min(first, n)):
+            link(i, np.flatnonzero(apart(i) <= NEAR_RADIUS))
+        return out
+    # Pivots: the first print, and then the one farthest from all pivots so far.
+    tables, nearest, pivot = [], np.full(n, PRINT_BITS + 1, np.int16), 0
+    while len(tables) < min(NEAR_PIVOTS, n - 1) and nearest[pivot] > 0:
+        tables.append(apart(pivot))
+        link(pivot, np.flatnonzero(tables[-1] <= NEAR_RADIUS))
+        nearest = np.minimum(nearest, tables[-1])
+        nearest[pivot] = 0
+        pivot = int(nearest.argmax())
+    tables = [t for t in tables if t.max() - t.min() > NEAR_RADIUS]  # others discard nothing
+    # Sizes of linked sets are in one stripe or in neighbours; in a stripe rows are in the order of a pivot's table, so neighbours are discarded together.
+    stripe = np.floor(np.log(size) / math.log(NEAR[1] / NEAR[0])).astype(np.int64)
+    order = np.lexsort((tables[0] if tables else label, stripe))
+    stop = np.searchsorted(stripe[order], stripe[order] + 1, side="right")
+    for at in range(0, n, 64):
+        rows = order[at : at + 64]
+        others = order[at : stop[min(at + 64, n) - 1]]
+        if (label[rows] == label[rows[0]]).all():
+            others = others[label[others] != label[rows[0]]]
+        for table in tables:
+            others = others[(table[others] >= table[rows].min() - NEAR_RADIUS) & (table[others] <= table[rows].max() + NEAR_RADIUS)]
+        for some in np.array_split(others, len(others) // 4096 + 1):
+            differ = np.zeros((len(rows), len(some)), np.uint16)
+            for word in range(prints.shape[1]):
+                differ += np.bitwise_count(prints[rows, word][:, None] ^ prints[some, word][None, :])
+            hits = differ <= NEAR_RADIUS
+            for k in np.flatnonzero(hits.sum(1)).tolist():
+                link(int(rows[k]), some[hits[k]])
+    return out
+
+
+def packed_print_pairs(members: list[bytes], known: np.ndarray | None = None, first: int | None = None) -> list[tuple[int, int]]:
+    return print_pairs(np.frombuffer(b"".join(members), np.uint64).reshape(len(members), -1), known, first)
+
+
+def packed_print_middle(members: list[bytes]) -> int:
+    return fp_middle([m[8:] for m in members])
+
+
+def print_links(classes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Links (a, b) that span the sets of ``classes(cls, size, print)`` with prints within ``NEAR_RADIUS`` that agree on a mask.
+
+    Groups above ``limit`` members aren't held whole, but linked by ``link_groups``.
+    """
+    spark = classes.sparkSession
+    n = classes.count()
+    usual, chosen = near_masks(n)
+    width, wide = len(chosen[0]), 2 + PRINT_BITS // 64
+    limit = limit or max(16 * CHUNK, 4 * n >> width)
+
+    def deal(batches):
+        """For each mask and key the members of a batch, as words: class, size, print."""
+        for batch in batches:
+            prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            ids = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None] for k in range(2)]
+            rows, bits = np.hstack([*ids, prints.view(np.uint64)]), np.unpackbits(prints, axis=1).astype(np.int64)
+            keys, packed = [], []
+            for m, mask in enumerate(chosen):
+                own = np.arange(len(rows)) if m < usual else np.flatnonzero(rows[:, 1] < SHORT)
+                key = (m << width) + bits[np.ix_(own, mask)] @ (1 << np.arange(width, dtype=np.int64))
+                order = np.argsort(key, kind="stable")
+                start = np.flatnonzero(np.diff(key[order], prepend=-1))
+                keys += key[order][start].tolist()
+                packed += [rows[part].tobytes() for part in np.split(own[order], start[1:])] if len(start) else []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["key", "members"])
+
+    dealt = classes.select("cls", "size", "print").mapInArrow(deal, "key long, members binary")
+    sizes = dealt.groupBy("key").agg(F.sum(F.length("members")).alias("n"))
+    large = common.materialize(sizes.where(F.col("n") > 8 * wide * limit).select("key"), "large")
+    small = dealt if large.isEmpty() else dealt.join(large, "key", "left_anti")
+    small = small.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+
+    def link(batches):
+        rows = ((k, x) for batch in batches for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for _, parts in itertools.groupby(rows, key=lambda row: row[0]):
+            group = np.frombuffer(b"".join(x for _, x in parts), np.uint64).reshape(-1, wide)
+            pairs = np.array(print_pairs(group[:, 1:]), np.int64).reshape(-1, 2)
+            cls = group[:, 0].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[pairs[:, 0]]), pa.array(cls[pairs[:, 1]])], names=["a", "b"])
+
+    links = small.mapInArrow(link, "a long, b long")
+    if large.isEmpty():
+        return links
+
+    def unpack(batches):
+        for batch in batches:
+            for key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                group = np.frombuffer(packed, np.uint64).reshape(-1, wide)
+                arrays = [pa.array([key] * len(group), pa.int64()), pa.array(group[:, 0].astype(np.int64)), pa.array([x.tobytes() for x in group[:, 1:]], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["k", "v", "x"])
+
+    members = common.materialize(dealt.join(large, "key", "left_semi").mapInArrow(unpack, "k long, v long, x binary"), "members")
+    return links.unionByName(link_groups(members, packed_print_pairs, packed_print_middle))
 
 
 def near_pairs(sets: list[np.ndarray], known: np.ndarray | None = None, first: int | None = None) -> list[tuple[int, int]]:
@@ -447,11 +598,8 @@ def set_middle(sets: list[bytes]) -> int:
 
 
 def near_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) of ``classes(cls, id, t, bands)``, one for each shingle set; ``docs(id, t, text)`` has their texts."""
-    keyed = classes.select("cls", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    # Each member is tied to the smallest of its band, so pairs that share a band are in one component.
-    maybe = components(keyed.join(shared, "key").select("a", F.col("cls").alias("b")))
+    """Links (a, b) of ``classes(cls, id, t, size, print)``, one for each shingle set; ``docs(id, t, text)`` has their texts."""
+    maybe = components(print_links(classes.where("print IS NOT NULL")))
     members = classes.select("cls", "id", "t").join(maybe, F.col("cls") == F.col("vertex")).select("cls", "id", "t", "component")
     members = common.materialize(members, "members")
 
@@ -472,12 +620,13 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
             cls = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], names=["id", "t", "cls", "bands"])
+            arrays = [batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([near_print(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "t", "cls", "size", "print"])
 
-    made = docs.where("id is not null").select("id", "t", "text").mapInArrow(prints, "id long, t long, cls long, bands array<long>")
+    made = docs.where("id is not null").select("id", "t", "text").mapInArrow(prints, "id long, t long, cls long, size long, print binary")
     made = common.materialize(made, "prints")
-    classes = made.groupBy("cls").agg(F.min(F.struct("id", "t")).alias("row"), F.first("bands").alias("bands"))
-    classes = common.materialize(classes.select("cls", "row.id", "row.t", "bands"), "classes")
+    classes = made.groupBy("cls").agg(F.min(F.struct("id", "t")).alias("row"), F.first("size").alias("size"), F.first("print").alias("print"))
+    classes = common.materialize(classes.select("cls", "row.id", "row.t", "size", "print"), "classes")
     comps = components(near_links(classes, docs))
     named = classes.join(comps, F.col("cls") == F.col("vertex"), "left").select("cls", "id", "t", F.coalesce("component", "cls").alias("component"))
     return made.select("id", "t"), named
