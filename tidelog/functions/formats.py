@@ -34,9 +34,9 @@ def _rounded(seconds: Column, nanos: Column, digits: int) -> tuple[Column, Colum
 
 
 def epoch(seconds: Column, nanos: Column, digits: int) -> Column:
-    """Epoch number in units of 10**-digits seconds."""
+    """Epoch number in units of 10**-digits seconds; in smaller ones a decimal, as nanoseconds pass 64 bits in 2262."""
     s, f = _rounded(seconds, nanos, digits)
-    return s * 10**digits + f if digits else s
+    return s.cast("decimal(28,0)") * 10**digits + f if digits else s
 
 
 def iso(seconds: Column, nanos: Column, digits: int, zulu: bool) -> Column:
