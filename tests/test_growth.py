@@ -1,10 +1,12 @@
 """What comes with larger tables: numbers that grow, and steps that must stay dealt out."""
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tidelog.functions import formats
-from tidelog.plans import format_queries
+from tidelog.plans import format_queries, run_queries
+from tidelog.sources import sinks
 
 
 @pytest.mark.parametrize("name", ["fmt_timestamp_modes", "fmt_timestamp_tz_modes"])
@@ -27,3 +29,36 @@ def test_epoch_of_far_and_early_seconds(spark):
     got = rows.select(*(formats.timestamp(F.col("s"), F.col("ns"), m) for m in range(4))).collect()
     assert [r[0] for r in got] == ["-500000000", "253402300799999999999", "-62135596799999999999", None]
     assert [r[3] for r in got] == ["0", "253402300800", "-62135596800", None]
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path):
+    def told(frames):
+        for f in frames:
+            yield f.assign(body=f["id"].map("{:05d}".format) + f" {TaskContext.get().partitionId()}")
+
+    m = spark.range(1000).repartition(4).mapInPandas(told, "id long, body string")
+    for times in (1, 2):  # the second run adds to the file
+        (one,) = sinks.write_files(m, f"{tmp_path}/one.txt", ["id"], new_line=1).collect()
+        lines = (tmp_path / "one.txt").read_text().splitlines()
+        assert [int(x.split()[0]) for x in lines] == [*range(1000)] * times
+        assert (one.messages, one.bytes * times) == (1000, (tmp_path / "one.txt").stat().st_size)
+    assert len({x.split()[1] for x in lines}) == 4
+    assert not list(tmp_path.glob(".*.part"))
+    assert sinks.write_files(m.where("id < 0"), f"{tmp_path}/none.txt", ["id"]).count() == 0
+
+
+def test_lines_of_one_file_are_read_by_many_tasks(spark, sf_dir, tmp_path):
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        out = run_queries.run_to_file(spark, sf_dir).select("n", "line", F.spark_partition_id().alias("part")).collect()
+        assert sorted(r.n for r in out) == [*range(len(out))] and len({r.part for r in out}) > 1
+        texts = {"a": ["x" * (k % 300) for k in range(2000)] + ["end"], "b": ["", "ü\r", ""] * 700 + ["end"]}
+        for name, lines in texts.items():
+            (tmp_path / name).write_bytes("\n".join(lines).encode() + b"\n")
+        got = sinks.numbered_lines(spark, [f"file://{tmp_path}/{name}" for name in texts]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    for name, lines in texts.items():
+        assert sorted((r.n, r.line) for r in got if r.file.endswith(f"/{name}")) == list(enumerate(lines))
+    assert sinks.numbered_lines(spark, []).count() == 0

@@ -10,6 +10,7 @@ from tidelog.operators import transactions as tx
 from tidelog.operators.messages import FormatOptions
 from tidelog.plans import config, fixtures, replay, run, scratch
 from tidelog.plans.transaction_queries import _TX
+from tidelog.sources import sinks
 
 #: Tables of the run: one with a key, one without, and one of the system.
 TABLES = """
@@ -42,9 +43,8 @@ def run_to_file(spark, sf_dir):
     base = scratch.path(spark, "run")
     fixtures.write_logs(redo, f"{base}/logs")
     done = run.run(spark, configuration(f"{base}/logs", f"{base}/out/changes.json"), redo.schema, spark.sql(TABLES), _statements(redo))
-    whole = spark.read.format("binaryFile").load([f"file://{r.file}" if "://" not in r.file else r.file for r in done.files.collect()])
-    lines = F.split(F.rtrim(F.col("content").cast("string"), F.lit("\n")), "\n")
-    return whole.select(F.posexplode(lines).alias("n", "line")).where("line <> ''").select(F.col("n").cast("long"), "line")
+    files = [f"file://{r.file}" if "://" not in r.file else r.file for r in done.files.collect()]
+    return sinks.numbered_lines(spark, files).where("line <> ''").select("n", "line")
 
 
 def replay_order(spark, sf_dir):

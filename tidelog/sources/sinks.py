@@ -8,7 +8,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NEW_LINES = {0: "", 1: "\n", 2: "\r\n"}
@@ -54,9 +54,10 @@ def write_files(messages: DataFrame, output: str, order: list[str], new_line: in
     """Messages (``body``, and ``seq`` for files by sequence) in ``order`` as files named by a template; returns (file, messages, bytes).
 
     ``%i`` files are cut where the next message would pass ``max_file_size``; each task cuts its own range of the order, so the last
-    file of a range may be smaller, and numbers run on from task to task. ``%s`` gives one file a log sequence, ``%t`` one file of
-    the run, and a name without a field one file; one task writes each of those, streaming. A file appears under its name when it is
-    complete (it is renamed), so a lost task leaves no part of one; an existing file is added to only where it is the only one.
+    file of a range may be smaller, and numbers run on from task to task. ``%s`` gives one file a log sequence, and one task writes
+    it, streaming. ``%t`` gives one file of the run, and a name without a field one file; each task writes its own range of the order,
+    and only their bytes are strung together in one place. A file appears under its name when it is complete (it is renamed), so a
+    lost task leaves no part of one; an existing file is added to only where it is the only one.
     """
     how, end = rotation(output, max_file_size, append), NEW_LINES[new_line].encode()
     folder, name = output.rsplit("/", 1) if "/" in output else (".", output)
@@ -65,10 +66,8 @@ def write_files(messages: DataFrame, output: str, order: list[str], new_line: in
     keys = [f"_o{k}" for k in range(len(order))]
     if how == "sequence":
         placed = rows.repartition("seq").sortWithinPartitions("seq", *keys).select("body", "seq")
-    elif how == "number":
-        placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("body", F.lit(0).cast("long").alias("seq"))
     else:
-        placed = rows.coalesce(1).sortWithinPartitions(*keys).select("body", F.lit(0).cast("long").alias("seq"))
+        placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("body", F.lit(0).cast("long").alias("seq"))
 
     def run(batches):
         from pyspark import TaskContext
@@ -96,28 +95,47 @@ def write_files(messages: DataFrame, output: str, order: list[str], new_line: in
         if out is not None:
             yield done()
 
-    # A row a file; sorted here, as a sort in the plan would run the writing twice to find its ranges.
+    # A row a file or range; sorted here, as a sort in the plan would run the writing twice to find its ranges.
     files = sorted(placed.mapInArrow(run, "part long, number long, seq long, temporary string, messages long, bytes long").collect(), key=lambda f: (f.part, f.number))
+    groups = [[f] for f in files] if how in ("number", "sequence") else [files] if files else []
     fs, top = pafs.FileSystem.from_uri(folder)
-    targets = [f"{top}/{file_name(name, k, f.seq, stamp)}" for k, f in enumerate(files)]
+    targets = [f"{top}/{file_name(name, k, g[0].seq, stamp)}" for k, g in enumerate(groups)]
     exists = [fs.get_file_info(t).type != pafs.FileType.NotFound for t in targets]
     if any(exists) and not append:
         for f in files:
             fs.delete_file(f.temporary)
         raise OutputError(f"{targets[exists.index(True)]} exists")
     out = []
-    for f, target, there in zip(files, targets, exists, strict=True):
-        if there:  # the messages follow what is there
-            with fs.open_append_stream(target) as old, fs.open_input_stream(f.temporary, compression=None) as new:
-                while chunk := new.read(1 << 20):
-                    old.write(chunk)
-            fs.delete_file(f.temporary)
-        else:
-            fs.move(f.temporary, target)
-        out.append((target, f.messages, f.bytes))
+    for group, target, there in zip(groups, targets, exists, strict=True):
+        into, *others = [target if there else group[0].temporary, *(f.temporary for f in group[0 if there else 1 :])]
+        if others:  # the messages follow what is there
+            with fs.open_append_stream(into) as old:
+                for path in others:
+                    with fs.open_input_stream(path, compression=None) as new:
+                        while chunk := new.read(1 << 20):
+                            old.write(chunk)
+                    fs.delete_file(path)
+        if not there:
+            fs.move(into, target)
+        out.append((target, sum(f.messages for f in group), sum(f.bytes for f in group)))
     return messages.sparkSession.createDataFrame(out, "file string, messages long, bytes long")
 
 
+def numbered_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Lines of text files as (file, n, line), numbered from 0 in each file; a large file is read in splits.
+
+    A split's lines follow each other in its task, so counts of splits (a row each) carry the numbers on.
+    """
+    if not files:
+        return spark.createDataFrame([], "file string, n long, line string")
+    read = spark.read.option("lineSep", "\n").text(files)
+    rows = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.select("file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(F.broadcast(splits), ["file", "_start"]).select("file", (F.col("_at") + F.col("_shift")).alias("n"), "line")
+
+
 def file_name(template: str, number: int, seq: int, stamp: str) -> str:
     """``%i`` counter (``%2i`` to ``%10i`` filled with zeros), ``%s`` sequence, ``%t`` time."""
 
