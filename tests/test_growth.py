@@ -5,7 +5,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tidelog.functions import formats
-from tidelog.plans import format_queries, run_queries
+from tidelog.plans import fixtures, format_queries, run_queries, stream_queries
 from tidelog.sources import sinks
 
 
@@ -62,3 +62,21 @@ def test_lines_of_one_file_are_read_by_many_tasks(spark, sf_dir, tmp_path):
     for name, lines in texts.items():
         assert sorted((r.n, r.line) for r in got if r.file.endswith(f"/{name}")) == list(enumerate(lines))
     assert sinks.numbered_lines(spark, []).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(stream_queries.QUERIES))
+def test_a_long_log_arrives_in_many_files(spark, sf_dir, monkeypatch, name):
+    want = stream_queries.QUERIES[name](spark, sf_dir).collect()
+    monkeypatch.setattr(stream_queries, "NUMBERS_A_FILE", 90, raising=False)
+    folder, schema, *a_part = stream_queries._log(spark, sf_dir)
+    log = spark.read.schema(schema).parquet(folder)
+    files = log.groupBy("_metadata.file_path").agg(F.max("_metadata.file_modification_time").alias("t"), F.min("scn").alias("low"), F.max("scn").alias("high")).orderBy("low").collect()
+    assert len(files) == 12 and a_part == [3] and log.count() == fixtures.redo(spark, sf_dir).count()
+    assert all(a.t < b.t and a.high < b.low and a.high - a.low < 90 for a, b in zip(files, files[1:], strict=False))
+    assert sorted(want) == sorted(stream_queries.QUERIES[name](spark, sf_dir).collect())
+
+
+@pytest.mark.parametrize("name", sorted(stream_queries.QUERIES))
+def test_an_empty_log_arrives(spark, sf_dir, tmp_path, name):
+    spark.read.parquet(f"{sf_dir}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    assert stream_queries.QUERIES[name](spark, str(tmp_path)).count() == 0

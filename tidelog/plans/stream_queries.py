@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidelog.operators import transactions as tx
@@ -9,36 +11,38 @@ from tidelog.plans import fixtures, scratch
 from tidelog.plans.transaction_queries import ORACLE as _BATCH
 from tidelog.streaming import assemble
 
-#: Files that the log is cut into; transactions span them.
+#: Parts that the log arrives in; transactions span them.
 FILES = 4
+#: Change numbers of one file: a part of a long log is many files, so that no task writes or reads a whole one.
+NUMBERS_A_FILE = 100_000
 
 
-def _log(spark, sf_dir) -> tuple[str, object]:
-    """The log as files in order of arrival."""
+def _log(spark, sf_dir) -> tuple[str, object, int]:
+    """The log as files in order of arrival (a range of change numbers each), its schema, and how many files are a part."""
     redo = fixtures.redo(spark, sf_dir)
-    last = redo.agg(F.max("scn")).first()[0] or 0
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.col("event_id") + 1)).first()[0] or 0
+    a_file = min(NUMBERS_A_FILE, max(1, math.ceil(last / FILES)))
+    number = F.floor((F.greatest(F.coalesce("scn", F.lit(1)), F.lit(1)) - 1) / a_file)
     folder = scratch.path(spark, "log")
-    for k in range(FILES):
-        part = redo.where((F.col("scn") > last * k // FILES) & (F.col("scn") <= last * (k + 1) // FILES))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return folder, redo.schema
+    files = assemble.write_log(redo.withColumn("file", number), folder, "file")
+    return folder, redo.schema, math.ceil(files / FILES)
 
 
 def stream_committed(spark, sf_dir):
-    folder, schema = _log(spark, sf_dir)
+    folder, schema, a_part = _log(spark, sf_dir)
     out = scratch.path(spark, "stream")
-    stream = assemble.committed(assemble.read_log(spark, folder, schema))
+    stream = assemble.committed(assemble.read_log(spark, folder, schema, a_part))
     assemble.write_batches(stream, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema(assemble.OUTPUT).parquet(f"{out}/rows").select(*tx.XID, "scn", "commit_scn", "num")
 
 
 def stream_window_counts(spark, sf_dir):
     """Closed windows only: the last ones wait for the watermark."""
-    folder, schema = _log(spark, sf_dir)
+    folder, schema, a_part = _log(spark, sf_dir)
     out = scratch.path(spark, "stream")
     # The log's clock has no zone; watermarks need instants, so it is read as UTC whatever the session's zone is.
     zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    log = assemble.read_log(spark, folder, schema).withColumn("ts", F.timestamp_micros(F.timestamp_diff("MICROSECOND", zero, F.col("ts"))))
+    log = assemble.read_log(spark, folder, schema, a_part).withColumn("ts", F.timestamp_micros(F.timestamp_diff("MICROSECOND", zero, F.col("ts"))))
     day = zero + F.make_dt_interval(secs=F.unix_seconds("window.start"))
     counted = assemble.counts(log, "1 day", "1 hour").select(day.alias("day"), "kind", "n")
     counted.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()

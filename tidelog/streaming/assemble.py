@@ -27,6 +27,28 @@ def read_log(spark: SparkSession, path: str, schema, files_a_batch: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
+def write_log(redo: DataFrame, path: str, number: str) -> int:
+    """Records as one file for each ``number``, dealt out by it; files get times in its order, which is the order ``read_log`` sees.
+
+    Returns the count of files; a log without records is one file.
+    """
+    spark = redo.sparkSession
+    redo.repartition(number).write.partitionBy(number).parquet(f"{path}-parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(path))
+    found = sorted((int(s.getPath().getName().split("=")[1]), s.getPath()) for s in fs.listStatus(hadoop.Path(f"{path}-parts")) if "=" in s.getPath().getName())
+    for k, folder in found:
+        for s in fs.listStatus(folder):
+            target = hadoop.Path(path, f"log-{k:06d}-{s.getPath().getName()}")
+            fs.rename(s.getPath(), target)
+            fs.setTimes(target, 1_000_000_000_000 + k * 1000, -1)
+    fs.delete(hadoop.Path(f"{path}-parts"), True)
+    if not found:
+        redo.drop(number).limit(0).coalesce(1).write.mode("append").parquet(path)
+    return max(1, len(found))
+
+
 class Assembler(StatefulProcessor):
     """Records of one transaction in order: changes are stacked, an undo takes back the last one if it is its inverse and names its
     object, an end empties the state.
