@@ -2,12 +2,17 @@
 
 State holds the changes of open transactions only, a row for each change on the stack, in the state store (RocksDB, which
 spills to disk): pushing and taking back a change touch one row, whatever the transaction's size, and a commit streams them out.
+Rows come to Python by buckets of transactions, since a call, a frame and the setting of a key for each transaction cost far more
+than its records do; a transaction that begins and ends in one batch leaves nothing in the store.
 There is no timeout, since a transaction may stay open for ever. The engine's checkpoint keeps source position and state
 together, so a restart neither loses nor repeats changes inside the query.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +22,8 @@ from tidelog.operators.transactions import CHANGES, INVERSE, XID
 
 OUTPUT = "usn long, slt long, sqn long, scn long, sub_scn int, kind string, obj long, begin_scn long, commit_scn long, num long, n_mismatch long"
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+#: Groups that transactions are dealt into by hash; a batch calls Python once for each. A checkpoint holds to this number.
+BUCKETS = 1024
 #: Rows of one output frame.
 CHUNK = 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -50,61 +57,72 @@ def write_log(redo: DataFrame, path: str, number: str) -> int:
 
 
 class Assembler(StatefulProcessor):
-    """Records of one transaction in order: changes are stacked, an undo takes back the last one if it is its inverse and names its
-    object, an end empties the state.
+    """Records of one bucket's transactions in order: changes are stacked, an undo takes back the last one if it is its inverse and
+    names its object, an end empties the state.
 
     A commit without a begin emits one row of kind ``PARTIAL`` (no change is shown), so late starts are counted and not lost silently.
+    State is asked for once a transaction of the batch, and written only for those that stay open.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "begin_scn long, depth int, missed long")
-        self.stack = handle.getMapState("stack", "place int", "scn long, sub_scn int, kind string, obj long")
+        self.head = handle.getMapState("head", "usn long, slt long, sqn long", "begin_scn long, depth int, missed long")
+        self.stack = handle.getMapState("stack", "usn long, slt long, sqn long, place int", "scn long, sub_scn int, kind string, obj long")
 
     def handleInputRows(self, key, rows, timer_values):
-        begin, depth, missed = self.head.get() if self.head.exists() else (None, 0, 0)
-        got = pd.concat(list(rows))[["scn", "sub_scn", "kind", "obj", "undo_kind"]].sort_values(["scn", "sub_scn"], kind="stable").astype(object)
+        got = pd.concat(list(rows))[[*XID, "scn", "sub_scn", "kind", "obj", "undo_kind"]].sort_values([*XID, "scn", "sub_scn"], kind="stable").astype(object)
         got = got.where(got.notna(), None)
-        stored, fresh, out = depth, [], []  # places below ``stored`` are in the store; ``fresh`` lie on top of them
+        known, out = self.head.exists(), []
+        records = zip(*(got[c].tolist() for c in got.columns), strict=True)
+        for xid, own in groupby(records, itemgetter(0, 1, 2)):
+            head = self.head.getValue(xid) if known else None
+            for row in self._transaction(xid, own, head):
+                out.append(row)
+                if len(out) >= CHUNK:
+                    yield pd.DataFrame(out, columns=_COLUMNS, dtype=object)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS, dtype=object)
 
-        def top():
-            return fresh[-1] if fresh else self.stack.getValue((stored - 1,)) if stored else None
+    def _transaction(self, xid, records, head):
+        begin, depth, missed = head or (None, 0, 0)
+        stored, fresh = depth, []  # places below ``stored`` are in the store; ``fresh`` lie on top of them
 
-        for scn, sub_scn, kind, obj, undo_kind in zip(*(got[c].tolist() for c in got.columns), strict=True):
+        def drop(first, last):
+            for n in range(first, last):
+                self.stack.removeKey((*xid, n))
+
+        for _, _, _, scn, sub_scn, kind, obj, undo_kind in records:
             obj = None if obj is None else int(obj)  # a column with nulls comes as floats
             if kind == "BEGIN":
                 begin = scn
             elif kind in CHANGES:
                 fresh.append((scn, sub_scn, kind, obj))
             elif kind == "UNDO_LAST":
-                last = top()
+                last = fresh[-1] if fresh else self.stack.getValue((*xid, stored - 1)) if stored else None
                 if last is None or INVERSE[last[2]] != undo_kind or last[3] != obj:
                     missed += 1
                 elif fresh:
                     fresh.pop()
                 else:
                     stored -= 1
-                    self.stack.removeKey((stored,))
+                    drop(stored, stored + 1)
             elif kind in ("COMMIT", "ROLLBACK"):
                 if kind == "COMMIT" and begin is None:
-                    out.append((*key, scn, sub_scn, "PARTIAL", None, None, scn, stored + len(fresh), missed))
+                    yield (*xid, scn, sub_scn, "PARTIAL", None, None, scn, stored + len(fresh), missed)
                 elif kind == "COMMIT":
                     for n in range(stored + len(fresh)):
-                        change = tuple(self.stack.getValue((n,))) if n < stored else fresh[n - stored]
-                        out.append((*key, *change, begin, scn, n, missed))
-                        if len(out) >= CHUNK:
-                            yield pd.DataFrame(out, columns=_COLUMNS)
-                            out = []
-                self.stack.clear()
+                        change = tuple(self.stack.getValue((*xid, n))) if n < stored else fresh[n - stored]
+                        yield (*xid, *change, begin, scn, n, missed)
+                drop(0, stored)
                 begin, stored, fresh, missed = None, 0, [], 0
         for n, change in enumerate(fresh):
-            self.stack.updateValue((stored + n,), change)
+            self.stack.updateValue((*xid, stored + n), change)
         depth = stored + len(fresh)
         if begin is None and not depth:
-            self.head.clear()
+            if head:
+                self.head.removeKey(xid)
         else:
-            self.head.update((begin, depth, missed))
-        if out:
-            yield pd.DataFrame(out, columns=_COLUMNS)
+            self.head.updateValue(xid, (begin, depth, missed))
 
     def close(self) -> None:
         pass
@@ -113,8 +131,8 @@ class Assembler(StatefulProcessor):
 def assembled(redo: DataFrame) -> DataFrame:
     """``committed`` and a row of kind ``PARTIAL`` for each commit whose begin wasn't seen."""
     redo.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = redo.select(*XID, "scn", "sub_scn", "kind", "obj", "undo_kind")
-    return rows.groupBy(*XID).transformWithStateInPandas(Assembler(), OUTPUT, "Append", "None")
+    rows = redo.select(F.pmod(F.hash(*XID), F.lit(BUCKETS)).alias("bucket"), *(F.col(c).cast("long").alias(c) for c in XID), "scn", "sub_scn", "kind", "obj", "undo_kind")
+    return rows.groupBy("bucket").transformWithStateInPandas(Assembler(), OUTPUT, "Append", "None")
 
 
 def committed(redo: DataFrame) -> DataFrame:
