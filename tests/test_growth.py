@@ -1,5 +1,6 @@
 """What comes with larger tables: numbers that grow, and steps that must stay dealt out."""
 
+import pandas as pd
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import formats
 from tidelog.plans import fixtures, format_queries, run_queries, stream_queries
 from tidelog.sources import sinks
+from tidelog.streaming import assemble
 
 
 @pytest.mark.parametrize("name", ["fmt_timestamp_modes", "fmt_timestamp_tz_modes"])
@@ -80,3 +82,54 @@ def test_a_long_log_arrives_in_many_files(spark, sf_dir, monkeypatch, name):
 def test_an_empty_log_arrives(spark, sf_dir, tmp_path, name):
     spark.read.parquet(f"{sf_dir}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
     assert stream_queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+class Store:
+    """Map states in memory, which count how often they are asked."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def getMapState(self, name, *schemas):
+        self.rows[name] = held = {}
+
+        class State:
+            def exists(_):
+                return self.called(bool(held))
+
+            def getValue(_, key):
+                return self.called(held.get(key))
+
+            def updateValue(_, key, value):
+                self.called(held.__setitem__(key, value))
+
+            def removeKey(_, key):
+                self.called(held.pop(key))
+
+        return State()
+
+    def called(self, value):
+        self.calls += 1
+        return value
+
+
+def test_state_is_asked_for_open_transactions_only():
+    columns = ["usn", "slt", "sqn", "scn", "sub_scn", "kind", "obj", "undo_kind"]
+    store, rows = Store(), assemble.Assembler()
+    rows.init(store)
+
+    def run(records):
+        frames = [pd.DataFrame(records[k::2], columns=columns) for k in range(2)]
+        got = [x for f in rows.handleInputRows((0,), iter(frames), None) for x in f.itertuples(index=False, name=None)]
+        return [(x[2], x[3], x[5], x[9]) for x in got]
+
+    whole = [r for k in range(500) for r in ((1, 2, k, 10 * k, 0, "BEGIN", None, None), (1, 2, k, 10 * k + 1, 1, "INSERT", 7, None), (1, 2, k, 10 * k + 2, 1, "COMMIT", None, None))]
+    assert run(whole) == [(k, 10 * k + 1, "INSERT", 0) for k in range(500)]
+    assert store.calls == 1  # whether anything is open, and nothing for the 500 transactions
+    # One that spans batches: of three stored changes one is taken back, one more comes; another is rolled back.
+    run([(1, 2, 9, 1, 0, "BEGIN", None, None), *((1, 2, 9, n, 1, "UPDATE", n, None) for n in (2, 3, 4)), (1, 2, 8, 2, 0, "BEGIN", None, None), (1, 2, 8, 3, 0, "DELETE", 1, None)])
+    assert len(store.rows["head"]) == 2 and len(store.rows["stack"]) == 4
+    run([(1, 2, 9, 5, 1, "UNDO_LAST", 4, "UPDATE"), (1, 2, 9, 6, 1, "UNDO_LAST", 99, "UPDATE")])
+    assert len(store.rows["stack"]) == 3
+    assert run([(1, 2, 9, 7, 1, "DELETE", 5, None), (1, 2, 9, 8, 1, "COMMIT", None, None), (1, 2, 8, 9, 1, "ROLLBACK", None, None), (1, 2, 6, 9, 1, "COMMIT", None, None)]) == [(6, 9, "PARTIAL", 0), (9, 2, "UPDATE", 0), (9, 3, "UPDATE", 1), (9, 7, "DELETE", 2)]
+    assert store.rows == {"head": {}, "stack": {}}
